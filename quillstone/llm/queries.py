@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_counts
+from . import bpe, language_id, quality, token_counts, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +27,39 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.score(documents(spark, sf_dir).select("doc_id", "text"), labels(spark, sf_dir), threshold=0.3)
+    return out.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_pred").alias("predicted"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two categories are labelled: texts of low quality, then toxic texts."""
+    known = labels(spark, sf_dir).select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    out = toxicity.score(documents(spark, sf_dir).select("doc_id", "text"), known, ["low_quality", "toxic"])
+    return out.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxicity.low_quality").alias("low_quality_score"),
+        F.col("toxicity.toxic").alias("score"),
+        F.col("toxic_pred").alias("predicted"),
+    )
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_id.identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "language.*")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_token_counts": op2_token_counts,
+    "op5_quality": op5_quality,
+    "op6_toxicity": op6_toxicity,
+    "op10_language_id": op10_language_id,
 }
 
 SQL: dict[str, str] = {}

@@ -17,6 +17,9 @@ SLICE_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Lower-case letters and bytes beyond ASCII; all other ASCII as a space.
+LETTERS = LOWER.copy()
+LETTERS[:128] = np.where(np.isin(LOWER[:128], np.arange(97, 123)), LOWER[:128], 32)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -93,16 +96,20 @@ class Words(NamedTuple):
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def words(texts: list[bytes], lower: bool = True, hashed: bool = True) -> Words:
-    """The words of some texts with a 64-bit hash of each: a polynomial over random byte codes, then mixed."""
+def words(texts: list[bytes], fold: np.ndarray | None = LOWER, hashed: bool = True) -> Words:
+    """The words of some texts with a 64-bit hash of each: a polynomial over random byte codes, then mixed. fold: what
+    each byte counts as."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    if lower:
-        data = LOWER[data]
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
+    return words_of(data if fold is None else fold[data], sizes, hashed)
+
+
+def words_of(data: np.ndarray, sizes: np.ndarray, hashed: bool = True) -> Words:
+    """As words, of bytes in which text i has sizes[i] bytes, white space at its end included."""
     inside = np.zeros(len(data) + 1, dtype=np.int8)
     inside[1:] = ~SPACE[data]
     edges = np.flatnonzero(np.diff(inside))
     begin, end = edges[0::2], edges[1::2]
-    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
     first = np.concatenate([[0], np.searchsorted(begin, np.cumsum(sizes))])
     hashes = np.empty(0, dtype=np.uint64)
     if hashed:
