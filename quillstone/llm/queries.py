@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, quality, token_counts, toxicity
+from . import bpe, language_id, line_rules, mixing, quality, token_counts, toxicity
+from .storage import written
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = mixing.word_count(F.col("text"))
+    known = documents(spark, sf_dir).select("doc_id", "source", size.alias("size"), mixing.plain_share(F.col("text"), size).alias("weight"))
+    out = mixing.mix(written(known), F.col("size"), F.col("weight"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -49,6 +57,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_rules.rules(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return out.select("doc_id", *line_rules.STATS, "base_failed", "kept", "depleted")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language_id.identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
     return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "language.*")
@@ -57,9 +70,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_token_counts": op2_token_counts,
+    "op3_mixing": op3_mixing,
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
+    "op7_line_rules": op7_line_rules,
     "op10_language_id": op10_language_id,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL}

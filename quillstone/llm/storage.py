@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _OWN: dict[str, str] = {}
@@ -26,3 +27,11 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/quillstone-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, how: str, salts: int = 16) -> DataFrame:
+    """Joins `right`, which has a key once at most, with a left side in which one key may have a third of the rows: these
+    are dealt over `salts` places by a hash of `spread`, and right's rows are repeated for each."""
+    dealt = left.withColumn("__salt", F.pmod(F.xxhash64(F.lit("salt"), spread), F.lit(salts)).cast("int"))
+    copies = right.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return dealt.join(copies, [*on, "__salt"], how).drop("__salt")
