@@ -231,9 +231,10 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     return written(lists.union(subsets).union(ones))
 
 
-def links(classes: DataFrame, percent: int = PERCENT, hub_rounds: int = HUB_ROUNDS) -> DataFrame:
-    """Edges (a, b) between class ids that join exactly the classes that chains of links join. classes: cid, n, shingles."""
-    lists = candidates(classes, percent)
+def links(classes: DataFrame, percent: int = PERCENT, hub_rounds: int = HUB_ROUNDS, lists: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) between class ids that join exactly the classes that chains of links join. classes: cid, n, shingles.
+    lists: where links are looked for, by default `candidates`."""
+    lists = candidates(classes, percent) if lists is None else lists
     linked = linked_udf(percent)
     tested = edges = None
     members = lists.withColumn("component", F.col("cid"))

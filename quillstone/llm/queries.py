@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, language_id, line_rules, mixing, quality, token_counts, toxicity
+from . import bpe, jaccard_join, language_id, line_rules, minhash, mixing, quality, token_counts, toxicity
 from .storage import written
 
 
@@ -66,6 +66,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprints(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language_id.identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
     return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "language.*")
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_line_rules": op7_line_rules,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_minhash": op9_minhash,
     "op10_language_id": op10_language_id,
 }
 
