@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, language_id, line_rules, minhash, mixing, quality, token_counts, toxicity
+from . import bpe, hmm, jaccard_join, language_id, line_rules, minhash, mixing, quality, token_counts, toxicity
 from .storage import written
 
 
@@ -35,6 +35,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_token_counts": op2_token_counts,
     "op3_mixing": op3_mixing,
+    "op4_hmm": op4_hmm,
     "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
     "op7_line_rules": op7_line_rules,

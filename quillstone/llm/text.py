@@ -113,13 +113,18 @@ def words_of(data: np.ndarray, sizes: np.ndarray, hashed: bool = True) -> Words:
     first = np.concatenate([[0], np.searchsorted(begin, np.cumsum(sizes))])
     hashes = np.empty(0, dtype=np.uint64)
     if hashed:
-        up, down = _powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_CODES[data] * up[: len(data)], out=sums[1:])
-        hashes = mixed((sums[end] - sums[begin]) * down[begin])
+        hashes = span_hashes(data, begin, end)
     return Words(data, begin, end, first, hashes)
 
 
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from begin to end."""
+    up, down = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE_CODES[data] * up[: len(data)], out=sums[1:])
+    return mixed((sums[end] - sums[begin]) * down[begin])
+
+
 def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of n words within a text, and the text of each; a shorter text with words gives its whole sequence."""
     counts = w.counts
