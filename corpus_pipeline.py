@@ -1,16 +1,66 @@
-"""The corpus pipeline: language ID, quality rules, near-copies, source mix, BPE."""
+"""The corpus pipeline: language ID, quality rules, one of each group of near-copies, source mix, BPE.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs.
+All stages but the last return the columns of documents. Null texts, texts without letters and documents that the rules
+reject leave early; rows that the mix takes more than once are there as many times. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillstone.llm import bpe, jaccard_join, language_id, line_rules, mixing
+from quillstone.llm.storage import written
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told; texts without a letter go."""
+    told = language_id.identify(docs, out="__language")
+    return told.where(F.col("__language.lang_pred") != language_id.NONE).select(*_columns(docs))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules on words and on lines shared between documents keep."""
+    return line_rules.accepted(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-copies the document with the smallest id."""
+    return jaccard_join.one_each(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix of sources takes it."""
+    size = mixing.word_count(F.col("text"))
+    return mixing.repeated(mixing.mix(docs, size, mixing.plain_share(F.col("text"), size)), _columns(docs))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number of tokens and digests of ids and decoded text for each document of the mix."""
+    out = bpe.encode_digests(docs.select("doc_id", "text", "lang", "source"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "lang", "source", "bpe.*")
+
+
+STAGES = [
+    ("language_id", languages),
+    ("quality_rules", quality_rules),
+    ("jaccard_join", near_copies),
+    ("mixing", source_mix),
+    ("bpe", tokens),
+]
+
+ORACLE_SQL = None  # SQL has no kernel ridge regression and no byte-pair encoding
+
 
-STAGES: list = []
-ORACLE_SQL = None
+def _columns(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents."""
     out = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        out = stage(spark, out, sf_dir)
-    return out
+    for _, stage in STAGES[:-1]:
+        out = written(stage(spark, out, sf_dir))
+    return STAGES[-1][1](spark, out, sf_dir)
