@@ -103,6 +103,11 @@ def as_double(text: Column) -> Column:
     return F.when(strip(text).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), strip(text).try_cast("double"))
 
 
+def clamped(value: Column, low: float, high: float) -> Column:
+    """Kept within the bounds; null stays null (least and greatest pass over nulls)."""
+    return let(value, lambda v: F.when(v < low, low).when(v > high, high).otherwise(v))
+
+
 def one_decimal(value: Column) -> Column:
     """Half-even rounding to one decimal."""
     return F.bround(value, 1)
@@ -111,12 +116,12 @@ def one_decimal(value: Column) -> Column:
 def confidence(text: Column, default: float = 8.0) -> Column:
     """A number with or without %, above 10 as tenths, kept in 0 to 10, with one decimal; else the default."""
     scaled = let(as_double(F.replace(text, F.lit("%"), F.lit(""))), lambda v: F.when(v > 10, v / 10).otherwise(v))
-    return F.coalesce(one_decimal(F.greatest(F.lit(0.0), F.least(F.lit(10.0), scaled))), F.lit(default))
+    return F.coalesce(one_decimal(clamped(scaled, 0.0, 10.0)), F.lit(default))
 
 
 def percentage(value: Column) -> Column:
     """Kept in 0 to 100, with one decimal."""
-    return one_decimal(F.greatest(F.lit(0.0), F.least(F.lit(100.0), value.cast("double"))))
+    return one_decimal(clamped(value.cast("double"), 0.0, 100.0))
 
 
 def bounded(text: Column, low: float, high: float, default: float, kind: str = "double") -> Column:
