@@ -214,7 +214,7 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     a list; lists of one set are left out."""
     each = classes.select("cid", "n", F.explode("shingles").alias("shingle"))
     df = written(each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"))
-    shared = salted_join(each, df, ["shingle"], "cid", "inner")
+    shared = each.join(df, "shingle")  # a set has a shingle once, so no key has more than a set's share of the rows
     ordered = shared.groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))  # one set's own shingles
     ordered = ordered.where(F.size("s") * 100 >= F.col("n") * percent)
     single, need = F.col("n") - F.size("s"), required(F.col("n"), percent)
@@ -244,12 +244,12 @@ def links(classes: DataFrame, percent: int = PERCENT, hub_rounds: int = HUB_ROUN
         mixed = written(mixed.where("least <> most AND any").select("key", "least"))
         if mixed.isEmpty():
             break
-        open_ = salted_join(members, mixed, ["key"], "cid", "inner")
+        open_ = members.join(mixed, "key")  # both sides are tables, so Spark can split a long list
         if turn < hub_rounds:  # the hub: by a hash that changes, from turn 1 on outside of the first component
             priority = F.struct(F.xxhash64(F.lit(turn), "cid").alias("h"), "cid", "n", "heavy", "component")
             outside = open_ if turn == 0 else open_.where("component <> least")
-            hubs = outside.groupBy("key").agg(F.min(priority).alias("hub"))
-            pairs = salted_join(open_.drop("least"), hubs, ["key"], "cid", "inner")
+            hubs = written(outside.groupBy("key").agg(F.min(priority).alias("hub")))
+            pairs = open_.drop("least").join(hubs, "key")
             pairs = pairs.where(F.col("component") != F.col("hub.component")).where(F.col("heavy") | F.col("hub.heavy")).select(F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("hub.cid").alias("y"), F.col("hub.n").alias("ny"))
         else:
             left = open_.select("key", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("heavy").alias("hx"), F.col("component").alias("cx"))
@@ -268,7 +268,8 @@ def links(classes: DataFrame, percent: int = PERCENT, hub_rounds: int = HUB_ROUN
         edges = found if edges is None else written(edges.union(found))
         if turn < hub_rounds:
             groups = connected(edges)
-            members = salted_join(lists, groups.withColumnRenamed("node", "cid"), ["cid"], "key", "left").withColumn("component", F.coalesce("component", "cid"))
+            members = lists.join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+            members = written(members)
     return edges if edges is not None else classes.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
 
 
