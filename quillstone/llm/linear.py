@@ -57,7 +57,7 @@ class Features(NamedTuple):
             index, owner = both & ((1 << self.bits) - 1), both >> self.bits
         out = np.stack([np.bincount(owner, weights=w[index], minlength=len(texts)) for w in weights], axis=1)
         if self.rooted:
-            out /= np.sqrt(np.maximum(np.bincount(owner, minlength=len(texts)), 1))[:, None]
+            out = out / np.sqrt(np.maximum(np.bincount(owner, minlength=len(texts)), 1))[:, None]
         return out
 
     def rows(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
