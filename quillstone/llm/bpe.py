@@ -10,19 +10,23 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import unicodedata
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import parts, slices, strings
+
 NONE = np.int64(1 << 62)
 #: Pieces in a worker's memo, and cells of the trees that are merged together.
-MEMO, CELLS = 300_000, 1 << 20
+MEMO, CELLS = 200_000, 1 << 19
 
 # Fixed values of the vocabulary files: the pattern of pieces, and white space as their pattern language has it.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\x1c-\x1f\p{L}\p{N}]+|[\x1c-\x1f]+")
@@ -180,14 +184,11 @@ def load(path: str) -> Bpe:
 
 def local_file(path: str) -> str:
     """The vocabulary as this host has it: installed at the same path, or sent along with addFile."""
-    import os
-
     return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
 
 
 def encode_udf(path: str):
     """struct<n_tokens, ids, decoded> of a text column; ids in decimal, joined by one space. Null counts as the empty text."""
-    from .text import slices
 
     @F.pandas_udf("n_tokens long, ids string, decoded string")
     def encode(texts: pd.Series) -> pd.DataFrame:
@@ -200,14 +201,14 @@ def encode_udf(path: str):
 
 def digest_udf(path: str):
     """struct<n_tokens, ids_sha256, decoded_sha256>: as encode_udf, but the long strings stay in the task."""
-    from .text import slices
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digest(texts: pd.Series) -> pd.DataFrame:
-        bpe, held = load(local_file(path)), [x or "" for x in texts]
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digest(texts: pa.Array) -> pa.Array:
+        bpe = load(local_file(path))
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-        rows = [(n, sha(ids), sha(dec)) for s in slices(held) for n, ids, dec in bpe.encode_batch(held[s])]
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        rows = [(n, sha(ids), sha(dec)) for some in parts(texts) for held in [strings(some)] for s in slices(held) for n, ids, dec in bpe.encode_batch(held[s])]
+        names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.string() if i else pa.int64()) for i in range(3)], names=names)
 
     return digest
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linear import remainder
-from .text import LETTERS, slices
+from .text import LETTERS, parts, slices
 
 BITS, SIZES, WINDOW = 13, (2, 3, 4), 2048
 #: Training texts of each language and their characters, landmarks over all languages, and the ridge.
@@ -118,7 +118,7 @@ def predict_udf(model: Model, spark):
 
     @F.arrow_udf("lang_pred string, score double")
     def predict(texts: pa.Array) -> pa.Array:
-        rows = held.value.predict(texts.to_pylist())
+        rows = [r for some in parts(texts) for r in held.value.predict(some.to_pylist())]
         return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], names=["lang_pred", "score"])
 
     return predict

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import salted_join, written
-from .text import SPACE, encoded, grams, slices, words
+from .text import SPACE, encoded, grams, parts, slices, words
 
 #: Distinct documents of a host that may have a line, and the share of words that a document may lose.
 LINE_LIMIT, LOST_SHARE = 20, 0.8
@@ -60,8 +60,8 @@ def stats_udf():
 
     @F.arrow_udf(", ".join(f"{x} long" for x in STATS))
     def stats(texts: pa.Array) -> pa.Array:
-        held = encoded(texts)
-        rows = np.concatenate([np.zeros((0, len(STATS)), dtype=np.int64), *[text_stats(held[s]) for s in slices(held)]])
+        found = [text_stats(held[s]) for some in parts(texts) for held in [encoded(some)] for s in slices(held)]
+        rows = np.concatenate([np.zeros((0, len(STATS)), dtype=np.int64), *found])
         return pa.StructArray.from_arrays([pa.array(rows[:, i].astype(np.int64)) for i in range(len(STATS))], names=STATS)
 
     return stats

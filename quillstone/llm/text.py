@@ -34,6 +34,12 @@ def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def parts(column: pa.Array, rows: int = 1024) -> Iterator[pa.Array]:
+    """Slices of a column, so that only some rows are Python objects at a time."""
+    for k in range(0, len(column), rows):
+        yield column.slice(k, rows)
+
+
 def encoded(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The values in UTF-8, null as the empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
