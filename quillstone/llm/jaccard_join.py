@@ -2,23 +2,25 @@
 
 Exact: all links of two texts with 100 * |A and B| >= percent * |A or B| count. What the stages drop cannot be in a link.
 
-1. Repeats. Each task takes the shingles of its texts; those that are once in its chunk go, as packed 40-bit remainders by
-   bucket, to the bucket's group, which finds those that other chunks have too. A document can only be in a link if the
-   required share of its shingles is found elsewhere, so most documents end here with nothing but counts moved.
-2. Equal sets among the rest become one class. A class's shingles are ordered from rare to frequent, and those that no
-   other class has are only counted.
+1. Repeats. Each task takes the lower half, by hash, of its texts' shingles; those that are once in its chunk go, as packed
+   40-bit remainders by bucket, to the bucket's group, which finds those that other chunks have too. Linked sets share a
+   quarter of their size in their lower halves at least, so most documents end here with nothing but counts moved.
+2. Of equal texts among the rest one stays. Its shingles are ordered by hash, but those that very many documents have come
+   last: a bounded list of the most frequent ones, which the buckets' groups count.
 3. Candidates. Two linked sets share at least k shingles in prefixes of n - ceil(share * n) + k. Light sets, up to a
    boundary, enumerate the pairs (k = 2) of their prefix and meet where they share one; heavy sets stand in the inverted
    lists of their prefix (k = 1), which are scanned for all pairs with a heavy set. The boundary is the size at which
-   enumerating and scanning together cost least.
-4. Links. A list is not turned into all its pairs: its members are compared to a hub, round by round, each round with a
-   new hub among those that are not yet in the first one's component; what is left are the pairs between components.
-   Candidates are verified on whole sets.
+   enumerating and scanning together cost least. Shingles of one prefix only take no part.
+4. Links. A list is not turned into all its pairs: its members are compared to a hub, then those outside of the hub's
+   component to another member of it; what is left are the pairs between components, by size. Candidates are verified
+   on whole sets.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +33,22 @@ from .text import distinct_grams, encoded, slices
 
 WORDS, PERCENT = 5, 75
 #: Shingles of the texts that a task holds at once; mean packed entries of a bucket; rounds with hubs.
-CHUNK, BUCKET, HUB_ROUNDS = 3_000_000, 1_000_000, 4
+CHUNK, BUCKET, HUB_ROUNDS = 1_000_000, 400_000, 2
+#: Documents that a frequent shingle has at least, and how many such shingles are held: the most frequent ones.
+FREQUENT, MOST_FREQUENT = 16, 1 << 20
+#: Words of 64 bits in the filter that spares texts of other documents the shuffle.
+FILTER_WORDS = 1 << 17
+#: Times that a place in a list is gone through, as hubs spare all pairs of a list.
+SCANS = 3
+SEVERAL = np.uint32(1 << 31)
 LOW = np.uint64((1 << 40) - 1)
 PACKED = "kind int, bucket int, chunk string, rest binary, owner binary, ids array<long>, keys array<long>, sizes array<int>, known array<int>"
 
 
-def packed_shingles(batches: Iterator[pa.RecordBatch], n: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def packed_shingles(batches: Iterator[pa.RecordBatch], n: int, buckets: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Rows of PACKED from rows of (doc_id, key, text): for each chunk one of kind 0 with its documents, and for each
-    bucket one of kind 1: shingles of the chunk, by hash remainder, with the document's place; place 2**32 - 1 stands for
-    several documents of the chunk, in which the shingle is repeated anyway."""
+    bucket one of kind 1: shingles of the chunk, by hash remainder, with the document's place; from 2**31 on it is the
+    number of several documents of the chunk, in which the shingle is repeated anyway."""
     from pyspark import TaskContext
 
     part, count = TaskContext.get().partitionId(), 0
@@ -47,14 +56,15 @@ def packed_shingles(batches: Iterator[pa.RecordBatch], n: int, buckets: int) ->
     held: list[tuple[np.ndarray, np.ndarray]] = []
     ids: list[int | None] = []
     keys: list[int] = []
+    counts: list[np.ndarray] = []
     total = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal held, ids, keys, total, count
+        nonlocal held, ids, keys, counts, total, count
         chunk = f"{part}-{count}"
         hashes = np.concatenate([h for h, _ in held]) if held else np.empty(0, dtype=np.uint64)
         owner = np.concatenate([o for _, o in held]) if held else np.empty(0, dtype=np.int64)
-        sizes = np.bincount(owner, minlength=len(ids))
+        sizes = np.concatenate(counts)
         bucket = ((hashes >> shift) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket.astype(np.uint64) << shift | (hashes & LOW), kind="stable")
         bucket, rest, who = bucket[order], (hashes & LOW)[order], owner[order].astype(np.uint32)
@@ -62,7 +72,9 @@ def packed_shingles(batches: Iterator[pa.RecordBatch], n: int, buckets: int) ->
         first[1:] = (rest[1:] != rest[:-1]) | (bucket[1:] != bucket[:-1])
         last = np.append(first[1:], True)
         known = np.bincount(who[~(first & last)], minlength=len(ids))
-        who = np.where(last, who, np.uint32(0xFFFFFFFF))[first]
+        begins = np.flatnonzero(first)
+        many = np.diff(np.append(begins, len(rest)))
+        who = np.where(many == 1, who[begins], SEVERAL | many.astype(np.uint32))
         bucket, rest = bucket[first], rest[first]
         yield _packed(0, -1, chunk, b"", b"", ids, keys, sizes.tolist(), known.tolist())
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -71,12 +83,17 @@ def packed_shingles(batches: Iterator[pa.RecordBatch], n: int, buckets: int) ->
             if cuts[b + 1] > cuts[b]:
                 planes = np.ascontiguousarray(rest[s].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T)
                 yield _packed(1, b, chunk, planes.tobytes(), np.ascontiguousarray(who[s].astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), [], [], [], [])
-        held, ids, keys, total, count = [], [], [], 0, count + 1
+        held, ids, keys, counts, total, count = [], [], [], [], 0, count + 1
 
-    for batch in batches:
+    for batch in (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)):
         texts, doc_ids, text_keys = encoded(batch.column("text")), batch.column("doc_id").to_pylist(), batch.column("key").to_pylist()
         for s in slices(texts):
             hashes, owner = distinct_grams(texts[s], n)
+            size = np.bincount(owner, minlength=s.stop - s.start)
+            place = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
+            low = place < half(size, percent)[owner]
+            hashes, owner = hashes[low], owner[low]
+            counts.append(size)
             held.append((hashes, owner + len(ids)))
             ids += doc_ids[s]
             keys += text_keys[s]
@@ -87,6 +104,11 @@ def packed_shingles(batches: Iterator[pa.RecordBatch], n: int, buckets: int) ->
         yield from flush()
 
 
+def half(n, percent: int):
+    """Shingles of the lower half that repeats are looked for in; the whole prefix that links need at least."""
+    return np.maximum((n + 1) // 2, n - (n * percent + 99) // 100 + 1)
+
+
 def _packed(kind, bucket, chunk, rest, owner, ids, keys, sizes, known) -> pa.RecordBatch:
     big, small = pa.list_(pa.int64()), pa.list_(pa.int32())
     return pa.RecordBatch.from_arrays(
@@ -108,20 +130,21 @@ def _repeats(table: pa.Table) -> pa.Table:
     source = np.repeat(np.arange(len(rest)), [len(r) for r in rest])
     every, place = np.concatenate(rest), np.concatenate(who)
     order = np.argsort(every, kind="stable")
-    ordered = every[order]
-    twice = np.zeros(len(ordered), dtype=bool)
-    same = ordered[1:] == ordered[:-1]
-    twice[1:] |= same
-    twice[:-1] |= same
-    at = order[twice]
-    at = at[place[at] != 0xFFFFFFFF]
+    ordered, docs_of = every[order], np.where(place[order] >= SEVERAL, place[order] ^ SEVERAL, 1).astype(np.int64)
+    begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    chunks_of, df = np.diff(np.append(begins, len(ordered))), np.add.reduceat(docs_of, begins)
+    at = order[np.repeat(chunks_of > 1, chunks_of)]
+    at = at[place[at] < SEVERAL]
+    often = df >= FREQUENT
     out = []
     for c in np.unique(source[at]):
         docs, n = np.unique(place[at[source[at] == c]], return_counts=True)
         out.append((chunks[c], docs.astype(np.int64), n.astype(np.int32)))
+    bucket = np.uint64(table.column("bucket")[0].as_py()) << np.uint64(40)
+    out.append(("", (bucket | ordered[begins][often]).view(np.int64), df[often].astype(np.int32)))
     return pa.table(
         {
-            "kind": pa.array([1] * len(out), pa.int32()),
+            "kind": pa.array([1] * (len(out) - 1) + [2], pa.int32()),
             "chunk": pa.array([x[0] for x in out], pa.string()),
             "ids": pa.array([x[1] for x in out], pa.list_(pa.int64())),
             "keys": pa.array([[] for _ in out], pa.list_(pa.int64())),
@@ -142,13 +165,13 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(docs["ids"], pa.int64()), "key": pa.array(docs["keys"], pa.int64()), "n_shingles": pa.array(docs["sizes"], pa.int64()), "n_repeated": pa.array(known, pa.int64())})
 
 
-def shingle_counts(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """doc_id, key (a hash of the text), n_shingles and n_repeated (shingles that another row has too; a few more by
-    collisions of hash remainders, never fewer) for each row of docs (doc_id, text)."""
+def shingle_counts(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, Frequent]:
+    """For each row of docs (doc_id, text) its doc_id, key (a hash of the text), n_shingles and n_repeated: shingles of the
+    lower half that another row has too (a few more by collisions of hash remainders, never fewer). And the frequent ones."""
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(16, int(chars / 6 / BUCKET))
+    buckets = max(16, int(chars / 12 / BUCKET))
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    packed = rows.mapInArrow(lambda batches: packed_shingles(batches, n, buckets), PACKED)
+    packed = rows.mapInArrow(lambda batches: packed_shingles(batches, n, buckets, percent), PACKED)
     parts = "kind int, chunk string, ids array<long>, keys array<long>, sizes array<int>, known array<int>"
     split = F.when(F.col("kind") == 0, F.concat(F.lit("c"), "chunk")).otherwise(F.concat(F.lit("b"), F.col("bucket").cast("string")))
 
@@ -157,13 +180,72 @@ def shingle_counts(docs: DataFrame, n: int = WORDS) -> DataFrame:
             return table.select(["kind", "chunk", "ids", "keys", "sizes", "known"])
         return _repeats(table)
 
-    counted = packed.groupBy(split).applyInArrow(one, parts)
-    return counted.groupBy("chunk").applyInArrow(_summed, "doc_id long, key long, n_shingles long, n_repeated long")
+    found = written(packed.groupBy(split).applyInArrow(one, parts))
+    counts = found.where("kind < 2").groupBy("chunk").applyInArrow(_summed, "doc_id long, key long, n_shingles long, n_repeated long")
+    often = found.where("kind = 2").select(F.explode(F.arrays_zip("ids", "known")).alias("x")).select(F.col("x.ids").alias("sign"), F.col("x.known").alias("df"))
+    steps = {r["s"]: r["n"] for r in often.groupBy(F.floor(F.log2("df")).alias("s")).agg(F.count("*").alias("n")).collect()}  # a row for each power of 2
+    least, total = 64, 0
+    for step in sorted(steps, reverse=True):
+        total += steps[step]
+        if total > MOST_FREQUENT:
+            break
+        least = step
+    held = often.where(F.col("df") >= float(2**least)).toArrow()
+    signs, df = held.column("sign").to_numpy().view(np.uint64), held.column("df").to_numpy()
+    order = np.argsort(signs)
+    return counts, Frequent(signs[order], df[order], buckets)
+
+
+class Frequent(NamedTuple):
+    """Signs of at most MOST_FREQUENT shingles, in order: their hashes' buckets and remainders; and their documents."""
+
+    signs: np.ndarray
+    df: np.ndarray
+    buckets: int
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """The documents of each shingle, 0 for those that are not frequent."""
+        if not len(self.signs):
+            return np.zeros(len(hashes), dtype=np.int64)
+        sign = ((hashes >> np.uint64(40)) % np.uint64(self.buckets)) << np.uint64(40) | (hashes & LOW)
+        at = np.minimum(np.searchsorted(self.signs, sign), len(self.signs) - 1)
+        return np.where(self.signs[at] == sign, self.df[at], 0).astype(np.int64)
+
+
+def prefixed_udf(n: int, percent: int, frequent):
+    """struct<shingles, prefix> of texts: the distinct shingles by hash, and the prefix (k = 2) with frequent ones last, by df."""
+
+    @F.arrow_udf("shingles array<long>, prefix array<long>")
+    def sets(texts: pa.Array) -> pa.Array:
+        held, known = encoded(texts), frequent.value
+        lists: list[np.ndarray] = []
+        prefixes: list[np.ndarray] = []
+        for s in slices(held):
+            hashes, owner = distinct_grams(held[s], n)
+            df = known.of(hashes)
+            cuts = np.searchsorted(owner, np.arange(1, s.stop - s.start))
+            for part, often in zip(np.split(hashes, cuts), np.split(df, cuts), strict=True):
+                length = min(len(part), len(part) - (len(part) * percent + 99) // 100 + 2)
+                lists.append(part.view(np.int64))
+                prefixes.append(part[np.argsort(often, kind="stable")][:length].view(np.int64))
+        kind = pa.list_(pa.int64())
+        return pa.StructArray.from_arrays([pa.array(lists, kind), pa.array(prefixes, kind)], names=["shingles", "prefix"])
+
+    return sets
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows without those whose key is surely not in the table of keys: a bitmap of fixed size over a hash of the key, which is
+    broadcast (FILTER_WORDS rows at most). If it fills up, it only spares less."""
+    bit = F.pmod(F.xxhash64(F.lit("bit"), "key"), F.lit(FILTER_WORDS * 64))
+    place = lambda df: df.withColumn("__word", F.floor(bit / 64).cast("int")).withColumn("__bit", F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")))
+    words = written(place(keys.select("key")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits")))
+    met = place(rows).join(F.broadcast(words), "__word").where(F.col("__bits").bitwiseAND(F.col("__bit")) != 0)
+    return met.drop("__word", "__bit", "__bits")
 
 
 def sets_udf(n: int):
-    """struct<cid, shingles> of texts: the distinct shingles in order and a hash of them all."""
-    import hashlib
+    """struct<cid, shingles> of texts: the distinct shingles by hash, and a hash of them all."""
 
     @F.arrow_udf("cid long, shingles array<long>")
     def sets(texts: pa.Array) -> pa.Array:
@@ -200,7 +282,7 @@ def required(n: Column, percent: int) -> Column:
 
 def boundary(prefixes: DataFrame, percent: int) -> int:
     """The largest light size: of the powers of 1.25, the one at which enumerating and scanning together cost least.
-    prefixes: n, q1 and q2 (shingles in the prefixes that other sets have), scan (sum of the lists' lengths)."""
+    prefixes: n, q1 and q2 (shingles in the prefixes that other sets have), scan (places in lists that are gone through)."""
     step = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(float(np.log(1.25)))).cast("int")
     by = {r["s"]: (r["light"], r["heavy"]) for r in prefixes.groupBy(step.alias("s")).agg(F.sum(F.col("q2") * (F.col("q2") - 1) / 2).alias("light"), F.sum("scan").alias("heavy")).collect()}  # a row for each power of 1.25
     slack = int(np.ceil(np.log(100 / percent) / np.log(1.25)))
@@ -210,17 +292,17 @@ def boundary(prefixes: DataFrame, percent: int) -> int:
 
 
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Lists of sets that may be linked: key, cid, n, heavy. classes: cid, n, shingles. Every linked pair of classes shares
-    a list; lists of one set are left out."""
-    each = classes.select("cid", "n", F.explode("shingles").alias("shingle"))
+    """Lists of sets that may be linked: key, cid, n, heavy. classes: cid, n, shingles in one order for all sets, prefix (by
+    default the first shingles). Every linked pair of classes shares a list."""
+    need = required(F.col("n"), percent)
+    prefix = F.col("prefix") if "prefix" in classes.columns else F.slice("shingles", 1, F.least(F.col("n"), F.col("n") - need + 2).cast("int"))
+    each = classes.select("cid", "n", F.posexplode(prefix).alias("place", "shingle"))
     df = written(each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"))
     shared = each.join(df, "shingle")  # a set has a shingle once, so no key has more than a set's share of the rows
-    ordered = shared.groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))  # one set's own shingles
-    ordered = ordered.where(F.size("s") * 100 >= F.col("n") * percent)
-    single, need = F.col("n") - F.size("s"), required(F.col("n"), percent)
-    length = lambda k: F.greatest(F.lit(0), F.least(F.size("s"), F.col("n") - need + k - single)).cast("int")
-    sized = ordered.withColumn("q1", length(1)).withColumn("q2", length(2)).withColumn("need", need)
-    sized = written(sized.withColumn("scan", F.aggregate(F.slice("s", 1, F.col("q1")), F.lit(0).cast("long"), lambda x, y: x + y["df"])))
+    ordered = shared.groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("place", "shingle", "df"))).alias("s"))  # one set's prefix
+    first = F.size(F.filter("s", lambda x: x["place"] <= F.col("n") - need))
+    sized = ordered.withColumn("q1", first).withColumn("q2", F.size("s")).withColumn("need", need)
+    sized = written(sized.withColumn("scan", F.col("q1") * SCANS))
     light = boundary(sized, percent)
     lists = sized.where(F.col("n") * 100 >= F.lit(light * percent) if light else F.lit(True))
     lists = lists.select(F.explode(F.slice("s", 1, F.col("q1"))).alias("t"), "cid", "n", (F.col("n") > light).alias("heavy")).select(F.xxhash64(F.lit("list"), "t.shingle").alias("key"), "cid", "n", "heavy")
@@ -245,16 +327,20 @@ def links(classes: DataFrame, percent: int = PERCENT, hub_rounds: int = HUB_ROUN
         if mixed.isEmpty():
             break
         open_ = members.join(mixed, "key")  # both sides are tables, so Spark can split a long list
-        if turn < hub_rounds:  # the hub: by a hash that changes, from turn 1 on outside of the first component
-            priority = F.struct(F.xxhash64(F.lit(turn), "cid").alias("h"), "cid", "n", "heavy", "component")
-            outside = open_ if turn == 0 else open_.where("component <> least")
-            hubs = written(outside.groupBy("key").agg(F.min(priority).alias("hub")))
+        if turn < hub_rounds:  # at first one hub for all lists of a group, then another member of its component in each list
+            draw = F.xxhash64(F.lit(turn), "cid") if turn == 0 else F.xxhash64(F.lit(turn), "cid", "key")
+            priority = F.struct(draw.alias("h"), "cid", "n", "heavy", "component")
+            within = open_ if turn == 0 else open_.where("component = least")
+            hubs = written(within.groupBy("key").agg(F.min(priority).alias("hub")))
             pairs = open_.drop("least").join(hubs, "key")
             pairs = pairs.where(F.col("component") != F.col("hub.component")).where(F.col("heavy") | F.col("hub.heavy")).select(F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("hub.cid").alias("y"), F.col("hub.n").alias("ny"))
         else:
             left = open_.select("key", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("heavy").alias("hx"), F.col("component").alias("cx"))
             right = open_.select("key", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("heavy").alias("hy"), F.col("component").alias("cy"))
-            pairs = left.join(right, "key").where("x < y AND cx <> cy AND (hx OR hy)")
+            step = lambda n: F.floor(F.log(F.col(n).cast("double")) / F.lit(float(np.log(100 / percent)) * 1.001)).cast("int")
+            left = left.withColumn("step", step("nx"))  # sizes of linked sets are in the same or the next step
+            right = right.withColumn("step", F.explode(F.array(step("ny") - 1, step("ny"), step("ny") + 1)))
+            pairs = left.join(right, ["key", "step"]).where("x < y AND cx <> cy AND (hx OR hy)")
         close = (F.least("nx", "ny") * 100) >= F.greatest("nx", "ny") * percent
         pairs = pairs.where(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tested is not None:
@@ -281,14 +367,21 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, text: str = "t
     component. A null doc_id links with nothing and has a null component. An empty table stays empty; other columns are
     not read."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    counts = written(shingle_counts(rows, n))
-    some = counts.where((F.col("n_repeated") * 100 >= F.col("n_shingles") * percent) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "key").distinct()
-    keyed = rows.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    texts = keyed.join(some, ["doc_id", "key"]).withColumn("s", sets_udf(n)("text")).select("doc_id", "s.*")
-    members = written(texts)
-    classes = members.groupBy("cid").agg(F.first("shingles").alias("shingles")).withColumn("n", F.size("shingles"))
-    found = links(written(classes), percent)
-    ids = members.select("doc_id", "cid").distinct()
+    counts, frequent = shingle_counts(rows, n, percent)
+    counts = written(counts)
+    size = F.col("n_shingles")
+    lower = F.greatest(F.floor((size + 1) / 2), size - required(size, percent) + 1)
+    some = counts.where((F.col("n_repeated") >= lower - size + required(size, percent)) & (size > 0) & F.col("doc_id").isNotNull())
+    some = written(some.select("doc_id", F.col("key"), F.col("n_shingles").cast("int").alias("n")))
+    ids = some.select("doc_id", F.col("key").alias("cid")).distinct()
+    one = some.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))  # of equal texts
+    keyed = maybe_in(rows.withColumn("key", F.xxhash64(F.coalesce("text", F.lit("")))), one)
+    texts = keyed.join(one, ["doc_id", "key"])
+    if not some.groupBy("doc_id", "key").count().where("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["key"])
+    held = docs.sparkSession.sparkContext.broadcast(frequent)
+    classes = written(texts.withColumn("s", prefixed_udf(n, percent, held)("text")).select(F.col("key").alias("cid"), "n", "s.*"))
+    found = links(classes, percent)
     twin = ids.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("z"), F.count("*").alias("times")).where("times > 1")
     twins = ids.join(twin.select("doc_id", "a"), "doc_id").select("a", F.col("cid").alias("b"))
     own = ids.select(F.col("cid").alias("a"), F.col("cid").alias("b")).distinct()
