@@ -12,8 +12,9 @@ Exact: all links of two texts with 100 * |A and B| >= percent * |A or B| count.
    lists of their prefix (k = 1), which are scanned for all pairs with a heavy set. The boundary is the size at which
    enumerating and scanning together cost least. Shingles of one prefix only take no part.
 4. Links. A list is not turned into all its pairs: its members are compared to a hub, then those outside of the hub's
-   component to another member of it; what is left are the pairs between components, by size. Candidates are verified
-   on whole sets.
+   component to another member of it; what is left are the pairs between components, by size. Such a pair is made in one of
+   the longest lists that it shares only, and not at all if parity bitmaps differ in more bits than linked sets can differ
+   in shingles. Candidates are verified on whole sets.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import connected
 from .storage import salted_join, written
-from .text import distinct_grams, encoded, slices
+from .text import distinct_grams, encoded, parts, slices
 
 WORDS, PERCENT = 5, 75
 #: Shingles of the texts that a task holds at once; mean packed entries of a bucket; rounds with hubs.
@@ -40,6 +41,8 @@ FREQUENT, MOST_FREQUENT = 16, 1 << 20
 FILTER_WORDS = 1 << 17
 #: Times that a place in a list is gone through, as hubs spare all pairs of a list.
 SCANS = 3
+#: Words of 64 bits in a set's parity bitmap; of a set's open lists, how many of the longest spare their pairs the others.
+PARITY_WORDS, LONGEST = 16, 16
 SEVERAL = np.uint32(1 << 31)
 LOW = np.uint64((1 << 40) - 1)
 PACKED = "kind int, bucket int, chunk string, rest binary, owner binary, ids array<long>, keys array<long>, sizes array<int>, known array<int>"
@@ -275,6 +278,45 @@ def linked_udf(percent: int):
     return linked
 
 
+def parity_udf():
+    """struct<p0, ...> of arrays of distinct values: for each bit, whether an odd number of the values fall on it. The bitmaps of
+    two sets differ in as many bits as the sets differ in values, or fewer."""
+    bits = PARITY_WORDS * 64
+
+    @F.arrow_udf(", ".join(f"p{k} long" for k in range(PARITY_WORDS)))
+    def parity(sets: pa.Array) -> pa.Array:
+        out = [np.empty((0, PARITY_WORDS), dtype=np.int64)]
+        for some in parts(sets, 512):
+            place = some.flatten().to_numpy().view(np.uint64) % np.uint64(bits)
+            owner = np.repeat(np.arange(len(some)), some.value_lengths().to_numpy())
+            odd = np.bincount(owner * bits + place.astype(np.int64), minlength=len(some) * bits) & 1
+            out.append(np.packbits(odd.astype(np.uint8).reshape(-1, bits), axis=1).view(np.int64))
+        every = np.concatenate(out)
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(every[:, k])) for k in range(PARITY_WORDS)], names=[f"p{k}" for k in range(PARITY_WORDS)])
+
+    return parity
+
+
+def pairs_between(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, nx, y, ny) of different components that share a list, without those that parity bitmaps rule out. members:
+    key, size (of the list), cid, n, heavy, component. A pair may come from several lists that are not among the longest."""
+    own = F.struct("size", "key")
+    # of one set's lists, all of which its prefix names
+    named = members.groupBy("cid").agg(F.slice(F.sort_array(F.collect_list(F.struct("size", "key", "heavy")), asc=False), 1, LONGEST).alias("named"))
+    before = F.filter("named", lambda t: (F.struct(t["size"].alias("size"), t["key"].alias("key")) > own) & (t["heavy"] | ~F.col("heavy")))
+    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) * 1.001)).cast("int")
+    rows = members.join(named, "cid").join(classes.select("cid", parity_udf()("shingles").alias("bits")), "cid")
+    rows = written(rows.select("key", "cid", "n", "heavy", "component", step.alias("step"), F.transform(before, lambda t: t["key"]).alias("before"), "bits.*"))
+    # sizes of linked sets are in the same or the next step
+    left = rows.withColumnsRenamed({c: f"x_{c}" for c in rows.columns if c not in ("key", "step")})
+    right = rows.withColumn("next", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("step", F.col("step") - F.col("next").cast("int"))
+    right = right.withColumnsRenamed({c: f"y_{c}" for c in rows.columns if c not in ("key", "step")})
+    differ = sum((F.bit_count(F.col(f"x_p{k}").bitwiseXOR(F.col(f"y_p{k}"))) for k in range(PARITY_WORDS)), F.lit(0))
+    pairs = left.join(right, ["key", "step"]).where("x_component <> y_component AND (x_heavy OR y_heavy) AND (next OR x_cid < y_cid)")
+    pairs = pairs.where(differ * (100 + percent) <= (F.col("x_n") + F.col("y_n")) * (100 - percent)).where(~F.arrays_overlap("x_before", "y_before"))
+    return pairs.select(F.col("x_cid").alias("x"), F.col("x_n").alias("nx"), F.col("y_cid").alias("y"), F.col("y_n").alias("ny"))
+
+
 def required(n: Column, percent: int) -> Column:
     """ceil(percent * n / 100): what a set of n shares with a linked set at least."""
     return F.floor((n * percent + 99) / 100).cast("int")
@@ -322,8 +364,8 @@ def links(classes: DataFrame, percent: int = PERCENT, hub_rounds: int = HUB_ROUN
     members = lists.withColumn("component", F.col("cid"))
     for turn in range(hub_rounds + 1):
         # lists with several components and a heavy set (all lists of subsets count as such)
-        mixed = members.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max("heavy").alias("any"))
-        mixed = written(mixed.where("least <> most AND any").select("key", "least"))
+        mixed = members.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max("heavy").alias("any"), F.count("*").alias("size"))
+        mixed = written(mixed.where("least <> most AND any").select("key", "least", "size"))
         if mixed.isEmpty():
             break
         open_ = members.join(mixed, "key")  # both sides are tables, so Spark can split a long list
@@ -335,12 +377,7 @@ def links(classes: DataFrame, percent: int = PERCENT, hub_rounds: int = HUB_ROUN
             pairs = open_.drop("least").join(hubs, "key")
             pairs = pairs.where(F.col("component") != F.col("hub.component")).where(F.col("heavy") | F.col("hub.heavy")).select(F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("hub.cid").alias("y"), F.col("hub.n").alias("ny"))
         else:
-            left = open_.select("key", F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("heavy").alias("hx"), F.col("component").alias("cx"))
-            right = open_.select("key", F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("heavy").alias("hy"), F.col("component").alias("cy"))
-            step = lambda n: F.floor(F.log(F.col(n).cast("double")) / F.lit(float(np.log(100 / percent)) * 1.001)).cast("int")
-            left = left.withColumn("step", step("nx"))  # sizes of linked sets are in the same or the next step
-            right = right.withColumn("step", F.explode(F.array(step("ny") - 1, step("ny"), step("ny") + 1)))
-            pairs = left.join(right, ["key", "step"]).where("x < y AND cx <> cy AND (hx OR hy)")
+            pairs = pairs_between(open_, classes, percent)
         close = (F.least("nx", "ny") * 100) >= F.greatest("nx", "ny") * percent
         pairs = pairs.where(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tested is not None:
