@@ -112,6 +112,15 @@ def half(n, percent: int):
     return np.maximum((n + 1) // 2, n - (n * percent + 99) // 100 + 1)
 
 
+def repeated_at_least(n: Column, percent: int) -> Column:
+    """Shingles that a set of n shares with any linked set within the lower halves of both, at least. Of I shared shingles, in
+    one order, at most n - lower(n) stand after the own lower half, where I >= required(n), and at most a / 2 after that of a
+    linked set of a, where I - a / 2 falls with a to n - 50 * n / percent at the largest a. Prefixes share one always."""
+    need = required(n, percent)
+    lower = F.greatest(F.floor((n + 1) / 2), n - need + 1)
+    return F.greatest(F.lit(1), F.least(lower - n + need, F.ceil(n * (percent - 50) / percent)))
+
+
 def _packed(kind, bucket, chunk, rest, owner, ids, keys, sizes, known) -> pa.RecordBatch:
     big, small = pa.list_(pa.int64()), pa.list_(pa.int32())
     return pa.RecordBatch.from_arrays(
@@ -407,8 +416,7 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, text: str = "t
     counts, frequent = shingle_counts(rows, n, percent)
     counts = written(counts)
     size = F.col("n_shingles")
-    lower = F.greatest(F.floor((size + 1) / 2), size - required(size, percent) + 1)
-    some = counts.where((F.col("n_repeated") >= lower - size + required(size, percent)) & (size > 0) & F.col("doc_id").isNotNull())
+    some = counts.where((F.col("n_repeated") >= repeated_at_least(size, percent)) & (size > 0) & F.col("doc_id").isNotNull())
     some = written(some.select("doc_id", F.col("key"), F.col("n_shingles").cast("int").alias("n")))
     ids = some.select("doc_id", F.col("key").alias("cid")).distinct()
     one = some.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))  # of equal texts

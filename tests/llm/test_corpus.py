@@ -79,6 +79,31 @@ def test_any_boundary_between_light_and_heavy_is_exact(spark, monkeypatch, light
     assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == linked(rows)
 
 
+def test_links_of_short_texts_and_their_beginnings(spark):
+    """Sets of 4 and 3 shingles: in half of the hash orders they share one shingle only in their lower halves."""
+    texts = [[f"t{i}x{k}" for k in range(8)] for i in range(60)]
+    rows = list(enumerate(" ".join(t[:n]) for t in texts for n in (8, 7)))
+    got = joined(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == linked(rows) and len({c for *_, c in got}) == 60
+
+
+@pytest.mark.parametrize("percent", [60, 75, 80, 90])
+def test_no_linked_sets_share_fewer_in_their_lower_halves(spark, percent):
+    sizes = spark.range(1, 31).select("id", jaccard_join.repeated_at_least(F.col("id"), percent).alias("least"))
+    least = {r["id"]: r["least"] for r in sizes.collect()}
+    rng = np.random.default_rng(3)
+    for a in least:
+        for b in range(1, a + 1):
+            for shared in range(1, b + 1):
+                if 100 * shared < percent * (a + b - shared):
+                    continue
+                # places of hash order; of each: in both sets, in a only, in b only
+                kind = rng.permuted(np.tile(np.repeat([0, 1, 2], [shared, a - shared, b - shared]), (100, 1)), axis=1)
+                low = [(kind != other) & (np.cumsum(kind != other, axis=1) <= jaccard_join.half(n, percent)) for n, other in ((a, 2), (b, 1))]
+                met = int((low[0] & low[1] & (kind == 0)).sum(axis=1).min())
+                assert met >= max(least[a], least[b]), (a, b, shared)
+
+
 def test_pairs_between_components_are_the_last_resort(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "HUB_ROUNDS", 0)
     rows = list(enumerate(edited_copies(20, words=80, edits=9, chain=True)))
