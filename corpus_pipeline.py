@@ -22,8 +22,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules on words and on lines shared between documents keep."""
-    return line_rules.accepted(docs)
+    """Documents that the rules on words and on lines shared between documents keep, without the lines above the limit."""
+    return line_rules.refined(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

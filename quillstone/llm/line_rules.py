@@ -88,7 +88,7 @@ def text_key(text: Column) -> Column:
 
 
 def judged(docs: DataFrame, line_limit: int = LINE_LIMIT, lost_share: float = LOST_SHARE, text: str = "text", host: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three tables. Rows: doc_id, host, key (of the text), STATS. Frequent: host and line above the limit. Depleted: host
+    """Three tables. Rows: doc_id, host, key (of the text), STATS. Above: host, key and line above the limit. Depleted: host
     and key of texts that lose more than the share of their words."""
     body = F.col(f"`{text}`")
     where = F.coalesce(F.concat(F.lit("="), F.col(f"`{host}`").cast("string")), F.lit("null"))
@@ -96,9 +96,10 @@ def judged(docs: DataFrame, line_limit: int = LINE_LIMIT, lost_share: float = LO
     texts = rows.groupBy("host", "key").agg(F.first("lines").alias("lines"), F.first("n_words").alias("n_words"))
     lines = written(texts.select("host", "key", "n_words", F.explode("lines").alias("l")).groupBy("host", "key", "n_words", F.col("l.line").alias("line")).agg(F.sum("l.words").alias("words")))
     frequent = written(lines.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > line_limit))
-    lost = salted_join(lines, frequent.select("host", "line"), ["host", "line"], "key", "inner").groupBy("host", "key", "n_words").agg(F.sum("words").alias("lost"))
+    above = written(salted_join(lines, frequent.select("host", "line"), ["host", "line"], "key", "inner"))
+    lost = above.groupBy("host", "key", "n_words").agg(F.sum("words").alias("lost"))
     depleted = written(lost.where(F.col("lost") > F.lit(lost_share) * F.col("n_words")).select("host", "key"))
-    return rows.drop("lines"), frequent, depleted
+    return rows.drop("lines"), above.select("host", "key", "line"), depleted
 
 
 def rules(docs: DataFrame, min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT, **how) -> DataFrame:
@@ -107,6 +108,10 @@ def rules(docs: DataFrame, min_words: int = MIN_WORDS, repeat_percent: int = REP
     Every row stays, repeated rows too (they are one document where lines are counted); a null or empty text has no words
     and fails; documents without a host form a host of their own; an empty table stays empty; other columns are not read."""
     rows, _, depleted = judged(docs, **how)
+    return _ruled(rows, depleted, min_words, repeat_percent)
+
+
+def _ruled(rows: DataFrame, depleted: DataFrame, min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT) -> DataFrame:
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     out = salted_join(rows, depleted.withColumn("__lost", F.lit(True)), ["host", "key"], "doc_id", "left")
     out = out.withColumn("base_failed", base).withColumn("depleted", F.coalesce("__lost", F.lit(False)))
@@ -124,14 +129,35 @@ def accepted(docs: DataFrame, text: str = "text", host: str = "source", **how) -
 
 def cleaned(docs: DataFrame, text: str = "text", host: str = "source", **how) -> DataFrame:
     """docs with the lines above the limit removed from their texts; a null text stays null."""
-    _, frequent, _ = judged(docs, text=text, host=host, **how)
+    _, above, _ = judged(docs, text=text, host=host, **how)
+    return _without(docs, written(_lines_above(above)), text, host).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def refined(docs: DataFrame, text: str = "text", host: str = "source", chars: str = "n_chars", min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT, **how) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns and the lines above the limit removed from their texts;
+    of a text that changes, the column `chars` (if docs have it) is the new length."""
+    rows, above, depleted = judged(docs, text=text, host=host, **how)
+    rejected = _ruled(rows, depleted, min_words, repeat_percent).where(~F.col("kept")).select("host", "key").distinct()
+    verdicts = rejected.select(F.col("host").alias("__host"), F.col("key").alias("__key"), F.lit(True).alias("__rejected"), F.lit(None).cast("array<long>").alias("__bad"))
+    verdicts = verdicts.unionByName(_lines_above(above).withColumn("__rejected", F.lit(False)))
+    verdicts = written(verdicts.groupBy("__host", "__key").agg(F.max("__rejected").alias("__rejected"), F.first("__bad", ignorenulls=True).alias("__bad")))
+    out = _without(docs, verdicts, text, host).where(~F.coalesce("__rejected", F.lit(False)))
+    if chars in docs.columns:
+        length = F.length(F.col(f"`{text}`")).cast(docs.schema[chars].dataType)
+        out = out.withColumn(chars, F.when(F.col("__bad").isNull(), F.col(f"`{chars}`")).otherwise(length))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _lines_above(above: DataFrame) -> DataFrame:
+    """For each text its lines above the limit, as many as it has at most."""
+    return above.groupBy(F.col("host").alias("__host"), F.col("key").alias("__key")).agg(F.collect_set("line").alias("__bad"))
+
+
+def _without(docs: DataFrame, bad: DataFrame, text: str, host: str) -> DataFrame:
+    """docs with the columns of bad (__host, __key, __bad: lines), and those lines removed from their texts."""
     body = F.col(f"`{text}`")
     where = F.coalesce(F.concat(F.lit("="), F.col(f"`{host}`").cast("string")), F.lit("null"))
-    hashed = F.transform(F.split(body, "\n"), lambda x: F.xxhash64(normalised(x)))
     keyed = docs.withColumns({"__host": where, "__key": text_key(body)})
-    texts = keyed.select("__host", "__key", F.explode(hashed).alias("line")).distinct()
-    hit = salted_join(texts, frequent.select(F.col("host").alias("__host"), "line"), ["__host", "line"], "__key", "inner")
-    bad = written(hit.groupBy("__host", "__key").agg(F.collect_set("line").alias("__bad")))
     left = F.filter(F.split(body, "\n"), lambda x: ~F.array_contains(F.col("__bad"), F.xxhash64(normalised(x))))
-    out = keyed.join(bad, ["__host", "__key"], "left").withColumn(text, F.when(F.col("__bad").isNull(), body).otherwise(F.array_join(left, "\n")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = salted_join(keyed, bad, ["__host", "__key"], "doc_id", "left")
+    return out.withColumn(text, F.when(F.col("__bad").isNull(), body).otherwise(F.array_join(left, "\n")))

@@ -34,6 +34,18 @@ def test_stages_return_documents_and_decide(spark, sf, docs, tmp_path):
     assert len(last) == held.count() and all(r["n_tokens"] == sizes[r["doc_id"]] for r in last)
 
 
+def test_lines_above_the_limit_leave_the_stage(spark, sf):
+    own = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    rows = [(i, f"{own(i, 60)}\n Shared   LINE\nshared line\nlast {i}", "h", 0) for i in range(21)]
+    rows += [(30, f"{own(30, 60)}\nshared line", "g", 7), (31, f"{own(31, 9)}\nshared line", "h", 0), (32, own(32, 2) + "\nshared line" * 30, "h", 0)]
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, source string, n_chars long")
+    out = corpus_pipeline.quality_rules(spark, df, sf)
+    assert out.schema == df.schema
+    want = [(i, f"{own(i, 60)}\nlast {i}", "h") for i in [0, *range(21)]]
+    want = sorted([*((*r, len(r[1])) for r in want), rows[21]])
+    assert sorted(tuple(r) for r in out.collect()) == want
+
+
 def test_run_is_its_stages(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0 and corpus_pipeline.ORACLE_SQL is None
 
