@@ -27,8 +27,8 @@ from .text import encoded, slices, span_hashes, words
 STATES, CLASSES = 8, 4096  # the end's class is CLASSES
 #: Bytes of text in a chunk, and in a bucket of words; tokens in a segment; tokens taken through numpy at once.
 CHUNK_BYTES, BUCKET_BYTES, SEGMENT, TOKENS = 6 << 20, 24 << 20, 64, 200_000
-#: Texts of the sample that sets the first states, their characters, its rounds; rounds over all training texts.
-SAMPLE, EXCERPT, FIRST_ROUNDS, ROUNDS = 800, 2000, 20, 2
+#: Rounds over all training texts go on until one raises the log10 likelihood by less than this for each token.
+GAIN = 0.001
 END = b""
 PACKED = "kind int, bucket int, chunk string, ids array<long>, held binary, sizes array<int>, tokens binary, classes binary, words binary, counts binary, places binary"
 
@@ -180,6 +180,10 @@ class Model:
     def expected(self, classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Baum-Welch counts of sequences, flat: start, move, emit. Later segments of a sequence start from the lasting
         shares of the states."""
+        return self.learned(classes, sizes)[:-1]
+
+    def learned(self, classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The counts of `expected`, and last the log10 likelihood of the segments."""
         k, emit = len(self.start), self.emit.T
         grid, length, _, position = segments(classes, sizes)
         n, width = grid.shape
@@ -204,7 +208,7 @@ class Model:
         inside = np.arange(width)[:, None] < length[None, :]
         cells, flat = grid.T[inside], gammas[inside]
         counts = np.stack([np.bincount(cells, weights=flat[:, s], minlength=self.emit.shape[1]) for s in range(k)])
-        return np.concatenate([start, move.ravel(), counts.ravel()])
+        return np.concatenate([start, move.ravel(), counts.ravel(), [np.log10(scales).sum()]])
 
     def improved(self, counts: np.ndarray) -> Model:
         """The model of summed Baum-Welch counts; every state keeps a little of each class, by the classes' shares."""
@@ -254,26 +258,18 @@ def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return unplanes(row["tokens"], "<u4").astype(np.int64), sizes, unplanes(row["classes"], "<u2").astype(np.int64), held
 
 
-def first_model(docs: DataFrame, tokens: np.ndarray, distinct: np.ndarray, states: int) -> Model:
-    """States from a bounded sample of excerpts: the start of the rounds over all training texts."""
+def first_model(tokens: np.ndarray, distinct: np.ndarray, states: int) -> Model:
+    """States drawn from a seed around the classes' shares of all training tokens: the start of the rounds."""
     rng = np.random.default_rng(11)
     share = (tokens + 0.5) / (tokens.sum() + 0.5 * len(tokens))
-    emit = share * rng.uniform(0.5, 1.5, (states, len(tokens)))
+    emit = share * (rng.gamma(1.0, 1.0, (states, len(tokens))) + 0.05)
     move = np.full((states, states), 0.2 / states) + np.eye(states) * 0.8
-    model = Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True), tokens, distinct)
-    learned = docs.where(~F.col("held"))
-    total = learned.count()
-    some = learned.where(F.pmod(F.xxhash64(F.lit("states"), "doc_id"), F.lit(1_000_000)) < int(min(1.0, SAMPLE / max(total, 1)) * 1_000_000))
-    texts = sorted((r[0] or "").encode() for r in some.select(F.substring("text", 1, EXCERPT)).limit(2 * SAMPLE).collect())
-    if texts:
-        places, _, classes, sizes = token_rows(texts)
-        for _ in range(FIRST_ROUNDS):
-            model = model.improved(sum(model.expected(classes[places[t]], sizes[d]) for d, t in spans(sizes)))
-    return model
-
-
-def train_round(packed: DataFrame, model: Model) -> Model:
-    """One round of Baum-Welch over all training texts: counts by task, summed by cell in Spark."""
+    return Model(np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True), tokens, distinct)
+
+
+def train_round(packed: DataFrame, model: Model) -> tuple[Model, float]:
+    """One round of Baum-Welch over all training texts: counts by task, summed by cell in Spark. The improved model, and the
+    log10 likelihood of the one before."""
     held = packed.sparkSession.sparkContext.broadcast(model)
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +279,7 @@ def train_round(packed: DataFrame, model: Model) -> Model:
                 tokens, sizes, classes, out = _unpacked(row)
                 tokens, sizes = tokens[np.repeat(~out, sizes)], sizes[~out]
                 for d, t in spans(sizes):
-                    x = m.expected(classes[tokens[t]], sizes[d])
+                    x = m.learned(classes[tokens[t]], sizes[d])
                     total = x if total is None else total + x
         if total is not None:
             at = np.flatnonzero(total)
@@ -291,13 +287,13 @@ def train_round(packed: DataFrame, model: Model) -> Model:
 
     texts = packed.where("kind = 0").select("sizes", "held", "tokens", "classes")
     k, c = model.emit.shape
-    counts = np.zeros(k + k * k + k * c)
+    counts = np.zeros(k + k * k + k * c + 1)
     for r in texts.mapInArrow(expect, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # the model's cells
         counts[r["cell"]] = r["n"]
-    return model.improved(counts)
+    return model.improved(counts[:-1]), float(counts[-1])
 
 
-def score(docs: DataFrame, held: Column | None = None, states: int = STATES, rounds: int = ROUNDS, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, held: Column | None = None, states: int = STATES, gain: float = GAIN, text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) for each row of docs (doc_id, text).
 
     Learns from rows that are not held out. Every row stays, repeated rows too, each of which counts; a null or empty text
@@ -314,9 +310,11 @@ def score(docs: DataFrame, held: Column | None = None, states: int = STATES, rou
     tokens, distinct = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
     for r in of_class.groupBy("c").agg(F.sum("x.tokens").alias("t"), F.sum("x.distinct").alias("d")).collect():  # one row a class
         tokens[r["c"]], distinct[r["c"]] = r["t"], r["d"]
-    model = first_model(rows, tokens, distinct, states)
-    for _ in range(rounds if tokens.sum() else 0):
-        model = train_round(packed, model)
+    model, before, gained = first_model(tokens, distinct, states), -np.inf, tokens.sum() > 0
+    while gained:
+        model, likelihood = train_round(packed, model)
+        gained = likelihood - before >= gain * tokens.sum()
+        before = likelihood
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(texts: pa.Table, counts: pa.Table) -> pa.Table:

@@ -160,6 +160,21 @@ def test_scores_beat_the_base_on_held_out_texts(spark, big):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
+def test_all_rounds_see_all_training_texts_until_they_gain_little(spark, monkeypatch):
+    """Words after character 2,000 decide the states: two kinds of text that begin alike."""
+    rng = np.random.default_rng(5)
+    tail = lambda i: " ".join(f"{'xy'[i % 2]}{rng.integers(40)}" for _ in range(300))
+    df = spark.createDataFrame([(i, "same words here " * 130 + tail(i)) for i in range(60)], "doc_id long, text string")
+    rounds, one = [], hmm.train_round
+    monkeypatch.setattr(hmm, "train_round", lambda packed, model: rounds.append((packed, model, one(packed, model))) or rounds[-1][2])
+    n = hmm.score(df).first()["train_tokens"]
+    found = [likelihood / n for *_, (_, likelihood) in rounds]
+    gains = np.diff(found)
+    assert len(found) > 3 and (gains[:-1] >= hmm.GAIN).all() and gains[-1] < hmm.GAIN
+    packed, _, (last, _) = rounds[-1]
+    assert abs(one(packed, last)[1] / n - found[-1]) < hmm.GAIN
+
+
 def test_hmm_of_nothing(none, odd):
     assert hmm.score(none).count() == 0
     untrained = hmm.score(odd, held=F.lit(True)).collect()
