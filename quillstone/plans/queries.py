@@ -401,8 +401,10 @@ def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_orderkey AS model_id, CASE WHEN o_orderkey % 4 = 0 THEN 'own' WHEN o_custkey % 4 = 0 THEN 'base' ELSE 'new' END AS mode FROM orders WHERE o_orderkey < 10000""")
 def model_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests are the orders with keys below 10,000, as in the SQL; what is registered comes from the keys of all orders."""
     requests = table(spark, sf_dir, "orders").where("o_orderkey < 10000").select(c("o_orderkey").alias("model_id"), c("o_custkey").alias("base_model_id"))
-    registry = spark.range(4, 1_000_000, 4).select(c("id").alias("model_id"), F.lit("x").alias("model_path")).union(spark.range(1).select("id", F.lit("x")))
+    keys = table(spark, sf_dir, "orders").select(F.explode(F.array("o_orderkey", "o_custkey")).alias("model_id"))
+    registry = keys.where("model_id % 4 = 0").distinct().withColumn("model_path", F.lit("x"))
     return state.lineage(requests, registry).select("model_id", "mode")
 
 

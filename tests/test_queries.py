@@ -14,6 +14,12 @@ def test_query_has_rows(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+def test_lineage_knows_keys_of_any_size(spark, tmp_path):
+    rows = [(1, 2_000_000), (2, 2_000_001), (4, 3), (0, 5), (20_000, 8)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    same(QUERIES["model_lineage"](spark, str(tmp_path)), connect(str(tmp_path)), SQL["model_lineage"])
+
+
 def test_entry_has_a_stable_schema(spark):
     import __spark_entry__
 
