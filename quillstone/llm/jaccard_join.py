@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .storage import salted_join, written
+from .storage import lasting, salted_join, split_by, temporary, written
 from .text import distinct_grams, encoded, parts, slices
 
 WORDS, PERCENT = 5, 75
@@ -37,8 +37,6 @@ WORDS, PERCENT = 5, 75
 CHUNK, BUCKET, HUB_ROUNDS = 1_000_000, 400_000, 2
 #: Documents that a frequent shingle has at least, and how many such shingles are held: the most frequent ones.
 FREQUENT, MOST_FREQUENT = 16, 1 << 20
-#: Words of 64 bits in the filter that spares texts of other documents the shuffle.
-FILTER_WORDS = 1 << 17
 #: Times that a place in a list is gone through, as hubs spare all pairs of a list.
 SCANS = 3
 #: Words of 64 bits in a set's parity bitmap; of a set's open lists, how many of the longest spare their pairs the others.
@@ -246,16 +244,6 @@ def prefixed_udf(n: int, percent: int, frequent):
     return sets
 
 
-def maybe_in(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows without those whose key is surely not in the table of keys: a bitmap of fixed size over a hash of the key, which is
-    broadcast (FILTER_WORDS rows at most). If it fills up, it only spares less."""
-    bit = F.pmod(F.xxhash64(F.lit("bit"), "key"), F.lit(FILTER_WORDS * 64))
-    place = lambda df: df.withColumn("__word", F.floor(bit / 64).cast("int")).withColumn("__bit", F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")))
-    words = written(place(keys.select("key")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits")))
-    met = place(rows).join(F.broadcast(words), "__word").where(F.col("__bits").bitwiseAND(F.col("__bit")) != 0)
-    return met.drop("__word", "__bit", "__bits")
-
-
 def sets_udf(n: int):
     """struct<cid, shingles> of texts: the distinct shingles by hash, and a hash of them all."""
 
@@ -413,18 +401,25 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, text: str = "t
     component. A null doc_id links with nothing and has a null component. An empty table stays empty; other columns are
     not read."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    with temporary(docs.sparkSession):
+        counts, named = _joined(rows, n, percent)
+    return counts.join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _joined(rows: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables: doc_id and n_shingles of each row; and component_id of each doc_id that may have a link."""
     counts, frequent = shingle_counts(rows, n, percent)
-    counts = written(counts)
+    counts = lasting(counts)
     size = F.col("n_shingles")
     some = counts.where((F.col("n_repeated") >= repeated_at_least(size, percent)) & (size > 0) & F.col("doc_id").isNotNull())
     some = written(some.select("doc_id", F.col("key"), F.col("n_shingles").cast("int").alias("n")))
     ids = some.select("doc_id", F.col("key").alias("cid")).distinct()
     one = some.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))  # of equal texts
-    keyed = maybe_in(rows.withColumn("key", F.xxhash64(F.coalesce("text", F.lit("")))), one)
+    keyed, _ = split_by(rows.withColumn("key", F.xxhash64(F.coalesce("text", F.lit("")))), one, ["doc_id", "key"])
     texts = keyed.join(one, ["doc_id", "key"])
     if not some.groupBy("doc_id", "key").count().where("count > 1").isEmpty():
         texts = texts.dropDuplicates(["key"])
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
+    held = rows.sparkSession.sparkContext.broadcast(frequent)
     classes = written(texts.withColumn("s", prefixed_udf(n, percent, held)("text")).select(F.col("key").alias("cid"), "n", "s.*"))
     found = links(classes, percent)
     twin = ids.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("z"), F.count("*").alias("times")).where("times > 1")
@@ -434,14 +429,21 @@ def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, text: str = "t
     placed = salted_join(ids, groups.withColumnRenamed("node", "cid"), ["cid"], "doc_id", "inner")
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = salted_join(placed, least, ["component"], "doc_id", "inner").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return counts.join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def one_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, with all their columns; of rows that repeat an id, one."""
-    found = written(join(docs, **how))
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    return counts.select("doc_id", "n_shingles"), lasting(named)
+
+
+def one_each(docs: DataFrame, text: str = "text", **how) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component, with all their columns; of rows that repeat an id one,
+    that with the least text by hash. Rows without an id stay. Only rows whose id goes or is repeated are shuffled, and few
+    others (`split_by`)."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    with temporary(docs.sparkSession):
+        found = join(docs, text=text, **how).where("doc_id IS NOT NULL")
+        odd = found.groupBy("doc_id").agg(F.min("component_id").alias("__least"), F.count("*").alias("__times"))
+        odd = lasting(odd.where("__least <> doc_id OR __times > 1").withColumnRenamed("doc_id", "__id"))
+    keyed = docs.withColumn("__id", F.col("doc_id").cast("long"))
+    maybe, others = split_by(keyed, odd, ["__id"])
+    maybe = maybe.join(odd, "__id", "left")
+    single = maybe.where("__times IS NULL").select(*columns)
+    repeated = maybe.where("__least = __id").groupBy("__id").agg(F.min_by(F.struct(*columns), F.xxhash64(F.col(f"`{text}`"))).alias("__row"))
+    return others.select(*columns).union(single).union(repeated.select("__row.*"))

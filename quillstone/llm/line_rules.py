@@ -1,8 +1,11 @@
 """Quality rules: cross-document line frequency.
 
 Lines are normalised (white space runs as one space, trimmed, lower case) and hashed; for each host the distinct
-documents with a line are counted, equal texts as one document; lines above the limit are removed, and a document that
-loses more than a share of its words is rejected as depleted. Beside that stand rules on a document's own text.
+documents with a line are counted; lines above the limit are removed, and a document that loses more than a share of its
+words is rejected as depleted. Beside that stand rules on a document's own text.
+
+Equal texts of a host are taken through once, with the number of documents that have them. Texts themselves are shuffled
+only where lines are removed from them.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import salted_join, written
+from .storage import lasting, salted_join, split_by, temporary, written
 from .text import SPACE, encoded, grams, parts, slices, words
 
 #: Distinct documents of a host that may have a line, and the share of words that a document may lose.
@@ -83,81 +86,101 @@ def normalised_lines(text: Column) -> Column:
     return F.regexp_replace(one_space, r" ?\n ?|^ | $", "\n")
 
 
-def text_key(text: Column) -> Column:
-    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+def without_lines(text: Column, bad: Column) -> Column:
+    """The text without the lines whose hashes are in the array."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(bad, F.xxhash64(normalised(x)))), "\n")
 
 
-def judged(docs: DataFrame, line_limit: int = LINE_LIMIT, lost_share: float = LOST_SHARE, text: str = "text", host: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three tables. Rows: doc_id, host, key (of the text), STATS. Above: host, key and line above the limit. Depleted: host
-    and key of texts that lose more than the share of their words."""
-    body = F.col(f"`{text}`")
-    where = F.coalesce(F.concat(F.lit("="), F.col(f"`{host}`").cast("string")), F.lit("null"))
-    rows = written(docs.select("doc_id", where.alias("host"), text_key(body).alias("key"), stats_udf()(body).alias("s"), lines_of(body).alias("lines")).select("doc_id", "host", "key", "s.*", "lines"))
-    texts = rows.groupBy("host", "key").agg(F.first("lines").alias("lines"), F.first("n_words").alias("n_words"))
-    lines = written(texts.select("host", "key", "n_words", F.explode("lines").alias("l")).groupBy("host", "key", "n_words", F.col("l.line").alias("line")).agg(F.sum("l.words").alias("words")))
-    frequent = written(lines.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > line_limit))
-    above = written(salted_join(lines, frequent.select("host", "line"), ["host", "line"], "key", "inner"))
-    lost = above.groupBy("host", "key", "n_words").agg(F.sum("words").alias("lost"))
-    depleted = written(lost.where(F.col("lost") > F.lit(lost_share) * F.col("n_words")).select("host", "key"))
-    return rows.drop("lines"), above.select("host", "key", "line"), depleted
+def text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def rules(docs: DataFrame, min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT, **how) -> DataFrame:
-    """For each row of docs its doc_id, STATS, base_failed, depleted and kept.
+def host_of(host: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{host}`").cast("string")), F.lit("null"))
 
-    Every row stays, repeated rows too (they are one document where lines are counted); a null or empty text has no words
-    and fails; documents without a host form a host of their own; an empty table stays empty; other columns are not read."""
-    rows, _, depleted = judged(docs, **how)
-    return _ruled(rows, depleted, min_words, repeat_percent)
 
+def judged(docs: DataFrame, line_limit: int = LINE_LIMIT, lost_share: float = LOST_SHARE, text: str = "text", host: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables. Rows: doc_id, host, key (of the text), STATS. Above: host, key and line above the limit. Lost: host, key,
+    lost_words of texts with such lines, and depleted: whether they are more than the share of the text's words.
 
-def _ruled(rows: DataFrame, depleted: DataFrame, min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT) -> DataFrame:
+    Documents are told apart by doc_id. Rows that repeat an id and a text are one; an id with several texts counts for each
+    of them; rows without an id are one document for each text."""
+    body = F.col(f"`{text}`")
+    with temporary(docs.sparkSession):
+        rows = lasting(docs.select("doc_id", host_of(host).alias("host"), text_key(body).alias("key"), stats_udf()(body).alias("s"), lines_of(body).alias("lines")).select("doc_id", "host", "key", "s.*", "lines"))
+        texts = rows.groupBy("host", "key").agg(F.first("lines").alias("lines"), F.first("n_words").alias("n_words"))
+        having = rows.select("host", "key", "doc_id").distinct().groupBy("host", "key").agg(F.count("*").alias("n_docs"))
+        each = texts.join(having, ["host", "key"]).select("host", "key", "n_words", "n_docs", F.explode("lines").alias("l"))
+        lines = written(each.groupBy("host", "key", "n_words", "n_docs", F.col("l.line").alias("line")).agg(F.sum("l.words").alias("words")))
+        frequent = written(lines.groupBy("host", "line").agg(F.sum("n_docs").alias("n_docs")).where(F.col("n_docs") > line_limit))
+        above = lasting(salted_join(lines, frequent.select("host", "line"), ["host", "line"], "key", "inner"))
+        lost = above.groupBy("host", "key", "n_words").agg(F.sum("words").alias("lost_words"))
+        lost = lasting(lost.select("host", "key", "lost_words", (F.col("lost_words") > F.lit(lost_share) * F.col("n_words")).alias("depleted")))
+    return rows.drop("lines"), above.select("host", "key", "line"), lost
+
+
+def rules(docs: DataFrame, text: str = "text", host: str = "source", min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT, **how) -> DataFrame:
+    """For each row of docs its doc_id, STATS, base_failed, depleted, kept, lost_words (in lines above the limit), and
+    cleaned_md5: of the text without these lines.
+
+    Every row stays, repeated rows too; a null or empty text has no words and fails; documents without a host form a host of
+    their own; an empty table stays empty; other columns are not read."""
+    rows, above, lost = judged(docs, text=text, host=host, **how)
+    with temporary(docs.sparkSession):
+        bad = written(_lines_above(above))
+        keyed = docs.select(F.col(f"`{text}`").alias("text"), host_of(host).alias("__host"), text_key(F.col(f"`{text}`")).alias("__key"))
+        maybe, _ = split_by(keyed, bad, ["__host", "__key"])
+        left = salted_join(maybe, bad, ["__host", "__key"], "text", "inner").select(F.col("__host").alias("host"), F.col("__key").alias("key"), F.md5(without_lines(F.col("text"), F.col("__bad"))).alias("md5"))
+        lost = lasting(lost.join(left.groupBy("host", "key").agg(F.first("md5").alias("md5")), ["host", "key"]))  # equal texts, equal digests
+    return _ruled(rows, lost, min_words, repeat_percent)
+
+
+def _ruled(rows: DataFrame, lost: DataFrame, min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT) -> DataFrame:
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    out = salted_join(rows, depleted.withColumn("__lost", F.lit(True)), ["host", "key"], "doc_id", "left")
-    out = out.withColumn("base_failed", base).withColumn("depleted", F.coalesce("__lost", F.lit(False)))
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted")).drop("__lost")
+    out = salted_join(rows, lost, ["host", "key"], "doc_id", "left")
+    out = out.withColumns({"base_failed": base, "depleted": F.coalesce("depleted", F.lit(False)), "lost_words": F.coalesce("lost_words", F.lit(0)).cast("long")})
+    if "md5" in lost.columns:
+        out = out.withColumn("cleaned_md5", F.coalesce("md5", "key")).drop("md5")
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
 
 
 def accepted(docs: DataFrame, text: str = "text", host: str = "source", **how) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns and whole texts."""
-    judged_rows = rules(docs, text=text, host=host, **how)
-    bad = written(judged_rows.where(~F.col("kept")).select(F.col("host").alias("__host"), F.col("key").alias("__key")).distinct())
-    where = F.coalesce(F.concat(F.lit("="), F.col(f"`{host}`").cast("string")), F.lit("null"))
-    keyed = docs.withColumns({"__host": where, "__key": text_key(F.col(f"`{text}`"))})
-    return keyed.join(bad, ["__host", "__key"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _applied(docs, text, host, None, reject=True, remove=False, **how)
 
 
 def cleaned(docs: DataFrame, text: str = "text", host: str = "source", **how) -> DataFrame:
     """docs with the lines above the limit removed from their texts; a null text stays null."""
-    _, above, _ = judged(docs, text=text, host=host, **how)
-    return _without(docs, written(_lines_above(above)), text, host).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _applied(docs, text, host, None, reject=False, remove=True, **how)
 
 
-def refined(docs: DataFrame, text: str = "text", host: str = "source", chars: str = "n_chars", min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT, **how) -> DataFrame:
+def refined(docs: DataFrame, text: str = "text", host: str = "source", chars: str = "n_chars", **how) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns and the lines above the limit removed from their texts;
     of a text that changes, the column `chars` (if docs have it) is the new length."""
-    rows, above, depleted = judged(docs, text=text, host=host, **how)
-    rejected = _ruled(rows, depleted, min_words, repeat_percent).where(~F.col("kept")).select("host", "key").distinct()
-    verdicts = rejected.select(F.col("host").alias("__host"), F.col("key").alias("__key"), F.lit(True).alias("__rejected"), F.lit(None).cast("array<long>").alias("__bad"))
-    verdicts = verdicts.unionByName(_lines_above(above).withColumn("__rejected", F.lit(False)))
-    verdicts = written(verdicts.groupBy("__host", "__key").agg(F.max("__rejected").alias("__rejected"), F.first("__bad", ignorenulls=True).alias("__bad")))
-    out = _without(docs, verdicts, text, host).where(~F.coalesce("__rejected", F.lit(False)))
+    return _applied(docs, text, host, chars, reject=True, remove=True, **how)
+
+
+def _applied(docs: DataFrame, text: str, host: str, chars: str | None, reject: bool, remove: bool, min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT, **how) -> DataFrame:
+    """docs without rejected rows, or without the lines above the limit, or both. The verdicts are a table of the texts that go
+    or change, and only rows that may have one are shuffled to it."""
+    columns, body = [F.col(f"`{c}`") for c in docs.columns], F.col(f"`{text}`")
+    none = F.lit(None).cast("array<long>")
+    with temporary(docs.sparkSession):
+        rows, above, lost = judged(docs, text=text, host=host, **how)
+        verdicts = _ruled(rows, lost, min_words, repeat_percent).where(~F.col("kept") if reject else F.lit(False)).select(F.col("host").alias("__host"), F.col("key").alias("__key"), F.lit(True).alias("__rejected"), none.alias("__bad"))
+        if remove:
+            verdicts = verdicts.unionByName(_lines_above(above).withColumn("__rejected", F.lit(False)))
+        verdicts = lasting(verdicts.groupBy("__host", "__key").agg(F.max("__rejected").alias("__rejected"), F.first("__bad", ignorenulls=True).alias("__bad")))
+    keyed = docs.withColumns({"__host": host_of(host), "__key": text_key(body)})
+    maybe, others = split_by(keyed, verdicts, ["__host", "__key"])
+    out = salted_join(maybe, verdicts, ["__host", "__key"], "doc_id", "left").where(~F.coalesce("__rejected", F.lit(False)))
+    out = out.withColumn(text, F.when(F.col("__bad").isNull(), body).otherwise(without_lines(body, F.col("__bad"))))
     if chars in docs.columns:
-        length = F.length(F.col(f"`{text}`")).cast(docs.schema[chars].dataType)
+        length = F.length(body).cast(docs.schema[chars].dataType)
         out = out.withColumn(chars, F.when(F.col("__bad").isNull(), F.col(f"`{chars}`")).otherwise(length))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return others.select(*columns).union(out.select(*columns))
 
 
 def _lines_above(above: DataFrame) -> DataFrame:
     """For each text its lines above the limit, as many as it has at most."""
     return above.groupBy(F.col("host").alias("__host"), F.col("key").alias("__key")).agg(F.collect_set("line").alias("__bad"))
-
-
-def _without(docs: DataFrame, bad: DataFrame, text: str, host: str) -> DataFrame:
-    """docs with the columns of bad (__host, __key, __bad: lines), and those lines removed from their texts."""
-    body = F.col(f"`{text}`")
-    where = F.coalesce(F.concat(F.lit("="), F.col(f"`{host}`").cast("string")), F.lit("null"))
-    keyed = docs.withColumns({"__host": where, "__key": text_key(body)})
-    left = F.filter(F.split(body, "\n"), lambda x: ~F.array_contains(F.col("__bad"), F.xxhash64(normalised(x))))
-    out = salted_join(keyed, bad, ["__host", "__key"], "doc_id", "left")
-    return out.withColumn(text, F.when(F.col("__bad").isNull(), body).otherwise(F.array_join(left, "\n")))

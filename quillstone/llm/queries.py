@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, hmm, jaccard_join, language_id, line_rules, minhash, mixing, quality, token_counts, toxicity
-from .storage import written
+from .storage import small_batches, written
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -63,7 +64,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_rules.rules(documents(spark, sf_dir).select("doc_id", "text", "source"))
-    return out.select("doc_id", *line_rules.STATS, "base_failed", "kept", "depleted")
+    return out.select("doc_id", *line_rules.STATS, "base_failed", "kept", "depleted", "lost_words", "cleaned_md5")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
