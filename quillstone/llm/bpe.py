@@ -3,7 +3,7 @@
 Each piece of a text is a row of a matrix of symbols. Leaf i of the row's segment tree holds the rank of the pair
 (symbol i, next symbol) and i itself, so the root is the leftmost pair of the lowest rank. A merge changes three leaves
 and their ancestors; rows go on until no root holds a mergeable pair. Rows of one tree width are merged together in
-numpy. Pieces that a worker has met are held in a bounded memo.
+numpy. Words and pieces that a worker has met are held in memos of bounded bytes.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import hashlib
 import json
 import os
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,14 +23,15 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import parts, slices, strings
+from .text import Memo, parts, slices, strings
 
 NONE = np.int64(1 << 62)
-#: Pieces in a worker's memo, and cells of the trees that are merged together.
-MEMO, CELLS = 200_000, 1 << 19
+#: Bytes of a generation of a worker's memos, of words and of pieces, and cells of the trees that are merged together.
+WORD_BYTES, PIECE_BYTES, CELLS = 40 << 20, 16 << 20, 1 << 19
 
-# Fixed values of the vocabulary files: the pattern of pieces, and white space as their pattern language has it.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\x1c-\x1f\p{L}\p{N}]+|[\x1c-\x1f]+")
+# Fixed values of the vocabulary files: the pattern of pieces, and white space as their pattern language has it, which
+# does not count the separators from \x1c to \x1f.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|(?:[^\s\p{L}\p{N}]|[\x1c-\x1f])+")
 WHITE = r"[\t-\r \x85\xa0  -     　]+"
 ODD = regex.compile(r"[\x1c-\x1f]")
 
@@ -63,7 +65,10 @@ class Bpe:
         self.final = np.array([self.ids[c + self.suffix] for c in self.letters], dtype=np.int64)
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.decimal = {i: str(i) for i in self.tokens}
-        self.memo: dict[str, tuple[str, str]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.said = Memo(WORD_BYTES), Memo(PIECE_BYTES)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, NONE where it does not merge; a negative symbol merges with nothing."""
@@ -138,20 +143,31 @@ class Bpe:
         text = unicodedata.normalize("NFC", text)
         return PIECES.findall(text.replace("Σ", "σ").lower())
 
+    def _say(self, pieces: set[str]) -> dict[str, str]:
+        """Decimal ids and tokens of each piece, each joined by one space, as two lines."""
+        new = self.said.missing(pieces)
+        for k in range(0, len(new), 20_000):
+            some = new[k : k + 20_000]
+            for p, ids in zip(some, self.encode_pieces([p.encode() for p in some]), strict=True):
+                self.said.add(p, " ".join([self.decimal[i] for i in ids]) + "\n" + " ".join([self.tokens[i] for i in ids]))
+        return self.said.held
+
     def _learn(self, chunks: list[str]) -> None:
-        """Puts chunks without white space into the memo: decimal ids and tokens, each joined by one space."""
+        """Puts chunks without white space into the memo of words: the two lines of all their pieces."""
         plan: list[list[str]] = []
         for chunk in chunks:
-            if self.splitter and "<" in chunk:
+            if chunk.isascii() and chunk.isalpha():
+                plan.append([chunk.lower()])
+            elif self.splitter and "<" in chunk:
                 plan.append([y for x in self.splitter.split(chunk) for y in ([x] if x in self.special else self._pieces(x))])
             else:
                 plan.append(self._pieces(chunk))
-        pieces = list({y for x in plan for y in x if y not in self.special})
-        said = {x: (str(i), x) for x, i in self.special.items()}
-        for p, ids in zip(pieces, self.encode_pieces([p.encode() for p in pieces]), strict=True):
-            said[p] = (" ".join([self.decimal[i] for i in ids]), " ".join([self.tokens[i] for i in ids]))
+        said = self._say({y for x in plan for y in x if y not in self.special})
+        fixed = {x: f"{i}\n{x}" for x, i in self.special.items()}
         for chunk, x in zip(chunks, plan, strict=True):
-            self.memo[chunk] = said[x[0]] if len(x) == 1 else (" ".join([said[y][0] for y in x]), " ".join([said[y][1] for y in x]))
+            found = [fixed.get(y) or said[y] for y in x]
+            self.words.add(chunk, found[0] if len(x) == 1 else joined(found))
+        self.said.turn()
 
     def encode_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """For each text the number of tokens, the decimal ids joined by one space, and the decoded text.
@@ -159,23 +175,26 @@ class Bpe:
         The vocabulary has no decoder, so decoding joins the tokens of the ids by one space.
         """
         split = [regex.split(WHITE, t) if ODD.search(t) else t.split() for t in texts]
-        met = {c for x in split for c in x if c}
-        if len(self.memo) + len(met) > MEMO:
-            self.memo = {c: self.memo[c] for c in met if c in self.memo}
-        new = [c for c in met if c not in self.memo]
+        new = self.words.missing({c for x in split for c in x if c})
         for k in range(0, len(new), 20_000):
             self._learn(new[k : k + 20_000])
-        out = []
+        held, out = self.words.held, []
         for chunks in split:
-            found = [self.memo[c] for c in chunks if c]
-            ids = " ".join([e[0] for e in found])
-            out.append((ids.count(" ") + 1 if ids else 0, ids, " ".join([e[1] for e in found])))
+            ids, _, decoded = joined([held[c] for c in chunks if c]).partition("\n")
+            out.append((ids.count(" ") + 1 if ids else 0, ids, decoded))
+        self.words.turn()
         return out
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
+def joined(said: list[str]) -> str:
+    """One text of two lines from many: the first lines joined by one space, and the second ones. No token has a line break."""
+    lines = "\n".join(said).split("\n")
+    return " ".join(lines[::2]) + "\n" + " ".join(lines[1::2])
+
+
 @lru_cache(maxsize=4)
 def load(path: str) -> Bpe:
     """One vocabulary per worker process."""
@@ -203,12 +222,14 @@ def digest_udf(path: str):
     """struct<n_tokens, ids_sha256, decoded_sha256>: as encode_udf, but the long strings stay in the task."""
 
     @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digest(texts: pa.Array) -> pa.Array:
+    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = load(local_file(path))
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-        rows = [(n, sha(ids), sha(dec)) for some in parts(texts) for held in [strings(some)] for s in slices(held) for n, ids, dec in bpe.encode_batch(held[s])]
         names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.string() if i else pa.int64()) for i in range(3)], names=names)
+        for texts in batches:
+            rows = [(n, sha(ids), sha(dec)) for some in parts(texts) for held in [strings(some)] for s in slices(held) for n, ids, dec in bpe.encode_batch(held[s])]
+            yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.string() if i else pa.int64()) for i in range(3)], names=names)
+        bpe.forget()  # a worker may go on with tasks of other kinds
 
     return digest
 

@@ -29,6 +29,40 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _STEP_INVERSE = np.uint64(pow(int(_STEP), -1, 1 << 64))
 
 
+class Memo:
+    """What texts have led to, in two generations of bounded bytes: keys that are asked for again go on into the new one when
+    the old one is dropped. Between turns it holds all keys asked for, so that it can be read as a dict."""
+
+    #: Bytes of an entry besides the characters of its key, and of a text as its value.
+    ENTRY, TEXT = 120, 50
+
+    def __init__(self, limit: int):
+        self.limit, self.bytes = limit, 0
+        self.held: dict = {}
+        self.before: dict = {}
+
+    def missing(self, keys: set) -> list:
+        """The keys without a value; those of the old generation are taken over."""
+        out, held, before = [], self.held, self.before
+        for key in keys:
+            if key not in held:
+                value = before.get(key)
+                if value is None:
+                    out.append(key)
+                else:
+                    self.add(key, value)
+        return out
+
+    def add(self, key, value) -> None:
+        self.held[key] = value
+        self.bytes += len(key) + self.ENTRY + (self.TEXT + len(value) if isinstance(value, str) else 0)
+
+    def turn(self) -> None:
+        """Begins a new generation if this one is full."""
+        if self.bytes > self.limit:
+            self.held, self.before, self.bytes = {}, self.held, 0
+
+
 def strings(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """The values of a text column, null as the empty text."""
     return [x or "" for x in column.to_pylist()]
@@ -74,7 +108,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first powers of the step and of its inverse; kept up to a bounded length."""
     held = _POWERS.get("up")
     if held is None or len(held) < n:
-        size = max(n, SLICE_BYTES * 2)
+        size = max(n, SLICE_BYTES + SLICE_BYTES // 8)
         up, down = np.full(size, _STEP), np.full(size, _STEP_INVERSE)
         up[0] = down[0] = 1
         up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)

@@ -2,29 +2,39 @@
 
 Texts are cut at safe boundaries: a single space between two characters that are not white space. The byte-level
 pattern joins such a space to what follows and never looks across it, so the counts of the parts add up. Equal parts are
-encoded once per worker (bounded memo). A part of ASCII characters is cut at the pattern's own pieces, whose distinct
-values go to the library's model; parts with other characters or special tokens go through the library's whole encoder,
-in batches balanced by bytes.
+encoded once while a worker's memo of bounded bytes holds them; all others go through the library's encoder in batches
+balanced by bytes.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import slices, strings
+from .text import Memo, parts, slices, strings
 
-#: Parts in a worker's memo; bytes of the parts that go to the library at once; longer parts are not kept.
-MEMO, BATCH_BYTES, KEPT_BYTES = 400_000, 128 << 10, 64
+#: Bytes of a generation of a worker's memo; bytes of the parts that go to the library at once; longer parts are not kept.
+MEMO_BYTES, BATCH_BYTES, KEPT_BYTES = 48 << 20, 64 << 10, 64
 SAFE = re.compile(r"(?<=\S) (?=\S)")
-# Fixed values of the vocabulary file: its pattern of pieces, for ASCII text without control characters.
-ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\s0-9A-Za-z]+|\s+(?!\S)|\s+")
-PLAIN = re.compile(r"[\n -~]*")
+
+
+def batches(parts: list[str], limit: int = BATCH_BYTES) -> list[list[str]]:
+    """The parts in as many batches as their bytes need, alike in bytes: long ones are dealt first, each to the batch that
+    has least so far in turn. A part above the limit makes up most of a batch of its own."""
+    sizes = [len(p) if p.isascii() else len(p.encode()) for p in parts]
+    n = max(1, min(len(parts), -(-sum(sizes) // limit)))
+    order = sorted(range(len(parts)), key=lambda i: -sizes[i])
+    out: list[list[str]] = [[] for _ in range(n)]
+    for k, i in enumerate(order):  # forth and back over the batches
+        turn, place = divmod(k, n)
+        out[place if turn % 2 == 0 else n - 1 - place].append(parts[i])
+    return out
 
 
 class Counter:
@@ -37,20 +47,10 @@ class Counter:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.letters = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in "\n "}  # as its model has them
-        self.specials = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, int] = {}
-
-    def _encode(self, parts: list[str]) -> dict[str, int]:
-        model, letters, specials = self.tokenizer.model, self.letters, self.specials
-        plain = {p: ASCII_PIECES.findall(p) for p in parts if PLAIN.fullmatch(p) and not any(x in p for x in specials)}
-        sizes = {x: len(model.tokenize(x.translate(letters))) for x in {x for found in plain.values() for x in found}}
-        out = {p: sizes[x[0]] if len(x) == 1 else sum([sizes[y] for y in x]) for p, x in plain.items()}
-        rest = sorted((p for p in parts if p not in out), key=len)  # parts of like length together: even batches
-        for s in slices(rest, BATCH_BYTES):
-            some = rest[s]
-            out.update(zip(some, map(len, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        return out
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo = Memo(MEMO_BYTES)
 
     @staticmethod
     def parts(text: str) -> list[str]:
@@ -64,16 +64,17 @@ class Counter:
 
     def count(self, texts: list[str]) -> list[int]:
         cut = [self.parts(t) for t in texts]
-        met = {p for x in cut for p in x}
-        if len(self.memo) + len(met) > MEMO:
-            self.memo = {p: self.memo[p] for p in met if p in self.memo}
-        new = self._encode([p for p in met if p not in self.memo])
-        self.memo.update((p, n) for p, n in new.items() if len(p) <= KEPT_BYTES)
-        known = {p: n for p, n in new.items() if len(p) > KEPT_BYTES}
-        get = self.memo.get
-        if known:
-            return [sum(n if (n := get(p)) is not None else known[p] for p in x) for x in cut]
-        return [sum(map(self.memo.__getitem__, x)) for x in cut]
+        long: dict[str, int] = {}
+        for some in batches(self.memo.missing({p for x in cut for p in x})):
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                if len(p) <= KEPT_BYTES:
+                    self.memo.add(p, len(e))
+                else:
+                    long[p] = len(e)
+        held = self.memo.held | long if long else self.memo.held
+        out = [sum(map(held.__getitem__, x)) for x in cut]
+        self.memo.turn()
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -86,9 +87,11 @@ def count_udf(path: str):
     from .bpe import local_file
 
     @F.arrow_udf("long")
-    def count(texts: pa.Array) -> pa.Array:
-        counter, held = load(local_file(path)), strings(texts)
-        return pa.array([n for s in slices(held) for n in counter.count(held[s])], type=pa.int64())
+    def count(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        counter = load(local_file(path))
+        for texts in columns:
+            yield pa.array([n for some in parts(texts) for held in [strings(some)] for s in slices(held) for n in counter.count(held[s])], type=pa.int64())
+        counter.forget()  # a worker may go on with tasks of other kinds
 
     return count
 

@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 
 from quillstone.llm import bpe, token_counts
 from quillstone.llm.queries import QUERIES
+from quillstone.llm.text import Memo
 
 WORD, BYTE = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 ALPHABET = "ab's é́<|endoftext|>Σς 1٣\n\t\x85😀-　"
@@ -15,7 +16,7 @@ ALPHABET = "ab's é́<|endoftext|>Σς 1٣\n\t\x85😀-　"
 
 def strings():
     rng = random.Random(3)
-    fixed = ["", " ", "Σ ΑΣ", "<|startoftext|>hi<|endoftext|> <|endoftext|>x", "a  b   c \n\n d\t", "İstanbul ǅ ß", "aa" * 700, "x\x1cy \x1f", "\n a\n", " ́ a", "it's I'LL 12345"]
+    fixed = ["", " ", "Σ ΑΣ", "<|startoftext|>hi<|endoftext|> <|endoftext|>x", "a  b   c \n\n d\t", "İstanbul ǅ ß", "aa" * 700, "x\x1cy \x1f", "\n a\n", " ́ a", "it's I'LL 12345", "!\x1fa", "\x1c\x1d!", "´\x1é \x1f"]
     return fixed + ["".join(rng.choice(ALPHABET) for _ in range(rng.randrange(1, 40))) for _ in range(500)]
 
 
@@ -37,13 +38,37 @@ def test_segment_tree_takes_the_leftmost_lowest_pair():
     assert own.encode_pieces([w.encode() for w in words]) == [library.encode(w, add_special_tokens=False).ids for w in words]
 
 
-def test_memo_is_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "MEMO", 50)
+def test_runs_of_marks_and_separators_equal_the_library():
+    """White space, separators from \\x1c to \\x1f, marks, letters and digits in any order, 30,000 times."""
+    rng = random.Random(11)
+    alphabet = "!?.-\x1c\x1d\x1e\x1f´́_a1Zß \t\x85'<|>"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 14))) for _ in range(30_000)]
+    for path, own in ((WORD, bpe.Bpe(WORD)), (BYTE, token_counts.Counter(BYTE))):
+        library = Tokenizer.from_file(path)
+        want = [e.ids for k in range(0, 30_000, 1000) for e in library.encode_batch(texts[k : k + 1000], add_special_tokens=False)]
+        if path == WORD:
+            assert [x[1] for x in own.encode_batch(texts)] == [" ".join(map(str, x)) for x in want]
+        else:
+            assert own.count(texts) == [len(x) for x in want]
+
+
+def test_memos_are_bounded():
     own, library = bpe.Bpe(WORD), Tokenizer.from_file(WORD)
+    own.words, own.said = Memo(5_000), Memo(3_000)
     for k in range(20):
-        text = " ".join(f"w{k}x{i}" for i in range(40))
+        text = " ".join(["the", "again", *(f"w{k}x{i}" for i in range(40))])
         assert own.encode_batch([text])[0][0] == len(library.encode(text, add_special_tokens=False).ids)
-        assert len(own.memo) <= 50
+        assert all(len(m.held) + len(m.before) < 150 for m in (own.words, own.said))
+        assert "the" in own.words.held or "the" in own.words.before
+
+
+def test_batches_are_alike_in_bytes():
+    rng = random.Random(1)
+    parts = ["é" * rng.randrange(1, 30) for _ in range(5000)] + ["x" * 9000]
+    found = token_counts.batches(parts, 10_000)
+    sizes = [sum(len(p.encode()) for p in b) for b in found]
+    assert sorted(p for b in found for p in b) == sorted(parts) and max(sizes) - min(sizes) < 10_000 and max(sizes) < 20_000
+    assert token_counts.batches([]) == [[]] and token_counts.batches(["a"]) == [["a"]]
 
 
 def test_counts_equal_the_library(texts):
