@@ -4,8 +4,9 @@ Each document has the key -ln(u) / weight, with u from a hash of its id and weig
 are a weighted sample without replacement. A source takes whole passes over its documents first (epochs); the rest of
 its target is the prefix of its documents, by key, whose size is nearest to what is left.
 
-No source is sorted whole. Keys fall in `buckets` ranges; sizes are summed by source and range, and only the range in
-which a source's budget ends is sorted. What decides for a document is then one row for its source.
+No source is sorted whole. The keys of each source are cut in `buckets` ranges, sizes are summed by source and range, and
+the range in which the source's budget ends is cut again, until it has SORTED rows at most; only these are sorted. What
+decides for a document is then one row for its source.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A word of letters, with a full stop or comma at most, before white space.
 PLAIN_WORD = r"\p{L}+[.,]?[\x20\x09-\x0D]"
 BUCKETS = 1024
+#: Rows of a source's last range, which are sorted in one task.
+SORTED = 5_000
 
 
 def word_count(text: Column) -> Column:
@@ -56,45 +59,60 @@ def targets(sources: DataFrame, weights: tuple[float, ...], most: int) -> DataFr
     return found.select("source", "no_source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, size: Column, weight: Column, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, buckets: int = BUCKETS, seed: str = "mix", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """Adds size, source_size, target and taken (words that the mix takes of the document: its size times 0 to `most`).
+def _narrowed(small: DataFrame, ends: DataFrame, own: list[str], buckets: int) -> DataFrame:
+    """Of each source's range from low to high, the part in which the budget ends: low, high, n (rows), and before: the size
+    of all keys below. A source whose budget takes nothing, as it has no size, goes."""
+    inside = small.join(ends.drop("n"), own).where("key BETWEEN low AND high")
+    bucket = F.when(F.col("high") > F.col("low"), F.least(F.lit(buckets - 1), F.floor((F.col("key") - F.col("low")) / (F.col("high") - F.col("low")) * buckets))).otherwise(0)
+    parts = inside.groupBy(*own, "budget", "before", bucket.alias("bucket")).agg(F.sum("size").alias("size"), F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"))
+    reached = F.col("before") + F.sum("size").over(Window.partitionBy(*own).orderBy("bucket"))  # at most `buckets` rows a source
+    parts = parts.withColumn("reached", reached).withColumn("before", F.col("reached") - F.col("size"))
+    return written(parts.where("before <= budget AND budget < reached").select(*own, "budget", "before", "low", "high", "n"))
+
+
+def mix(docs: DataFrame, size: Column, weight: Column, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, buckets: int = BUCKETS, seed: str = "mix", doc_id: str = "doc_id", source: str = "source", prefix: str = "") -> DataFrame:
+    """Adds size, source_size, target and taken (words that the mix takes of the document: its size times 0 to `most`), their
+    names after `prefix`.
 
     Every row stays. Sources go by code point, null last and a source of its own; empty texts have size 0 and take 0; rows
     that repeat an id share its key and are taken alike, a null id counts as the text ''; an empty table stays empty;
     columns of the added names are replaced, others pass. Reruns agree: nothing depends on the order of rows."""
-    key = -F.log(uniform(F.col(doc_id), seed)) / weight
-    order = F.struct(F.col("__key"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"))
-    rows = docs.withColumns({"__size": size.cast("long"), "__key": key, "__source": F.coalesce(F.col(source), F.lit("")), "__no_source": F.col(source).isNull()})
-    rows = rows.withColumn("__bucket", F.floor(F.lit(float(buckets)) * (1 - F.exp(-F.col("__key")))).cast("int"))
-    small = written(rows.select(F.col("__source").alias("source"), F.col("__no_source").alias("no_source"), F.col("__bucket").alias("bucket"), order.alias("place"), F.col("__size").alias("size")))
-
+    host = F.col(f"`{source}`")
+    key = -F.log(uniform(F.col(f"`{doc_id}`"), seed)) / weight
+    rows = docs.withColumns({"__mix_size": size.cast("long"), "__mix_key": key, "__mix_id": F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")), "__mix_source": F.coalesce(host, F.lit("")), "__mix_no_source": host.isNull()})
     own = ["source", "no_source"]
-    ranges = written(small.groupBy(*own, "bucket").agg(F.sum("size").alias("size")))  # at most `buckets` rows a source
-    plan = targets(ranges.groupBy(*own).agg(F.sum("size").alias("source_size")), weights, most)
+    small = written(rows.select(*[F.col(f"__mix_{c}").alias(c) for c in (*own, "key", "id", "size")]))
+    plan = small.groupBy(*own).agg(F.sum("size").alias("source_size"), F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"))
+    plan = written(plan)  # one row a source
+    goals = targets(plan.drop("low", "high", "n"), weights, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = plan.withColumn("epochs", epochs).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
-    reached = F.sum("size").over(Window.partitionBy(*own).orderBy("bucket"))
-    ends = ranges.withColumn("reached", reached).withColumn("before", F.col("reached") - F.col("size")).join(plan, own)
-    ends = ends.where((F.col("before") <= F.col("budget")) & (F.col("budget") < F.col("reached"))).select(*own, "bucket", "before", "budget")
-    sizes = small.join(ends, [*own, "bucket"]).groupBy(*own, "place", "before", "budget").agg(F.sum("size").alias("size"))
-    up_to = F.col("before") + F.sum("size").over(Window.partitionBy(*own).orderBy("place"))
-    choices = sizes.select(*own, "place", F.abs(up_to - F.col("budget")).alias("off"))
-    none = ends.select(*own, F.abs(F.col("before") - F.col("budget")).alias("off_none"), "bucket")
-    best = choices.groupBy(*own).agg(F.min(F.struct("off", "place")).alias("best"))
-    best = none.join(best, own, "left").select(*own, F.col("bucket").alias("end_bucket"), F.when(F.col("best.off") < F.col("off_none"), F.col("best.place")).alias("end_place"))
-    plan = written(plan.join(best, own, "left").select(F.col("source").alias("__source"), F.col("no_source").alias("__no_source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("epochs").alias("__epochs"), "end_bucket", "end_place"))
-
-    out = rows.join(plan, ["__source", "__no_source"])  # Spark broadcasts the sources' rows if their size allows
-    chosen = (F.col("__bucket") < F.col("end_bucket")) | ((F.col("__bucket") == F.col("end_bucket")) & F.coalesce(order <= F.col("end_place"), F.lit(False)))
-    taken = F.col("__size") * (F.col("__epochs") + F.coalesce(chosen, F.lit(False)).cast("int"))
-    out = out.withColumns({"size": F.col("__size"), "source_size": F.col("__source_size"), "target": F.col("__target"), "taken": taken})
-    return out.drop("__source", "__no_source", "__size", "__key", "__bucket", "__source_size", "__target", "__epochs", "end_bucket", "end_place")
-
-
-def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    goals = written(goals.withColumn("epochs", epochs).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")))
+    ends = plan.join(goals.select(*own, "budget"), own).withColumn("before", F.lit(0).cast("long"))
+    ends = _narrowed(small, ends.select(*own, "budget", "before", "low", "high", "n"), own, buckets)
+    while not ends.where(F.col("n") > SORTED).where("low < high").isEmpty():
+        ends = _narrowed(small, ends, own, buckets)
+
+    last = small.join(ends, own).where("key BETWEEN low AND high").groupBy(*own, "key", "id", "before", "budget").agg(F.sum("size").alias("size"))
+    up_to = F.col("before") + F.sum("size").over(Window.partitionBy(*own).orderBy("key", "id"))
+    place = F.struct(F.abs(up_to - F.col("budget")).alias("off"), "key", "id")
+    best = last.select(*own, place.alias("place")).groupBy(*own).agg(F.min("place").alias("best"))
+    taken = F.col("best.off") < F.abs(F.col("before") - F.col("budget"))  # else nothing of the last range is nearer
+    best = ends.join(best, own).select(*own, "low", F.when(taken, F.col("best.key")).alias("end_key"), F.when(taken, F.col("best.id")).alias("end_id"))
+    plan = goals.join(best, own, "left").select(*[F.col(c).alias(f"__mix_{c}") for c in (*own, "source_size", "target", "epochs", "low", "end_key", "end_id")])
+
+    c = {x: F.col(f"__mix_{x}") for x in ("key", "id", "size", "source_size", "target", "epochs", "low", "end_key", "end_id")}
+    chosen = (c["key"] < c["low"]) | (c["key"] < c["end_key"]) | ((c["key"] == c["end_key"]) & (c["id"] <= c["end_id"]))
+    out = rows.join(written(plan), ["__mix_source", "__mix_no_source"])  # Spark broadcasts the sources' rows if their size allows
+    out = out.withColumns({f"{prefix}size": c["size"], f"{prefix}source_size": c["source_size"], f"{prefix}target": c["target"], f"{prefix}taken": c["size"] * (c["epochs"] + F.coalesce(chosen, F.lit(False)).cast("int"))})
+    inner = [f"__mix_{x}" for x in (*own, "key", "id", "size", "source_size", "target", "epochs", "low", "end_key", "end_id")]
+    return out.drop(*[x for x in inner if x not in (f"{prefix}{y}" for y in ("size", "source_size", "target"))])
+
+
+def repeated(mixed: DataFrame, columns: list[str], prefix: str = "") -> DataFrame:
     """The mix itself: each document as many times as it is taken, with the given columns only."""
-    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    return mixed.where(F.col("taken") > 0).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).select(*columns)
+    size, taken = F.col(f"{prefix}size"), F.col(f"{prefix}taken")
+    times = F.when(size > 0, taken / size).otherwise(0).cast("int")
+    return mixed.where(taken > 0).withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*columns)
 
 
 #: The same in DuckDB SQL; documents is the input.
