@@ -11,15 +11,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linear import remainder
 from .text import LETTERS, parts, slices
 
-BITS, SIZES, WINDOW = 13, (2, 3, 4), 2048
-#: Training texts of each language and their characters, landmarks over all languages, and the ridge.
-PER_LANGUAGE, EXCERPT, LANDMARKS, RIDGE = 500, 2000, 300, 1e-2
+BITS, SIZES, WINDOW = 14, (2, 3, 4), 2048
+#: Bounds of the labelled sample: windows of each language, windows over all languages, languages (the most frequent ones),
+#: and characters of a window, which may come from any place of any labelled text.
+PER_LANGUAGE, OVERALL, LANGUAGES, CHARS = 500, 20_000, 400, 2000
+#: Landmarks over all languages, and the ridge.
+LANDMARKS, RIDGE = 300, 1e-2
 LETTER = regex.compile(r"\p{L}")
 NONE = "und"
 
@@ -88,29 +91,55 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     languages = sorted({lang for lang, _ in rows})
     if not rows:
         return Model([], np.zeros((1 << BITS, 1), dtype=np.float32))
-    x, owner = presence([t.encode() for _, t in rows])
-    x = _normal(x)
-    y = np.array([[1.0 if rows[o][0] == lang else -1.0 for lang in languages] for o in owner])
-    chosen = np.random.default_rng(7).permutation(len(x))[:landmarks]
-    marks = x[chosen]
-    k_nm = (x @ marks.T).astype(np.float64)
+    raw = [t.encode() for _, t in rows]
+    owner = presence_owner(raw)
+    chosen = np.sort(np.random.default_rng(7).permutation(len(owner))[:landmarks])
+    marks, products, answers, first = [], [], [], 0
+    for s in slices(raw, WINDOW * 128):  # the landmarks, then every window's kernel with them
+        x, _ = presence(raw[s])
+        marks.append(_normal(x[chosen[(chosen >= first) & (chosen < first + len(x))] - first]))
+        first += len(x)
+    marks = np.concatenate(marks)
+    for s in slices(raw, WINDOW * 128):
+        x, own = presence(raw[s])
+        products.append((_normal(x) @ marks.T).astype(np.float64))
+        answers.append([[1.0 if rows[s.start + o][0] == lang else -1.0 for lang in languages] for o in own])
+    k_nm, y = np.concatenate(products), np.concatenate(answers)
     k_mm = k_nm[chosen]
-    a = k_nm.T @ k_nm + ridge * len(x) * k_mm + 1e-6 * len(x) * np.eye(len(chosen))
+    a = k_nm.T @ k_nm + ridge * len(k_nm) * k_mm + 1e-6 * len(k_nm) * np.eye(len(chosen))
     coefficients = np.linalg.solve(a, k_nm.T @ y)
     return Model(languages, (marks.T @ coefficients).astype(np.float32))
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, excerpt: int = EXCERPT, text: str = "text", lang: str = "lang", **how) -> Model:
-    """Learns from about `per_language` texts of each language, chosen by a hash of doc_id; of each its first `excerpt`
-    characters. Rows that are held out, or have no language or text, are not learned."""
-    usable = docs.select("doc_id", F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    totals = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
-    if not totals:
+def presence_owner(texts: list[bytes], window: int = WINDOW) -> np.ndarray:
+    """The text of each window."""
+    return np.repeat(np.arange(len(texts)), [max(1, -(-len(t) // window)) for t in texts])
+
+
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, chars: int = CHARS, text: str = "text", lang: str = "lang", **how) -> Model:
+    """Learns from windows of texts that are not held out and have a language: of each language those with the least draws, a
+    64-bit hash of doc_id, place and text, `per_language` at most. Every part of every such text may be drawn; equal windows
+    of equal rows are drawn once. Rows without a language or text are not learned."""
+    body, doc = F.col("text"), F.col("doc_id")
+    usable = docs.select("doc_id", F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
+    usable = usable.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(doc))
+    windows = F.ceil(F.length(body) / chars).cast("int")
+    counts = usable.groupBy("lang").agg(F.sum(windows).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()  # a row a language
+    if not counts:
         return fit([])
-    share = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, min(1.0, per_language / n))])
-    dice = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1_000_000)) / 1_000_000
-    rows = usable.where(dice < share[F.col("lang")]).select("lang", F.substring("text", 1, excerpt).alias("text"))
-    return fit([(r["lang"], r["text"]) for r in rows.collect()], **how)  # bounded: languages x per_language x excerpt
+    bound = max(1, min(per_language, OVERALL // len(counts)))
+    some = bound + 6 * bound**0.5 + 10  # a few more than are taken
+    most = {r["lang"]: min((1 << 63) - 1, -(1 << 63) + int(min(1.0, some / r["n"]) * (1 << 64))) for r in counts}
+    limit = F.create_map(*[F.lit(x) for item in most.items() for x in item])
+    marked = usable.where(F.col("lang").isin(list(most))).withColumn("h", F.xxhash64(F.lit("language"), "doc_id", "text")).withColumn("most", limit[F.col("lang")])
+    draws = F.transform(F.sequence(F.lit(0), windows - 1), lambda w: F.struct(F.xxhash64("h", w).alias("draw"), w.alias("w")))
+    chosen = F.filter(draws, lambda d: d["draw"] <= F.col("most"))
+    each = marked.withColumn("chosen", chosen).where(F.size("chosen") > 0)
+    each = each.select("lang", F.explode(F.transform("chosen", lambda d: F.struct(d["draw"].alias("draw"), F.substr(body, d["w"] * chars + 1, F.lit(chars)).alias("text")))).alias("c"))
+    each = each.groupBy("lang", F.col("c.draw").alias("draw")).agg(F.first("c.text").alias("text"))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))  # of a bounded number of rows
+    rows = each.withColumn("turn", turn).where(F.col("turn") <= bound).select("lang", "text")
+    return fit([(r["lang"], r["text"]) for r in rows.collect()], **how)  # OVERALL windows of `chars` characters at most
 
 
 def predict_udf(model: Model, spark):

@@ -102,21 +102,27 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % by
 
 
+def drawn(rows: DataFrame, draw: Column, bound: int) -> DataFrame:
+    """`bound` rows at most, those with the least draws (a 64-bit hash), ties by doc_id. Only rows below a threshold are
+    ordered, some more than `bound`."""
+    total, some = rows.count(), bound + 6 * bound**0.5 + 10
+    most = min((1 << 63) - 1, -(1 << 63) + int(min(1.0, some / max(total, 1)) * (1 << 64)))
+    return rows.withColumn("__draw", draw).where(F.col("__draw") <= F.lit(most)).orderBy("__draw", "doc_id").limit(bound).drop("__draw")
+
+
 def labelled_sample(labels: DataFrame, targets: list[str], held_out: Callable[[Column], Column], bound: int) -> DataFrame:
-    """About `bound` label rows at most, chosen by a hash of doc_id, held-out ids left out: doc_id and targets (0 or 1).
+    """`bound` label rows at most, chosen by a hash of doc_id, held-out and null ids left out: doc_id and targets (0 or 1).
 
     Rows that repeat a doc_id become one with the mean label rounded; null labels count as 0 if another target has one."""
     doc = F.col("doc_id")
     known = labels.where(doc.isNotNull() & ~held_out(doc) & F.coalesce(*targets).isNotNull())
     known = known.groupBy("doc_id").agg(*[F.round(F.avg(F.coalesce(F.col(t), F.lit(0)))).cast("int").alias(t) for t in targets])
-    total = known.count()
-    if total <= bound:
-        return known
-    return known.where(F.pmod(F.xxhash64(F.lit("sample"), doc), F.lit(1_000_000)) < int(1_000_000 * bound / total))
+    return drawn(known, F.xxhash64(F.lit("sample"), doc), bound)
 
 
 def sampled_features(docs: DataFrame, sample: DataFrame, features: Features, text: str = "text") -> DataFrame:
-    """Features of the sampled documents: doc_id, index, value and the targets. The sample is bounded, so it is broadcast."""
+    """Features of the sampled documents: doc_id, index, value and the targets, one row for each id; of rows that repeat an id
+    the least text. The sample is bounded, so it is broadcast."""
 
     @F.pandas_udf("index array<int>, value array<float>")
     def cut(texts):
@@ -125,9 +131,10 @@ def sampled_features(docs: DataFrame, sample: DataFrame, features: Features, tex
         rows = [r for x in texts for r in features.rows([(x or "").encode()])]
         return pd.DataFrame({"index": [i.astype(np.int32) for i, _ in rows], "value": [v.astype(np.float32) for _, v in rows]})
 
+    targets = [c for c in sample.columns if c != "doc_id"]
     own = docs.select("doc_id", F.col(f"`{text}`").alias("text"))
-    found = own.join(F.broadcast(sample), "doc_id")
-    return found.withColumn("f", cut("text")).select("doc_id", "f.*", *[c for c in sample.columns if c != "doc_id"])
+    found = own.join(F.broadcast(sample), "doc_id").groupBy("doc_id", *targets).agg(F.min("text").alias("text"))
+    return found.withColumn("f", cut("text")).select("doc_id", "f.*", *targets)
 
 
 def scores_udf(features: Features, weights: np.ndarray, biases: np.ndarray, names: list[str], spark, chain: np.ndarray | None = None):
@@ -150,4 +157,4 @@ def scores_udf(features: Features, weights: np.ndarray, biases: np.ndarray, name
     return score
 
 
-__all__ = ["Features", "Ftrl", "labelled_sample", "remainder", "sampled_features", "scores_udf", "sigmoid"]
+__all__ = ["Features", "Ftrl", "drawn", "labelled_sample", "remainder", "sampled_features", "scores_udf", "sigmoid"]

@@ -6,6 +6,7 @@ passes of updates over its rows, and the shards' weights are averaged. Scoring i
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,13 +39,13 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", features:
                     model.learn(index, value, label)
             w = model.weights()
             at = np.flatnonzero(w)
-            yield pa.RecordBatch.from_pydict({"n": pa.array([len(own)], pa.int64()), "at": pa.array([at.astype(np.int32)], pa.list_(pa.int32())), "w": pa.array([w[at].astype(np.float32)], pa.list_(pa.float32()))})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(own)], pa.int64()), "at": pa.array([at.astype(np.int32)], pa.list_(pa.int32())), "w": pa.array([w[at].astype(np.float32)], pa.list_(pa.float32()))})
 
     sample = labelled_sample(labels, [target], held_out, bound)
     rows = sampled_features(docs, sample, features).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    fitted = rows.repartition(shards, "shard").mapInArrow(fit, "n long, at array<int>, w array<float>")
+    fitted = rows.repartitionByRange(shards, "shard").mapInArrow(fit, "shard int, n long, at array<int>, w array<float>")
     total, out = 0, np.zeros(size + 1)
-    for row in fitted.toLocalIterator():  # one sparse vector of at most 2**bits weights for each shard
+    for row in sorted(fitted.collect(), key=lambda r: r["shard"]):  # one sparse vector of at most 2**bits weights for each shard
         out[row["at"]] += np.array(row["w"]) * row["n"]
         total += row["n"]
     out /= max(total, 1)
@@ -52,8 +53,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", features:
 
 
 def hash_of(doc_id: int) -> int:
-    import zlib
-
+    """Gives the order in which a shard's rows are learned."""
     return zlib.crc32(b"order" + str(doc_id).encode())
 
 

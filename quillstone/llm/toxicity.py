@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linear import Features, Ftrl, labelled_sample, remainder, sampled_features, scores_udf, sigmoid
+from .quality import hash_of
+from .storage import written
 
 FEATURES = Features(n=1, bits=20, letters=True, presence=True)
 BOUND, FOLDS, PASSES = 16_000, 3, 4
@@ -57,7 +59,7 @@ def _fit_category(rows: DataFrame, earlier: list[dict[int, np.ndarray]], target:
                     p.append(float(sigmoid(m[index] @ value + m[size : size + i] @ np.array(p[:i]) + m[-1])))
                 by.setdefault(r["model"], []).append((r["doc_id"], np.concatenate([index, np.arange(size, size + k)]), np.concatenate([value, p]), r[target]))
         for model, own in by.items():
-            own.sort(key=lambda x: hash((x[0], 7)))
+            own.sort(key=lambda x: (hash_of(x[0]), x[0]))
             ftrl = Ftrl(size + k, alpha=0.5, l1=10.0, l2=0.1)
             for _ in range(passes):
                 for _, index, value, label in own:
@@ -66,9 +68,9 @@ def _fit_category(rows: DataFrame, earlier: list[dict[int, np.ndarray]], target:
             yield pa.RecordBatch.from_pydict({"model": pa.array([model], pa.int32()), "at": pa.array([at], pa.list_(pa.int32())), "w": pa.array([w], pa.list_(pa.float64()))})
 
     models = F.filter(F.array(*[F.lit(i) for i in range(folds + 1)]), lambda m: m != F.col("fold"))
-    dealt = rows.withColumn("model", F.explode(models)).repartition(folds + 1, "model")
+    dealt = rows.withColumn("model", F.explode(models)).repartitionByRange(folds + 1, "model")
     out = {}
-    for r in dealt.mapInArrow(fit, "model int, at array<int>, w array<double>").toLocalIterator():
+    for r in dealt.mapInArrow(fit, "model int, at array<int>, w array<double>").collect():  # one sparse vector for each model
         m = np.zeros(size + k + 1)
         m[r["at"]] = r["w"]
         out[r["model"]] = m
@@ -78,8 +80,6 @@ def _fit_category(rows: DataFrame, earlier: list[dict[int, np.ndarray]], target:
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], features: Features = FEATURES, bound: int = BOUND, folds: int = FOLDS, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights [categories, 2**bits], biases, and the weights of earlier probabilities [categories, categories]. Zeros
     without labelled rows."""
-    from .storage import written
-
     size, k = 1 << features.bits, len(categories)
     sample = labelled_sample(labels, categories, held_out, bound)
     rows = sampled_features(docs, sample, features).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(folds)).cast("int"))
