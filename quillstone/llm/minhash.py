@@ -1,7 +1,7 @@
 """Document fingerprints: MinHash with universal hash permutations over word shingles, in vectorised numpy.
 
 A fingerprint has PERMUTATIONS minima, of which 16 bits each are kept. Two fingerprints are as alike as the share of equal
-minima, which estimates the Jaccard similarity of the shingle sets. For near-copies, bands of a signature are joined in
+parts, which estimates the Jaccard similarity of the shingle sets. For near-copies, bands of whole minima are joined in
 Spark, list by list against hubs, and candidates are verified on whole shingle sets.
 """
 
@@ -15,12 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import connected
+from .jaccard_join import links, sets_udf
+from .storage import lasting, salted_join, split_by, temporary, written
 from .text import encoded, grams, slices, words
 
 WORDS, PERMUTATIONS = 5, 128
 BANDS, BAND_ROWS = 24, 4
 #: Bytes of text in a range of ids, and ranges at most.
-RANGE_BYTES, RANGES = 4 << 20, 10_000
+RANGE_BYTES, RANGES = 4 << 20, 100_000
 _RNG = np.random.default_rng(1990)
 _A = _RNG.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
@@ -40,14 +43,19 @@ def signatures(texts: list[bytes], n: int = WORDS) -> np.ndarray:
     return out
 
 
+def kept(signature: np.ndarray) -> np.ndarray:
+    """The 16 bits of each minimum that a fingerprint has."""
+    return (signature & np.uint32(0xFFFF)).astype(">u2")
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of equal minima by row. Of an empty and another text it is 0, of two empty ones 1."""
+    """Share of equal parts of two fingerprints (`kept`), row by row. Of two empty texts it is 1."""
     return (a == b).mean(axis=1)
 
 
-def names(signature: np.ndarray) -> list[str]:
-    """Fingerprints as text: 4 hexadecimal digits for each minimum."""
-    return [row.tobytes().hex() for row in (signature & np.uint32(0xFFFF)).astype(">u2")]
+def names(parts: np.ndarray) -> list[str]:
+    """Fingerprints as text: 4 hexadecimal digits for each part."""
+    return [row.tobytes().hex() for row in parts]
 
 
 def edited(text: str, following: str) -> str:
@@ -56,21 +64,22 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, component_id long"
 
 
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of FIELDS from rows (range, ahead, doc_id, text), where a range's rows come one after another and one row from
-    ahead of it last."""
+    """Rows of FIELDS from rows (range, ahead, doc_id, text, component), where a range's rows come one after another and one
+    row from ahead of it last. A row with a component has no text and stands before the rows of its id."""
     rows: list[tuple] = []
+    known: tuple = (None, None)
 
     def emit(some: list[tuple]) -> pa.RecordBatch:
         own = [i for i in range(len(some) - 1) if not some[i][1]]
         after = [some[i + 1] for i in own]
         texts = [some[i][3] for i in own]
         changed = [edited(t, x[3]).encode() for t, x in zip(texts, after, strict=True)]
-        sign = signatures([t.encode() for _, _, _, t in some])
-        mine, theirs, new = sign[own], sign[[i + 1 for i in own]], signatures(changed)
+        sign = kept(signatures([x[3].encode() for x in some]))
+        mine, theirs, new = sign[own], sign[[i + 1 for i in own]], kept(signatures(changed))
         columns = [
             pa.array([some[i][2] for i in own], pa.int64()),
             pa.array([len(t) for t in texts], pa.int64()),
@@ -79,11 +88,16 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array(names(new), pa.string()),
             pa.array(likeness(mine, new), pa.float64()),
             pa.array(likeness(mine, theirs), pa.float64()),
+            pa.array([some[i][4] for i in own], pa.int64()),
         ]
         return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in FIELDS.split(", ")])
 
     for b in batches:
-        rows += zip(b.column("range").to_pylist(), b.column("ahead").to_pylist(), b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()], strict=True)
+        for range_, ahead, doc, text, component in zip(*(b.column(c).to_pylist() for c in ("range", "ahead", "doc_id", "text", "component")), strict=True):
+            if component is not None:
+                known = (doc, component)
+            else:
+                rows.append((range_, ahead, doc, text or "", known[1] if doc is not None and known[0] == doc else doc))
         for s in list(slices([r[3] for r in rows]))[:-1]:
             yield emit(rows[s.start : s.stop + 1])
         rows = rows[list(slices([r[3] for r in rows]))[-1].start :] if rows else rows
@@ -91,15 +105,16 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(rows)
 
 
-def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Rows (range, ahead, doc_id, text) sorted for `compare`. The ids are cut in ranges of about RANGE_BYTES of text, so
+def with_next(docs: DataFrame, components: DataFrame, text: str = "text") -> DataFrame:
+    """Rows (range, ahead, doc_id, text, component) sorted for `compare`. The ids are cut in ranges of about RANGE_BYTES of text, so
     one shuffle of the texts is enough; each range also gets the first rows of the range after it, the last one those of
     the first. Only the ranges' bounds and first ids, a bounded number, are known to the driver."""
     low = -(1 << 63)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(low)).alias("place"), F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(min(RANGES, max(1, total // RANGE_BYTES)))
-    cuts = rows.agg(F.percentile_approx("place", [i / n for i in range(1, n)] or [0.5], 20_000)).first()[0] or []
+    shares = ", ".join(f"{i / n}D" for i in range(1, n)) or "0.5D"
+    cuts = rows.agg(F.expr(f"percentile_approx(place, array({shares}), {2 * RANGES})")).first()[0] or []
     bounds = np.unique(np.array(cuts, dtype=np.int64)) if n > 1 else np.empty(0, dtype=np.int64)
 
     @F.arrow_udf("int")
@@ -116,18 +131,19 @@ def with_next(docs: DataFrame, text: str = "text") -> DataFrame:
         own = len(bounds) - np.searchsorted(bounds, places, side="right")
         return pa.array([[2 * o] + ([2 * before[p] + 1] if p in before else []) for o, p in zip(own.tolist(), places.tolist(), strict=True)], pa.list_(pa.int32()))
 
-    dealt = rows.withColumn("to", F.explode(ranges_of("place"))).withColumn("range", F.shiftright("to", 1)).withColumn("ahead", F.col("to") % 2 == 1)
-    dealt = dealt.repartition(max(1, len(heads)), "range").sortWithinPartitions("range", "ahead", F.desc("place"), "text")
-    return dealt.select("range", "ahead", "doc_id", "text")
+    dealt = rows.withColumn("to", F.explode(ranges_of("place"))).select(F.shiftright("to", 1).alias("range"), (F.col("to") % 2 == 1).alias("ahead"), "place", "doc_id", "text", F.lit(None).cast("long").alias("component"))
+    known = components.select(range_of("doc_id").alias("range"), F.lit(False).alias("ahead"), F.col("doc_id").alias("place"), "doc_id", F.lit(None).cast("string").alias("text"), F.col("component_id").alias("component"))
+    dealt = dealt.union(known).repartition(max(1, len(heads)), "range").sortWithinPartitions("range", "ahead", F.desc("place"), F.col("component").desc_nulls_last(), "text")
+    return dealt.select("range", "ahead", "doc_id", "text", "component")
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """Rows of FIELDS: each document's fingerprint, that of its text edited with the next document's, in descending order of
-    doc_id, and how alike they are.
+    doc_id, how alike they are, and the smallest doc_id among its near-copies (`near_copies`), its own if there is none.
 
-    Every row stays. Null texts count as empty; rows that repeat an id follow one another by text; null ids come last; a
-    single document is its own next; an empty table stays empty; other columns are not read."""
-    return with_next(docs, text).mapInArrow(compare, FIELDS)
+    Every row stays. Null texts count as empty; rows that repeat an id follow one another by text; null ids come last and
+    have no component; a single document is its own next; an empty table stays empty; other columns are not read."""
+    return with_next(docs, near_copies(docs, text=text), text).mapInArrow(compare, FIELDS)
 
 
 def fingerprint_udf():
@@ -136,7 +152,7 @@ def fingerprint_udf():
     @F.arrow_udf("string")
     def fingerprint(texts: pa.Array) -> pa.Array:
         held = encoded(texts)
-        return pa.array([x for s in slices(held) for x in names(signatures(held[s]))], pa.string())
+        return pa.array([x for s in slices(held) for x in names(kept(signatures(held[s])))], pa.string())
 
     return fingerprint
 
@@ -161,29 +177,34 @@ def bands_udf():
 
 
 def near_copies(docs: DataFrame, percent: int = 75, text: str = "text") -> DataFrame:
-    """doc_id and component_id (the smallest doc_id that verified links reach) for documents that share a band with another
-    text and have words. A pair at the limit meets in no band with a chance of about 1 in 9,000 (24 bands of 4 rows).
-    Equal texts are linked; null ids are left out; rows that repeat an id are one document."""
-    from .components import connected
-    from .jaccard_join import links, sets_udf
-    from .storage import salted_join, written
+    """doc_id and component_id (the smallest doc_id that verified links reach) of documents whose component has a smaller id.
 
+    Texts that share a band are candidates, whose whole shingle sets are compared; a pair at the limit meets in no band with
+    a chance of about 1 in 9,000 (24 bands of 4 rows). Equal texts are linked; texts without words and null ids are left
+    out; rows that repeat an id are one document."""
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    keyed = written(rows.select("doc_id", F.xxhash64("text").alias("key"), bands_udf()("text").alias("bands")))
-    met = keyed.select("doc_id", "key", F.explode("bands").alias("band"))
-    shared = written(met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"))
-    some = written(salted_join(met, shared, ["band"], "doc_id", "inner").select("doc_id", "key").distinct())
-    members = rows.withColumn("key", F.xxhash64("text")).join(some, ["doc_id", "key"]).select("doc_id", "key", sets_udf(WORDS)("text").alias("s"))
-    members = written(members.select("doc_id", "key", "s.*"))
-    classes = written(members.groupBy("cid").agg(F.first("shingles").alias("shingles"), F.first("key").alias("key")).withColumn("n", F.size("shingles")))
-    texts = classes.select("cid", "n", "key")
-    lists = salted_join(met, shared, ["band"], "doc_id", "inner").select("key", "band").distinct().join(texts, "key")
-    lists = written(lists.select(F.col("band").alias("key"), "cid", "n", F.lit(True).alias("heavy")))
-    found = links(classes, percent, lists=lists)
-    ids = members.select("doc_id", "cid").distinct()
-    twin = ids.groupBy("doc_id").agg(F.min("cid").alias("a"), F.count("*").alias("times")).where("times > 1")
-    twins = ids.join(twin.select("doc_id", "a"), "doc_id").select("a", F.col("cid").alias("b"))
-    groups = connected(found.union(twins).union(ids.select(F.col("cid").alias("a"), F.col("cid").alias("b")).distinct()))
-    placed = salted_join(ids, groups.withColumnRenamed("node", "cid"), ["cid"], "doc_id", "inner")
-    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return salted_join(placed, least, ["component"], "doc_id", "inner").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    rows = rows.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    with temporary(docs.sparkSession):
+        keyed = written(rows.select("doc_id", "key", bands_udf()("text").alias("bands")).where(F.size("bands") > 0))
+        one = written(keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))  # of equal texts
+        met = one.select("key", F.explode("bands").alias("band"))
+        shared = written(met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"))
+        maybe, _ = split_by(met, shared, ["band"])
+        met = written(salted_join(maybe, shared, ["band"], "key", "inner"))
+        some = written(met.select("key").distinct().join(one.select("key", "doc_id"), "key"))
+        texts, _ = split_by(rows, some, ["doc_id", "key"])
+        members = written(texts.join(some, ["doc_id", "key"]).select("key", sets_udf(WORDS)("text").alias("s")).select("key", "s.*"))
+        classes = written(members.groupBy("cid").agg(F.first("shingles").alias("shingles")).withColumn("n", F.size("shingles")))
+        named = written(members.select("key", "cid").distinct())
+        lists = met.join(named, "key").select(F.col("band").alias("key"), "cid").distinct().join(classes.select("cid", "n"), "cid")
+        found = links(classes, percent, lists=written(lists.select("key", "cid", "n", F.lit(True).alias("heavy"))))
+        ids = salted_join(keyed.select("doc_id", "key"), named, ["key"], "doc_id", "left")
+        ids = written(ids.select("doc_id", F.coalesce("cid", "key").alias("cid")).distinct())  # a text without candidates by itself
+        twin = ids.groupBy("doc_id").agg(F.min("cid").alias("a"), F.count("*").alias("times")).where("times > 1")
+        twins = ids.join(twin.select("doc_id", "a"), "doc_id").select("a", F.col("cid").alias("b"))
+        groups = connected(found.union(twins))
+        placed = salted_join(ids, groups.withColumnRenamed("node", "cid"), ["cid"], "doc_id", "left").withColumn("component", F.coalesce("component", "cid"))
+        placed = written(placed)
+        least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+        out = salted_join(placed, least, ["component"], "doc_id", "inner").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+        return lasting(out.where("component_id < doc_id"))
