@@ -12,7 +12,6 @@ states * classes.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +24,10 @@ from .storage import written
 from .text import encoded, slices, span_hashes, words
 
 STATES, CLASSES = 8, 4096  # the end's class is CLASSES
-#: Bytes of text in a chunk, and in a bucket of words; tokens in a segment; tokens taken through numpy at once.
-CHUNK_BYTES, BUCKET_BYTES, SEGMENT, TOKENS = 6 << 20, 24 << 20, 64, 200_000
+#: Bytes of text in a chunk, and in a bucket of words; places of tokens taken through numpy at once.
+CHUNK_BYTES, BUCKET_BYTES, TOKENS = 6 << 20, 24 << 20, 400_000
+#: Longer texts than WHOLE are cut in segments, whose chain is exact.
+WHOLE, SEGMENT = 1024, 64
 #: Rounds over all training texts go on until one raises the log10 likelihood by less than this for each token.
 GAIN = 0.001
 END = b""
@@ -37,23 +38,26 @@ def held_out(doc_id: Column) -> Column:
     return remainder(doc_id, 7) == 2
 
 
-def token_rows(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    """Tokens of all texts as places in a list of distinct words (the end is b""), that list, its classes, and the number of
-    tokens of each text."""
-    w = words(texts)
-    counts = w.counts
-    unique, first, place = np.unique(w.hashes, return_index=True, return_inverse=True)
-    spans = zip(w.begin[first].tolist(), w.end[first].tolist(), strict=True)
-    raw = w.data.tobytes()
-    known = [raw[b:e] for b, e in spans]
-    begin, end = w.begin[first], w.end[first]
-    tail = np.where(end - begin > 4, np.maximum(begin, end - 3), begin)
-    code = span_hashes(w.data, tail, end) ^ (end - begin > 4).astype(np.uint64)
-    classes = np.append((code % np.uint64(CLASSES)).astype(np.int64), CLASSES)
+def token_rows(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of all texts as places in a list of distinct words (the end is b"", and last), that list, its classes and 64-bit
+    hashes, and the number of tokens of each text."""
+    hashes, codes, spans_, counts, raw, at = [], [], [], [], [], 0
+    for s in slices(texts):
+        w = words(texts[s])
+        long = w.end - w.begin > 4
+        hashes.append(w.hashes)
+        codes.append(span_hashes(w.data, np.where(long, np.maximum(w.begin, w.end - 3), w.begin), w.end) ^ long.astype(np.uint64))
+        spans_.append(np.stack([w.begin, w.end]) + at)
+        counts.append(w.counts)
+        raw.append(w.data.tobytes())
+        at += len(raw[-1])
+    every, counts, data, span = np.concatenate(hashes), np.concatenate(counts), b"".join(raw), np.concatenate(spans_, axis=1)
+    unique, first, place = np.unique(every, return_index=True, return_inverse=True)
+    known = [data[b:e] for b, e in zip(*span[:, first].tolist(), strict=True)]
+    classes = np.append((np.concatenate(codes)[first] % np.uint64(CLASSES)).astype(np.int64), CLASSES)
     tokens = np.full(len(place) + len(texts), len(known), dtype=np.int64)
-    at = np.arange(len(place)) + w.text_of
-    tokens[at] = place
-    return tokens, [*known, END], classes, counts + 1
+    tokens[np.arange(len(place)) + np.repeat(np.arange(len(texts)), counts)] = place
+    return tokens, [*known, END], classes, np.append(unique, np.uint64(0)), counts + 1
 
 
 def planes(x: np.ndarray, kind: str) -> bytes:
@@ -80,27 +84,14 @@ def pack(batches: Iterator[pa.RecordBatch], buckets: int, chunk_bytes: int) -> I
 
     def flush() -> pa.RecordBatch:
         chunk = f"{part}-{number}"
-        index: dict[bytes, int] = {}
-        tokens, sizes, classes = [], [], []
-        for s in slices(texts):
-            t, known, c, n = token_rows(texts[s])
-            place = np.empty(len(known), dtype=np.int64)
-            for i, x in enumerate(known):
-                if (p := index.setdefault(x, len(index))) == len(classes):
-                    classes.append(c[i])
-                place[i] = p
-            tokens.append(place[t])
-            sizes.append(n)
-        every, size = np.concatenate(tokens), np.concatenate(sizes)
-        learned = np.repeat(~np.array(held), size)
-        counts = np.bincount(every[learned], minlength=len(index))
-        rows = [(0, -1, ids, np.packbits(np.array(held)).tobytes(), size.tolist(), planes(every, "<u4"), planes(np.array(classes), "<u2"), b"", b"", b"")]
-        by: dict[int, list[tuple[bytes, int]]] = {}
-        for x, p in index.items():
-            by.setdefault(zlib.crc32(x) % buckets, []).append((x, p))
-        for b, own in by.items():
-            at = np.array([p for _, p in own])
-            rows.append((1, b, [], b"", [], b"", planes(np.array(classes)[at], "<u2"), b"\n".join([x for x, _ in own]), planes(counts[at], "<u4"), planes(at, "<u4")))
+        every, known, classes, hashes, size = token_rows(texts)
+        counts = np.bincount(every[np.repeat(~np.array(held), size)], minlength=len(known))
+        rows = [(0, -1, ids, np.packbits(np.array(held)).tobytes(), size.tolist(), planes(every, "<u4"), planes(classes, "<u2"), b"", b"", b"")]
+        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        own, begins = np.unique(bucket[order], return_index=True)
+        for b, at in zip(own.tolist(), np.split(order, begins[1:]), strict=True):
+            rows.append((1, b, [], b"", [], b"", planes(classes[at], "<u2"), b"\n".join([known[p] for p in at.tolist()]), planes(counts[at], "<u4"), planes(at, "<u4")))
         k, b, i, h, s, t, c, w, n, p = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays(
             [pa.array(k, pa.int32()), pa.array(b, pa.int32()), pa.array([chunk] * len(rows), pa.string()), pa.array(i, pa.list_(pa.int64())), pa.array(h, pa.binary()), pa.array(s, pa.list_(pa.int32())), pa.array(t, pa.binary()), pa.array(c, pa.binary()), pa.array(w, pa.binary()), pa.array(n, pa.binary()), pa.array(p, pa.binary())],
@@ -144,71 +135,121 @@ class Model:
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, tokens: np.ndarray, distinct: np.ndarray):
         self.start, self.move, self.emit, self.tokens, self.distinct = start, move, emit, tokens, distinct
 
-    @property
-    def lasting(self) -> np.ndarray:
-        """The share of time in each state."""
-        v = self.start
-        for _ in range(64):
-            v = v @ self.move
-        return v / v.sum()
-
     def forward(self, classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """log10 likelihood of sequences of classes, which lie one after another. Segments of all sequences go side by side as
-        products of matrices [states, states]; then a sequence's segments are chained. Exact, as products are associative."""
-        k, emit = len(self.start), self.emit.T
-        grid, length, owner, position = segments(classes, sizes)
-        m = np.where((position == 0)[:, None, None], np.eye(k)[None], self.move[None]) * emit[grid[:, 0]][:, None, :]
-        scale = np.zeros(len(grid))
-        for t in range(1, grid.shape[1]):
-            live = int(np.searchsorted(-length, -t))
-            m[:live] = (m[:live].reshape(-1, k) @ self.move).reshape(live, k, k) * emit[grid[:live, t]][:, None, :]
-            if t % 8 == 0:
-                s = m[:live].sum(axis=(1, 2))
-                m[:live] /= s[:, None, None]
-                scale[:live] += np.log10(s)
-        out, v = np.zeros(len(sizes)), np.tile(self.start, (len(sizes), 1))
-        by_turn = np.argsort(position, kind="stable")
-        cuts = np.searchsorted(position[by_turn], np.arange(int(position.max(initial=-1)) + 2))
-        for turn in range(len(cuts) - 1):
-            at = by_turn[cuts[turn] : cuts[turn + 1]]
-            x = np.einsum("nk,nkj->nj", v[owner[at]], m[at])
-            s = x.sum(axis=1)
-            v[owner[at]] = x / s[:, None]
-            out[owner[at]] += np.log10(s) + scale[at]
+        """log10 likelihood of sequences of classes, which lie one after another. Sequences go side by side; of long ones the
+        segments do, as products of matrices [states, states], which are then chained. Exact, as products are associative."""
+        out, begin, emit = np.zeros(len(sizes)), np.cumsum(sizes) - sizes, np.ascontiguousarray(self.emit.T)
+        short, long = np.flatnonzero(sizes <= WHOLE), np.flatnonzero(sizes > WHOLE)
+        for g in groups(sizes[short]):
+            at = short[g]
+            grid, scale = grid_of(classes, begin[at], sizes[at]), np.zeros(len(at))
+            for t, live in enumerate(living(sizes[at])):
+                x = (self.start if t == 0 else x[:live] @ self.move) * emit[grid[t, :live]]
+                total = x.sum(axis=1)
+                x /= total[:, None]
+                scale[:live] += np.log10(total)
+            out[at] = scale
+        if len(long):
+            first, n, _, _, m, scale = self._chains(classes, begin[long], sizes[long], np.float64)
+            v = np.tile(self.start, (len(long), 1))
+            for p in range(int(n.max())):
+                some = np.flatnonzero(n > p)
+                x = np.einsum("nk,nkj->nj", v[some], m[first[some] + p])
+                total = x.sum(axis=1)
+                v[some] = x / total[:, None]
+                out[long[some]] += np.log10(total) + scale[first[some] + p]
         return out
 
+    def _chains(self, classes: np.ndarray, begin: np.ndarray, size: np.ndarray, kind: type) -> tuple[np.ndarray, ...]:
+        """Of long sequences cut in segments, one sequence's after another's: each sequence's first segment and number of
+        segments; each segment's begin and length, its matrix without scale, and the scale's log10."""
+        k, move = len(self.start), self.move.astype(kind)
+        most = self.emit.max(axis=0)
+        emit, lost = np.ascontiguousarray((self.emit / most).T).astype(kind), np.log10(most)
+        n = (size + SEGMENT - 1) // SEGMENT
+        first = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(first, n)
+        at, length = np.repeat(begin, n) + place * SEGMENT, np.minimum(SEGMENT, np.repeat(size, n) - place * SEGMENT)
+        m, scale = np.empty((len(at), k, k), dtype=kind), np.zeros(len(at))
+        for g in groups(length):
+            grid = grid_of(classes, at[g], length[g])
+            own = np.where((place[g] == 0)[:, None, None], np.eye(k, dtype=kind)[None], move[None]) * emit[grid[0]][:, None, :]
+            gone = np.zeros(len(g))
+            for t, live in enumerate(living(length[g])):
+                if t:
+                    own[:live] = (own[:live].reshape(-1, k) @ move).reshape(live, k, k) * emit[grid[t, :live]][:, None, :]
+                if t % 8 == 7 or t == len(grid) - 1:
+                    total = own[:live].sum(axis=(1, 2))
+                    own[:live] /= total[:, None, None]
+                    gone[:live] += np.log10(total)
+                gone[:live] += lost[grid[t, :live]]
+            m[g], scale[g] = own, gone
+        return first, n, at, length, m, scale
+
     def expected(self, classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Baum-Welch counts of sequences, flat: start, move, emit. Later segments of a sequence start from the lasting
-        shares of the states."""
+        """Baum-Welch counts of whole sequences, flat: start, move, emit."""
         return self.learned(classes, sizes)[:-1]
 
     def learned(self, classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """The counts of `expected`, and last the log10 likelihood of the segments."""
-        k, emit = len(self.start), self.emit.T
-        grid, length, _, position = segments(classes, sizes)
-        n, width = grid.shape
-        alpha, scales = np.zeros((width, n, k)), np.ones((width, n))
-        v = np.where((position == 0)[:, None], self.start[None], self.lasting[None])
-        for t in range(width):
-            live = int(np.searchsorted(-length, -t))
-            x = (v[:live] if t == 0 else alpha[t - 1, :live] @ self.move) * emit[grid[:live, t]]
-            scales[t, :live] = x.sum(axis=1)
-            alpha[t, :live] = x / scales[t, :live, None]
-        move, start = np.zeros((k, k)), np.zeros(k)
-        gammas, beta = np.zeros((width, n, k)), np.ones((n, k))
-        for t in range(width - 1, -1, -1):
-            live = int(np.searchsorted(-length, -t))
-            gammas[t, :live] = alpha[t, :live] * beta[:live]
-            if t == 0:
-                start += gammas[0, :live][position[:live] == 0].sum(axis=0)
+        """The counts of `expected`, and last the log10 likelihood of the sequences. A segment of a long sequence is entered
+        with what the segments before it say of the state, and left with what those after it say."""
+        k, begin = len(self.start), np.cumsum(sizes) - sizes
+        start, move, emit = self.start.astype(np.float32), self.move.astype(np.float32), np.ascontiguousarray(self.emit.T).astype(np.float32)
+        total = np.zeros(k + k * k + k * len(emit) + 1)
+        short, long = np.flatnonzero(sizes <= WHOLE), np.flatnonzero(sizes > WHOLE)
+        for g in groups(sizes[short]):
+            at = short[g]
+            total += self._counts(start, move, emit, grid_of(classes, begin[at], sizes[at]), sizes[at], None, None)
+        if len(long):
+            first, n, at, length, m, _ = self._chains(classes, begin[long], sizes[long], np.float32)
+            enter, leave = np.zeros((len(at), k), dtype=np.float32), np.ones((len(at), k), dtype=np.float32)
+            normal = lambda x: x / x.sum(axis=1, keepdims=True)
+            enter[first] = start
+            for p in range(1, int(n.max())):
+                own = first[n > p] + p
+                enter[own] = normal(np.einsum("nk,nkj->nj", enter[own - 1], m[own - 1]))
+            for p in range(int(n.max()) - 1, 0, -1):
+                own = first[n > p] + p
+                leave[own - 1] = normal(np.einsum("nkj,nj->nk", m[own], leave[own]))
+            opening = np.zeros(len(at), dtype=bool)
+            opening[first] = True
+            for g in groups(length):
+                total += self._counts(start, move, emit, grid_of(classes, at[g], length[g]), length[g], (opening[g], enter[g]), leave[g])
+        return total
+
+    def _counts(self, start, move, emit, grid: np.ndarray, length: np.ndarray, entered: tuple[np.ndarray, np.ndarray] | None, leave: np.ndarray | None) -> np.ndarray:
+        """Counts of sequences or segments, long ones first. entered: whether a segment opens its sequence, and the states before
+        it. leave: what follows says of its last state."""
+        k, (width, n), alive = len(start), grid.shape, living(length)
+        opening = np.ones(n, dtype=bool) if entered is None else entered[0]
+        before = None if entered is None else entered[1]
+        alpha, scales = np.zeros((width, n, k), dtype=np.float32), np.ones((width, n), dtype=np.float32)
+        for t, live in enumerate(alive):
+            if t:
+                x = alpha[t - 1, :live] @ move
             else:
-                y = emit[grid[:live, t]] * beta[:live] / scales[t, :live, None]
-                move += alpha[t - 1, :live].T @ y * self.move
-                beta[:live] = y @ self.move.T
+                x = start[None] if before is None else np.where(opening[:, None], start[None], before @ move)
+            x = x * emit[grid[t, :live]]
+            scales[t, :live] = x.sum(axis=1)
+            np.divide(x, scales[t, :live, None], out=alpha[t, :live])
+        moves, beta = np.zeros((k, k)), np.ones((n, k), dtype=np.float32)
+        if leave is not None:
+            beta = leave / (alpha[length - 1, np.arange(n)] * leave).sum(axis=1, keepdims=True)
         inside = np.arange(width)[:, None] < length[None, :]
-        cells, flat = grid.T[inside], gammas[inside]
-        counts = np.stack([np.bincount(cells, weights=flat[:, s], minlength=self.emit.shape[1]) for s in range(k)])
-        return np.concatenate([start, move.ravel(), counts.ravel(), [np.log10(scales).sum()]])
+        log = float(np.log10(scales[inside]).sum(dtype=np.float64))
+        for t in range(width - 1, -1, -1):
+            live = alive[t]
+            y = emit[grid[t, :live]] * beta[:live] / scales[t, :live, None]
+            alpha[t, :live] *= beta[:live]  # now the share of each state
+            if t:
+                # alpha of the place before is still without beta
+                moves += alpha[t - 1, :live].T @ y
+                beta[:live] = y @ move.T
+            elif before is not None:
+                moves += before[~opening].T @ y[~opening]
+        cells, flat = grid[inside], alpha[inside]
+        emits = np.stack([np.bincount(cells, weights=flat[:, s], minlength=len(emit)) for s in range(k)])
+        return np.concatenate([alpha[0][opening].sum(axis=0, dtype=np.float64), (moves * self.move).ravel(), emits.ravel(), [log]])
 
     def improved(self, counts: np.ndarray) -> Model:
         """The model of summed Baum-Welch counts; every state keeps a little of each class, by the classes' shares."""
@@ -228,28 +269,24 @@ class Model:
         return parts[0], parts[1], parts[2] + self.forward(classes[tokens], sizes)
 
 
-def segments(classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sequences cut in segments, long ones first: [segments, SEGMENT] of classes, length, sequence, place in the sequence."""
-    n = (sizes + SEGMENT - 1) // SEGMENT
-    owner = np.repeat(np.arange(len(sizes)), n)
-    position = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    begin = (np.cumsum(sizes) - sizes)[owner] + position * SEGMENT
-    length = np.minimum(SEGMENT, sizes[owner] - position * SEGMENT)
-    order = np.argsort(-length, kind="stable")
-    owner, position, begin, length = owner[order], position[order], begin[order], length[order]
-    inside = np.arange(SEGMENT)[None, :] < length[:, None]
-    grid = np.zeros((len(owner), SEGMENT), dtype=np.int64)
-    grid[inside] = classes[(begin[:, None] + np.arange(SEGMENT)[None, :])[inside]]
-    return grid, length, owner, position
+def groups(length: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of sequences, long ones first, so many at a time that padded to the longest they have TOKENS places or make one."""
+    order, at = np.argsort(-length, kind="stable"), 0
+    while at < len(order):
+        n = max(1, TOKENS // int(length[order[at]]))
+        yield order[at : at + n]
+        at += n
+
+
+def grid_of(classes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """[tokens, sequences] of classes, zeros after a sequence's end."""
+    steps = np.arange(int(length[0]))[:, None]
+    return np.where(steps < length[None, :], classes[np.minimum(begin[None, :] + steps, len(classes) - 1)], 0)
 
 
-def spans(sizes: np.ndarray) -> Iterator[tuple[slice, slice]]:
-    """Ranges of texts with about TOKENS tokens, and those of their tokens."""
-    ends = np.cumsum(sizes)
-    group = (ends - sizes) // TOKENS
-    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)] if len(sizes) else []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        yield slice(a, b), slice(int(ends[a] - sizes[a]), int(ends[b - 1]))
+def living(length: np.ndarray) -> list[int]:
+    """For each place the number of sequences, long ones first, that reach it."""
+    return np.searchsorted(-length, -np.arange(int(length[0])), side="left").tolist()
 
 
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -278,9 +315,8 @@ def train_round(packed: DataFrame, model: Model) -> tuple[Model, float]:
             for row in batch.to_pylist():
                 tokens, sizes, classes, out = _unpacked(row)
                 tokens, sizes = tokens[np.repeat(~out, sizes)], sizes[~out]
-                for d, t in spans(sizes):
-                    x = m.learned(classes[tokens[t]], sizes[d])
-                    total = x if total is None else total + x
+                x = m.learned(classes[tokens], sizes)
+                total = x if total is None else total + x
         if total is not None:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.float64())})
@@ -323,8 +359,7 @@ def score(docs: DataFrame, held: Column | None = None, states: int = STATES, gai
         n = np.zeros(len(classes))
         for r in counts.to_pylist():
             n[unplanes(r["places"], "<u4")] = unplanes(r["counts"], "<u8")
-        parts = [m.scores(tokens[t], sizes[d], classes, n) for d, t in spans(sizes)]
-        seen, base, own = (np.concatenate(x) for x in zip(*parts, strict=True))
+        seen, base, own = m.scores(tokens, sizes, classes, n)
         return pa.table({"doc_id": pa.array(row["ids"], pa.int64()), "held_out": pa.array(out), "n_tokens": pa.array(sizes), "n_known": pa.array(seen), "train_tokens": pa.array(np.full(len(sizes), int(m.tokens.sum()))), "base_score": pa.array(base), "score": pa.array(own)})
 
     texts = packed.where("kind = 0").select("chunk", "ids", "held", "sizes", "tokens", "classes")
