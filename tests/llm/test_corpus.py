@@ -140,16 +140,20 @@ def base(text):
 
 
 def judged(rows, limit, share):
-    """Rows of stats, base_failed and kept. Lines are counted over distinct texts of a host."""
+    """Rows of stats, base_failed, kept, lost words and the text's digest. Lines are counted over the documents of a host."""
     norm = lambda x: re.sub(r"[ \t\n\x0b-\r]+", " ", x.lower()).strip(" ")
-    texts = {(s, t or "") for _, t, s in rows}
-    counts = collections.Counter((s, x) for s, t in texts for x in {norm(y) for y in t.split("\n")} if x)
+    having = collections.defaultdict(set)
+    for i, t, s in rows:
+        for x in {norm(y) for y in (t or "").split("\n")} - {""}:
+            having[s, x].add((i, t or ""))
     out = []
     for i, t, s in rows:
-        st = base(t)
-        lost = sum(len(norm(y).split(" ")) for y in (t or "").split("\n") if norm(y) and counts[s, norm(y)] > limit)
+        st, lines = base(t), (t or "").split("\n")
+        above = [y for y in lines if norm(y) and len(having[s, norm(y)]) > limit]
+        lost = sum(len(norm(y).split(" ")) for y in above)
         failed = st[0] < 50 or 100 * st[4] > 50 * st[0]
-        out.append((str(i), *st, failed, not failed and not lost > share * st[0]))
+        left = "\n".join(y for y in lines if y not in above)
+        out.append((str(i), *st, failed, not failed and not lost > share * st[0], lost, hashlib.md5(left.encode()).hexdigest()))
     return sorted(out)
 
 
@@ -158,10 +162,16 @@ def test_line_rules(docs, odd, limit, share):
     for df in (docs, odd):
         got = line_rules.rules(df, line_limit=limit, lost_share=share)
         rows = [(r["doc_id"], r["text"], r["source"]) for r in df.collect()]
-        mine = sorted((str(r["doc_id"]), *(r[x] for x in line_rules.STATS), r["base_failed"], r["kept"]) for r in got.collect())
+        mine = sorted((str(r["doc_id"]), *(r[x] for x in line_rules.STATS), r["base_failed"], r["kept"], r["lost_words"], r["cleaned_md5"]) for r in got.collect())
         assert mine == judged(rows, limit, share)
         kept = line_rules.accepted(df, line_limit=limit, lost_share=share)
-        assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(x[0] for x in mine if x[-1])
+        assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(x[0] for x in mine if x[7])
+
+
+def test_copies_of_a_page_count_as_documents(spark):
+    rows = [(i, "a line\nof one page", "h") for i in range(21)] + [(0, "a line\nof one page", "h"), (50, "a line\nof another page", "h"), (51, "a line\nof another page", "g")]
+    got = line_rules.rules(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {r["doc_id"]: r["lost_words"] for r in got.collect()} == {**{i: 5 for i in range(21)}, 50: 2, 51: 0}
 
 
 def test_line_rules_of_nothing(none):
@@ -203,6 +213,19 @@ def test_mix_comes_near_its_targets(spark, buckets):
         assert {r["taken"] // r["size"] for r in v} <= {whole, whole + 1} and all(r["taken"] <= 3 * r["size"] for r in v)
 
 
+def test_a_range_is_cut_until_it_is_small(spark, monkeypatch):
+    """Most keys lie close together, as at a low weight: the result is that of one sort."""
+    rows = [(i, "w " * (1 + i % 5), "s", 0.05 if i % 10 else 1.0) for i in range(900)] + [(None, "n n", "t", 1.0)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, w double")
+    size = mixing.word_count(F.col("text"))
+    want = sorted(map(str, mixing.mix(df, size, F.col("w")).select("doc_id", "source", "size", "taken").collect()))
+    monkeypatch.setattr(mixing, "SORTED", 3)
+    rounds, one = [], mixing._narrowed
+    monkeypatch.setattr(mixing, "_narrowed", lambda *a: rounds.append(1) or one(*a))
+    got = mixing.mix(df, size, F.col("w"), buckets=4)
+    assert sorted(map(str, got.select("doc_id", "source", "size", "taken").collect())) == want and len(rounds) > 3
+
+
 def test_mix_of_odd_rows(odd, none):
     got = mixed(odd)
     assert got.count() == odd.count() and mixed(none).count() == 0
@@ -227,6 +250,26 @@ def test_fingerprints(docs, odd, monkeypatch):
         assert len({(r["doc_id"], r["fingerprint"]) for r in got} - {(r["doc_id"], texts[r["text"]]) for r in df.collect()}) == 0
 
 
+def test_minima_equal_plain_python():
+    """Each permutation's least value over the shingles' hashes, by loops; an order of words gives another shingle."""
+    text = "a b c d e f g h a b c d e"
+    (hashes, _), n = minhash.grams(minhash.words([text.encode()]), 5), 128
+    assert len(hashes) == 9 and len(set(hashes.tolist())) == 8  # one shingle comes twice
+    want = [min((int(h >> np.uint64(32)) * int(minhash._A[k]) + int(minhash._B[k])) % 2**32 for h in hashes) for k in range(n)]
+    assert minhash.signatures([text.encode()])[0].tolist() == want
+    assert minhash.names(minhash.kept(minhash.signatures([text.encode()]))) == ["".join(f"{x % 2**16:04x}" for x in want)]
+
+
+def test_likeness_is_that_of_the_fingerprints(spark, sf):
+    """near_edited and near_next from the returned texts; component_id by all pairs."""
+    rows = sorted(QUERIES["op9_minhash"](spark, sf).collect(), key=lambda r: -r["doc_id"])
+    share = lambda a, b: sum(a[i : i + 4] == b[i : i + 4] for i in range(0, 512, 4)) / 128
+    for r, x in zip(rows, [*rows[1:], rows[0]]):
+        assert (r["near_edited"], r["near_next"]) == (share(r["fingerprint"], r["edited_fingerprint"]), share(r["fingerprint"], x["fingerprint"]))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert {(str(r["doc_id"]), str(r["component_id"])) for r in rows} == {(i, c) for i, _, c in linked([(r["doc_id"], r["text"]) for r in docs])}
+
+
 def test_fingerprints_of_one_and_none(spark, none):
     one = minhash.fingerprints(spark.createDataFrame([(4, "a b c d e f")], "doc_id long, text string")).first()
     assert (one["n_chars"], one["near_next"]) == (11, 1.0) and minhash.fingerprints(none).count() == 0

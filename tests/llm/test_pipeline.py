@@ -17,7 +17,8 @@ def test_stages_return_documents_and_decide(spark, sf, docs, tmp_path):
         assert out.columns == docs.columns
         ids, before = [r["doc_id"] for r in out.collect()], {r["doc_id"] for r in held.collect()}
         if name == "language_id":
-            told = language_id.identify(held).where("language.lang_pred <> 'und'")
+            model = language_id.train(held)
+            told = language_id.identify(held, model).where(f"language.lang_pred <> 'und' AND language.score >= {1.25 / len(model.languages)}")
             assert sorted(ids) == sorted(r["doc_id"] for r in told.collect())
         if name == "quality_rules":
             assert sorted(ids) == sorted(r["doc_id"] for r in line_rules.rules(held).where("kept").collect())
@@ -50,6 +51,25 @@ def test_run_is_its_stages(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0 and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_texts_of_no_language_leave(spark, sf, docs):
+    rows = [(10**6 + i, t, None, "x", len(t)) for i, t in enumerate(["zqx", "... 123", "Von. Das ist ein ganz gew\u00f6hnlicher Satz und der n\u00e4chste auch"])]
+    some = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    kept = {r["doc_id"] for r in corpus_pipeline.languages(spark, some, sf).collect()}
+    model = language_id.train(some)
+    scores = {r["doc_id"]: r["language"] for r in language_id.identify(some, model).collect()}
+    assert 10**6 + 1 not in kept and len(kept) >= docs.count() - 3
+    assert kept == {i for i, x in scores.items() if x["lang_pred"] != "und" and x["score"] >= 1.25 / len(model.languages)}
+
+
+def test_a_column_named_size_passes_the_mix(spark, sf):
+    """Columns of documents may have the names that the mix adds; their values stay."""
+    rows = [(i, "w " * (3 + i % 5), f"s{i % 3}", 1000 + i, -i, i / 7, "e") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, taken int, target double, end_key string")
+    out = corpus_pipeline.source_mix(spark, df, sf)
+    assert out.schema == df.schema and out.count() > 0
+    assert all(tuple(r) == rows[r["doc_id"]] for r in out.collect())
+
+
 def test_odd_and_empty_documents(spark, odd, none, sf):
     for df in (odd, none):
         out = df
