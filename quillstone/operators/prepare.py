@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import open_label, period_label, risk_elements
@@ -36,15 +36,31 @@ def of(record: Column, keys: list[str], default: str | None = "") -> Column:
     return first_present(*[record[k] for k in keys], default=default)
 
 
-def records(payload: DataFrame) -> DataFrame:
-    """record and files of each element of data: array<struct<record: map, files: array>>; a record's own files come first,
-    else the outer ones; elements without a record go."""
-    each = payload.select(F.explode("data").alias("d"))
-    return each.where(F.col("d.record").isNotNull()).select(F.col("d.record").alias("record"), F.coalesce("d.files", F.array().cast("array<string>")).alias("files"))
+#: A training payload: an object whose data holds records with loosely named fields.
+PAYLOAD = "data array<struct<record:map<string,string>,files:array<string>>>"
+
+
+def payload(spark: SparkSession, path: str) -> DataFrame:
+    """data of landed payload files, one JSON object each (they are read whole). A file that holds anything else fails the job."""
+    whole = spark.read.text(path, wholetext=True)
+    good = F.json_object_keys("value").isNotNull()
+    text = F.when(good, F.col("value")).otherwise(F.raise_error(F.lit("the payload is no JSON object")).cast("string"))
+    return whole.select(F.from_json(text, PAYLOAD).alias("p")).select("p.data")
+
+
+def records(payloads: DataFrame, *keep: str) -> DataFrame:
+    """ordinal, record and files of each element of data: array<struct<record: map, files: array>>, and the columns to keep. A
+    record's own files come first (its value files, a JSON array), else the element's; elements without a record go."""
+    each = payloads.select(*keep, F.posexplode("data").alias("ordinal", "d")).where(F.col("d.record").isNotNull())
+    own = F.from_json(F.col("d.record")["files"], "array<string>")
+    files = F.when(F.coalesce(F.size(own), F.lit(0)) > 0, own).otherwise(F.coalesce("d.files", F.array().cast("array<string>")))
+    return each.select(*keep, "ordinal", F.col("d.record").alias("record"), files.alias("files"))
 
 
 def has_files(files: Column) -> Column:
-    return F.coalesce(F.exists(files, lambda x: F.coalesce(strip(x), F.lit("")) != ""), F.lit(False))
+    """Whether any of the attachments, texts or JSON of any depth, holds a value that is not empty."""
+    held = lambda x: F.regexp_replace(F.coalesce(strip(x), F.lit("")), r'(?U)^[\s\[\]{},]*$|"[^"]*"\s*:|""|\bnull\b', "")
+    return F.coalesce(F.exists(files, lambda x: F.regexp_replace(held(x), r"(?U)[\s\[\]{},]+", "") != ""), F.lit(False))
 
 
 def projected(rows: DataFrame, kind: str) -> DataFrame:
@@ -138,6 +154,31 @@ def sample_input(kind: str, content: Column, excerpt: Column, rules: Column) ->
     return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]), {"ignoreNullFields": "false"})
 
 
+#: What a sample asks for unless the caller says otherwise, by kind of review.
+INSTRUCTIONS = {"hk": "请判断档案应当开放还是控制。", "jd": "请判定档案的保管期限。"}
+
+
+def samples(rows: DataFrame, kind: str, basis_prefix: str, content: str = "text", excerpt: Column | None = None, rules: Column | None = None, instruction: str | None = None) -> DataFrame:
+    """Adds reject_reason, instruction, input and output to projected records with content and files: whole training samples of
+    the kind, hk or jd. Those with a reason are null in input and output."""
+    body = F.col(content)
+    reason = reject_reason(F.col("label"), F.col("basis"), body, has_files(F.col("files")), F.col("title"), F.col("date_time"))
+    none = F.array().cast("array<struct<rank:int,rule_id:string,source:string,text:string,score:double>>")
+    asked = sample_input(kind, body, body if excerpt is None else excerpt, F.coalesce(rules, none) if rules is not None else none)
+    told = sample_output(F.col("label"), basis_prefix, F.col("basis"), F.col("confidence"))
+    good = F.col("reject_reason").isNull()
+    out = rows.withColumn("reject_reason", reason)
+    return out.withColumns({"instruction": F.lit(instruction or INSTRUCTIONS[kind]), "input": F.when(good, asked), "output": F.when(good, told)})
+
+
+def marked_duplicates(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Adds duplicate: whether an earlier valid sample has the same input and output. Only hashes are sorted."""
+    key = F.when(F.col("reject_reason").isNull(), F.sha2(F.to_json(F.struct("input", "output")), 256))
+    turn = F.row_number().over(Window.partitionBy("__key").orderBy(*order))
+    light = rows.where("reject_reason IS NULL").select(*order, key.alias("__key")).withColumn("duplicate", turn > 1)
+    return rows.join(light.select(*order, "duplicate"), order, "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
+
+
 def first_wins(rows: DataFrame, key: list[Column], order: list[str]) -> DataFrame:
     """Of rows with an equal key the first in order. The key is hashed, so long texts are not sorted."""
     w = Window.partitionBy(F.sha2(F.concat_ws("\0", *key), 256)).orderBy(*order)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import CONTROL, OPEN, Profile, first_contained, inferred, keyword_list
-from ..functions.text import collapse, head_tail, one_decimal, strip
+from ..functions.text import collapse, head_tail, let, one_decimal, strip
 
 RESULT = "struct<result:string,basis:string,confidence:double,thinking:string>"
 # Sentences, marks and characters of answers.
@@ -26,7 +26,7 @@ BAD_REASONING = ["<与think内容", "推理摘要", "模型未输出明确", "
 LIMITATION = "未提供档案正文，本次仅依据题名、日期及档案元数据辅助判断，建议人工复核。"
 NO_RULES = "未检索到可核验的规范条款，审核依据不足。"
 TRADITIONAL, SIMPLIFIED = "該為開權處審發", "该为开权处审发"
-SPECIAL_TOKENS = ["<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>"]
+SPECIAL_TOKENS = ["<｜end▁of▁sentence｜>", "<|end_of_sentence|>", "<|endoftext|>", "</s>", "<|im_end|>", "<s>", "<pad>", "<unk>"]
 CUT = "\n【正文过长，中间部分已省略】\n"
 METADATA = {"门类": "archive_category", "机构或问题": "organization_problem", "全宗号": "fonds_no", "文号": "document_no", "责任者": "responsible_org", "原保管期限": "retention_period", "归档年度": "archive_year"}
 BODY_CHARS = 4000
@@ -135,8 +135,11 @@ class Parser:
         result = re.search("(?:审核结果[：:]|【审核结果】)\\s*[\"']?([^\\n\\r\"'【]{1,20})[\"']?", body)
         if result:
             basis = re.search(r"(?:审核依据[：:]|【审核依据】)\s*(.*?)(?=\n[^\n]{0,15}[：:]|\n【|\Z)", body, re.S)
+            said = " ".join(basis[1].split()).rstrip("。.,;；") if basis else ""
+            if not said and (basis := re.search(r"(?:审核依据[：:]|【审核依据】)\s*(.{5,200})", body)):  # what follows, labels included
+                said = basis[1].strip()
             sure = re.search(r"置信度[：:]\s*([0-9]{1,2}(?:\.[0-9])?)", body)
-            yield {"审核结果": result[1].strip().strip("\"'"), "审核依据": " ".join(basis[1].split()).rstrip("。.,;；") if basis else "", "置信度": float(sure[1]) if sure else 7.5, "思考过程": thinking}
+            yield {"审核结果": result[1].strip().strip("\"'"), "审核依据": said, "置信度": float(sure[1]) if sure else 7.5, "思考过程": thinking}
 
     def parse(self, body: str, thinking: str) -> tuple | None:
         return next((x for c in self.candidates(body, thinking) if (x := self.accepted(c, thinking))), None)
@@ -233,8 +236,20 @@ def guarded(result: Column, content: Column, keywords: Column) -> Column:
     return F.when(bare, weak).otherwise(result)
 
 
+def keyword_block() -> Column:
+    """What the keyword rules have decided, of the columns keywords and audit_result."""
+    words = keyword_list(F.col("keywords"))
+    said = F.col("audit_result")
+    met = F.concat(
+        F.lit("【关键字规则预审】命中关键字："), F.array_join(words, "、"), F.lit("\n关键字预审结果："), said,
+        F.lit("\n审核结果已经由关键字规则确定为【"), said, F.lit("】，不得改成其他结果。请结合命中关键字、档案正文和候选规范条款，生成审核依据、思考过程和置信度，并在JSON的审核结果字段中原样返回该结论。\n"),
+    )
+    return F.when(F.size(words) > 0, met).otherwise("【关键字规则预审】未提供或未命中关键字，请结合档案内容和候选规范条款独立判断开放或控制。\n")
+
+
 def prompt(p: Profile, system: str = "") -> Column:
-    """The model's question from the canonical columns title, date_time, content, METADATA and rules."""
+    """The model's question from the canonical columns title, date_time, content, METADATA and rules; for hk also keywords
+    and audit_result."""
     lines = [F.when(F.coalesce(strip(F.col(c)), F.lit("")) != "", F.concat(F.lit(label + "："), strip(F.col(c)))) for label, c in METADATA.items()]
     metadata = F.concat_ws("\n", *lines)
     metadata = F.when(metadata == "", "（未提供其他档案元数据）").otherwise(metadata)
@@ -243,7 +258,8 @@ def prompt(p: Profile, system: str = "") -> Column:
     rules = F.array_join(F.transform("rules", lambda r: F.concat(F.lit("["), r["rule_id"], F.lit("] 来源："), r["source"], F.lit("\n"), r["text"])), "\n\n")
     rules = F.when(F.coalesce(rules, F.lit("")) == "", "（未检索到候选规范条款）").otherwise(rules)
     head = F.concat(F.lit("题名为："), F.coalesce("title", F.lit("无题名")), F.lit(", 日期为："), F.substring(F.coalesce("date_time", F.lit("")), 1, 10))
-    question = F.concat_ws("\n", F.lit(system), F.lit("可选结果：" + "、".join(p.results)), head, F.lit("【档案元数据】"), metadata, F.lit("【档案正文】"), content, F.lit("【RAG检索到的候选规范条款】"), rules, F.lit("输出："))
+    block = [keyword_block()] if p.kind == "hk" else []
+    question = F.concat_ws("\n", F.lit(system), F.lit("可选结果：" + "、".join(p.results)), *block, head, F.lit("【档案元数据】"), metadata, F.lit("【档案正文】"), content, F.lit("【RAG检索到的候选规范条款】"), rules, F.lit("输出："))
     return question
 
 
@@ -254,7 +270,8 @@ def keyword_predictor(p: Profile) -> Callable[[Column], Column]:
     """A deterministic predictor: the result that the words of the text speak for, as JSON. All built-in functions."""
 
     def predict(text: Column) -> Column:
-        fields = F.struct(inferred(text, p).alias("审核结果"), F.lit(p.basis + "，按正文用词判断").alias("审核依据"), F.lit(8.0).alias("置信度"), F.lit("按正文用词出现次数比较得出结论").alias("思考过程"))
+        said = let(text, lambda t: inferred(t, p))  # the text is made once for all words
+        fields = F.struct(said.alias("审核结果"), F.lit(p.basis + "，按正文用词判断").alias("审核依据"), F.lit(8.0).alias("置信度"), F.lit("按正文用词出现次数比较得出结论").alias("思考过程"))
         return F.to_json(fields)
 
     return predict
@@ -290,6 +307,3 @@ def review(items: DataFrame, p: Profile, predict: Callable[[Column], Column], qu
 def response_rows(reviewed: DataFrame, key: str = "arid") -> DataFrame:
     r = F.col("result")
     return reviewed.select(F.col(key).alias("arid"), r["result"].alias("jg"), r["basis"].alias("yj"), r["confidence"].alias("zxd"), r["thinking"].alias("thinking"))
-
-
-

@@ -6,12 +6,14 @@ Records and chunks are never paired as such: both are lists of (id, term, count)
 from __future__ import annotations
 
 import re
+from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import bigrams, normalized, rule_id
+from ..functions.text import bigrams, normalized, rule_id, strip
 
 #: Characters of content that take part in retrieval.
 CONTENT_CHARS = 8000
@@ -42,25 +44,60 @@ def paragraph_chunks(text: Column, limit: int = 1200) -> Column:
     return chunks(text)
 
 
-def recursive_chunks(text: str, size: int = 1000, overlap: int = 100, separators: tuple[str, ...] = ("\n\n", "\n", "。", "；", "，", " ", "")) -> list[str]:
-    """Pieces of at most `size` characters, cut at the first of the separators that a piece has, with `overlap` characters
-    of the piece before at most."""
-    sep = next((s for s in separators if s == "" or s in text), "")
-    rest = separators[separators.index(sep) + 1 :]
-    parts = list(text) if sep == "" else [x + sep for x in text.split(sep)[:-1]] + [text.split(sep)[-1]]
-    out: list[str] = []
-    held: list[str] = []
-    for p in filter(None, parts):
-        if len(p) > size and rest:
-            out += (["".join(held)] if held else []) + recursive_chunks(p, size, overlap, rest)
-            held = []
+# Separators of the recursive splitter, in order, and the instruction of its samples.
+SEPARATORS = ("\n\n", "\n", "。", "，", "？", "《", "》", "（", "）", "“", "；", "：", "‘", "！")
+RULE_INSTRUCTION = "请学习以下内容并掌握相关知识:"
+
+
+def _cut(text: str, size: int, overlap: int, separators: tuple[str, ...]) -> Iterator[str]:
+    """Pieces of one text, white space stripped. A separator stays at the head of what follows it."""
+    at = next((i for i, x in enumerate(separators) if not x or x in text), len(separators) - 1)
+    mark, rest = separators[at], separators[at + 1 :]
+    head, *tail = text.split(mark) if mark else ("", *text)
+    held: deque[str] = deque()
+    total = 0
+
+    def flushed() -> Iterator[str]:
+        piece = "".join(held).strip()
+        if piece:
+            yield piece
+
+    for part in filter(None, [head, *(mark + x for x in tail)]):
+        if len(part) >= size:  # goes by the next separators, or stays long if there is none
+            yield from flushed()
+            held.clear()
+            total = 0
+            yield from _cut(part, size, overlap, rest) if rest else [part]
             continue
-        if sum(map(len, held)) + len(p) > size and held:
-            out.append("".join(held))
-            while held and (sum(map(len, held)) > overlap or sum(map(len, held)) + len(p) > size):
-                held.pop(0)
-        held.append(p)
-    return out + (["".join(held)] if held else [])
+        if held and total + len(part) > size:
+            yield from flushed()
+            while held and (total > overlap or total + len(part) > size):
+                total -= len(held.popleft())
+        held.append(part)
+        total += len(part)
+    yield from flushed()
+
+
+def recursive_chunks(text: str, size: int = 1000, overlap: int = 100, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    """Pieces of at most `size` characters, cut at the first of the separators that a text has, longer parts at the next ones;
+    pieces of one level share `overlap` characters at most. A part in which no separator is left stays as long as it is."""
+    return list(_cut(text or "", size, overlap, separators))
+
+
+def recursive_pieces(text: Column, size: int = 1000, overlap: int = 100, separators: tuple[str, ...] = SEPARATORS) -> Column:
+    """array<string>. A recursive fold, so an Arrow function; the text is one row's."""
+
+    @F.pandas_udf("array<string>")
+    def pieces(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: recursive_chunks(t, size, overlap, separators))
+
+    return pieces(text)
+
+
+def rule_samples(pieces: DataFrame, text: str = "text", min_chars: int = 100) -> DataFrame:
+    """Adds instruction, input and output of a rule corpus: the stripped piece as both; short pieces go."""
+    plain = strip(F.col(text))
+    return pieces.where(F.length(plain) >= min_chars).withColumns({"instruction": F.lit(RULE_INSTRUCTION), "input": plain, "output": plain})
 
 
 def corpus(lines: DataFrame, chunks: Column, min_chars: int = 20) -> DataFrame:
@@ -99,14 +136,21 @@ def weighted_postings(rules: DataFrame, key: str = "rule_id", ordinal: str = "or
     return postings.join(weighted, "term").join(rules.select(key, ordinal), key)
 
 
+#: Postings that are broadcast at most; more are joined by shuffles.
+BROADCAST_POSTINGS = 2_000_000
+
+
 def top_rules(queries: DataFrame, postings: DataFrame, key: str, text: Column, k: int = 3, rule: str = "rule_id", ordinal: str = "ordinal") -> DataFrame:
-    """key, rule, rank, score of the k best rules of each query; queries without a shared term have none.
+    """key, rule, rank, score of the k best rules of each query; queries without a shared term have none. A key is one query.
 
     Score: the shared terms' least counts times idf. Ties go by corpus order; scores are told apart to 8 decimals, below
-    which the order of summing shows. Only (key, rule) sums are shuffled, with partial sums before."""
-    terms = term_counts(queries, key, text)
+    which the order of summing shows. Queries are dealt by key once, before their terms are made: counts, sums and ranks
+    follow that. The rule corpus is the small side: its postings are counted, and broadcast up to BROADCAST_POSTINGS."""
+    dealt = queries.select(key, text.alias("__text")).repartition(key)
+    terms = term_counts(dealt, key, F.col("__text"))
+    few = postings.limit(BROADCAST_POSTINGS + 1).count() <= BROADCAST_POSTINGS
     part = F.least(terms["tf"], postings["tf"]) * F.col("idf")
-    scored = terms.join(postings, "term").groupBy(key, rule, ordinal).agg(F.sum(part).alias("score"))
+    scored = terms.join(F.broadcast(postings) if few else postings, "term").groupBy(key, rule, ordinal).agg(F.sum(part).alias("score"))
     best = Window.partitionBy(key).orderBy(F.round("score", 8).desc(), ordinal)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(key, rule, "rank", F.round("score", 4).alias("score"))
 
@@ -118,4 +162,5 @@ def attached(ranked: DataFrame, rules: DataFrame, key: str) -> DataFrame:
 
 
 def missing_kinds(kinds: DataFrame, known: DataFrame) -> DataFrame:
+    """Kinds of review that have no rule corpus."""
     return kinds.join(known, "kind", "left_anti")

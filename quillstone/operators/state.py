@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import percentage
+from ..functions.text import backoff, percentage
+from .ranks import numbered
 
 
 def registry_lookup(requests: DataFrame, registry: DataFrame, key: str = "model_id") -> DataFrame:
@@ -42,8 +43,8 @@ def admitted(requests: DataFrame, active: DataFrame, key: str) -> DataFrame:
 
 
 def queue_positions(waiting: DataFrame, order: list[str], group: list[str]) -> DataFrame:
-    """Adds position, from 1 in each queue."""
-    return waiting.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    """Adds position, from 1 in each queue; the first column of the order is a number or a time."""
+    return numbered(waiting, order, group, "position")
 
 
 def running_progress(events: DataFrame, run: str, order: list[str], value: Column) -> DataFrame:
@@ -62,6 +63,65 @@ def pending_callbacks(outbox: DataFrame, key: str, order: list[str]) -> DataFram
     return last.where(~F.col("sent"))
 
 
+def attempted(outbox: DataFrame, outcome: DataFrame, key: str, now: Column, delay: float = 2.0, most: int = 3) -> DataFrame:
+    """The outbox (key, attempts, sent, next_at in seconds, last_error) after a round: outcome holds key, status, code and error
+    of the entries that were tried. A failed one waits twice as long after each attempt, and after `most` attempts until it
+    is sent again as a whole (`renewed`)."""
+    both = outbox.join(outcome.withColumn("__tried", F.lit(True)), key, "left")
+    tried, good = F.coalesce("__tried", F.lit(False)), F.coalesce(accepted_reply(F.col("status"), F.coalesce("code", F.lit(0))), F.lit(False))
+    n = F.col("attempts") + tried.cast("int")
+    wait = F.when(n < most, now + backoff(F.lit(delay), n))
+    text = F.when(good, F.lit(None)).otherwise(F.coalesce("error", F.concat_ws(" ", F.lit("status"), F.col("status").cast("string"), F.lit("code"), F.col("code").cast("string"))))
+    columns = {"attempts": n, "sent": F.col("sent") | (tried & good), "next_at": F.when(tried & ~good, wait).when(~tried, F.col("next_at")), "last_error": F.when(tried, text).otherwise(F.col("last_error"))}
+    return both.select(*[columns.get(c, F.col(c)).alias(c) for c in outbox.columns])
+
+
+def due(outbox: DataFrame, now: Column) -> DataFrame:
+    """Entries that are not sent and whose time has come."""
+    return outbox.where(~F.col("sent") & (F.col("next_at") <= now))
+
+
+def renewed(outbox: DataFrame, now: Column) -> DataFrame:
+    """The outbox in which entries that have used up their attempts begin anew."""
+    over = ~F.col("sent") & F.col("next_at").isNull()
+    return outbox.withColumns({"attempts": F.when(over, 0).otherwise(F.col("attempts")), "next_at": F.when(over, now).otherwise(F.col("next_at"))})
+
+
+def review_callbacks(responses: DataFrame, request: str = "ai_audit_id", order: str = "number") -> DataFrame:
+    """request and payload: the JSON with all response rows of a request, in order of its items."""
+    rows = F.transform(F.sort_array(F.collect_list(F.struct(order, "arid", "jg", "yj", "zxd", "thinking"))), lambda r: r.dropFields(order))
+    return responses.groupBy(request).agg(rows.alias("data")).select(request, F.to_json(F.struct(F.col(request).alias("aiAuditId"), "data")).alias("payload"))
+
+
+def without_expired(rows: DataFrame, changed: str, now: Column, seconds: int) -> DataFrame:
+    """Rows that changed within the last seconds; the others are cleaned up."""
+    return rows.where(F.col(changed) > now - seconds)
+
+
+def seconds_per_record(tasks: DataFrame, group: list[str], seconds: str, records: str) -> DataFrame:
+    """Mean seconds for a record over all tasks of a group; null without records."""
+    n = F.sum(records)
+    return tasks.groupBy(*group).agg(F.when(n > 0, F.sum(seconds) / n).alias("seconds_per_record"))
+
+
+def registry_counts(registry: DataFrame, column: str = "model_type") -> DataFrame:
+    return registry.groupBy(column).agg(F.count("*").alias("n_models"))
+
+
+CONVERSATION = "array<struct<user:string,assistant:string>>"
+
+
+def saved_conversations(pairs: DataFrame, conversation: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """conversation and history: JSON of a conversation's answered exchanges in order."""
+    done = pairs.where("assistant IS NOT NULL").groupBy(conversation).agg(F.sort_array(F.collect_list(F.struct(turn, "user", "assistant"))).alias("h"))
+    return done.select(conversation, F.to_json(F.transform("h", lambda x: x.dropFields(turn))).alias("history"))
+
+
+def loaded_conversations(saved: DataFrame, conversation: str = "conv_id", history: str = "history") -> DataFrame:
+    """conversation, place (from 0), user and assistant of saved histories; what is no such JSON has no rows."""
+    return saved.select(conversation, F.posexplode(F.from_json(history, CONVERSATION)).alias("place", "x")).select(conversation, "place", "x.*")
+
+
 def accepted_reply(status: Column, code: Column) -> Column:
     """A reply counts if its HTTP status is 2xx and its own code 0 or 200."""
     return status.between(200, 299) & code.isin(0, 200)

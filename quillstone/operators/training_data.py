@@ -2,12 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import hash_bucket
+from ..functions.text import hash_bucket, strip
+from .ranks import numbered
 
 IGNORED = -100
+#: What a training prompt begins with unless the caller says otherwise, and what it ends with.
+SYSTEM = "请只输出合法JSON，审核依据和思考过程使用简体中文。"
+ANSWER_MARK = "请只输出一行JSON，不要输出解释性前缀。\n输出："
+
+
+def training_prompt(instruction: Column, question: Column, system: str = SYSTEM) -> Column:
+    """System text, instruction and question with a blank line between, and the mark of the answer."""
+    return F.concat_ws("\n\n", F.lit(system), strip(instruction), strip(question), F.lit(ANSWER_MARK))
+
+
+def answer_text(output: Column, eos: str) -> Column:
+    """The stripped output with one end mark."""
+    plain = strip(output)
+    return F.when(F.endswith(plain, F.lit(eos)), plain).otherwise(F.concat(plain, F.lit(eos)))
+
+
+def tokenized(samples: DataFrame, prompt: str, answer: str, load: Callable[[], Callable[[str], list[int]]], limit: int, eos_id: int, keep: str) -> DataFrame:
+    """keep (a column), input_ids, attention_mask and labels of samples, by a tokenizer that each task loads. An answer at the
+    limit is cut and ends with eos_id; the prompt keeps its first third and its end in what room is left."""
+    schema = f"`{keep}` {samples.schema[keep].dataType.simpleString()}, input_ids array<int>, attention_mask array<int>, labels array<int>"
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = load()
+        for b in batches:
+            ids, labels = [], []
+            for p, a in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                asked, told = tokens(p or ""), tokens(a or "")
+                if len(told) >= limit:
+                    told = [*told[: limit - 1], eos_id]
+                room = limit - len(told)
+                if len(asked) > room:
+                    head = max(1, room // 3) if room else 0
+                    asked = asked[:head] + asked[len(asked) - (room - head) :]
+                ids.append(asked + told)
+                labels.append([IGNORED] * len(asked) + told)
+            kind = pa.list_(pa.int32())
+            columns = [b.column(0), pa.array(ids, kind), pa.array([[1] * len(x) for x in ids], kind), pa.array(labels, kind)]
+            yield pa.RecordBatch.from_arrays(columns, names=[keep, "input_ids", "attention_mask", "labels"])
+
+    return samples.select(keep, prompt, answer).mapInArrow(encode, schema)
 
 
 def split_key(input_json: Column) -> Column:
@@ -48,9 +92,11 @@ def token_sample(prompt: Column, answer: Column, limit: int) -> dict[str, Column
 
 
 def padded(rows: DataFrame, batch: str, ids: str, pad: int) -> DataFrame:
-    """ids right-padded to the longest of the row's batch."""
-    longest = F.max(F.size(ids)).over(Window.partitionBy(batch))
-    return rows.withColumn(ids, F.concat(F.col(ids), F.array_repeat(F.lit(pad), longest - F.size(ids))))
+    """ids right-padded to the longest of the row's batch: a maximum for each batch, joined back, so that a large batch is
+    neither sorted nor held by one task."""
+    longest = rows.groupBy(F.col(batch).alias("__batch")).agg(F.max(F.size(ids)).alias("__longest"))
+    both = rows.join(longest, F.col(batch).eqNullSafe(F.col("__batch"))).drop("__batch")
+    return both.withColumn(ids, F.concat(F.col(ids), F.array_repeat(F.lit(pad), F.col("__longest") - F.size(ids)))).drop("__longest")
 
 
 def learnable(labels: Column) -> Column:
@@ -63,13 +109,28 @@ def length_statistics(rows: DataFrame, size: Column) -> DataFrame:
 
 def batches(rows: DataFrame, order: str, size: int, group: str) -> DataFrame:
     """Adds batch: rows of a group in order, `size` at a time; the last may be short."""
-    turn = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    return rows.withColumn("batch", F.floor(turn / size).cast("long"))
+    turn = F.col("__turn") - 1
+    return numbered(rows, [order], [group], "__turn").withColumn("batch", F.floor(turn / size).cast("long")).drop("__turn")
 
 
 def rank_shard(rows: DataFrame, order: str, world: int, group: str) -> DataFrame:
-    turn = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    return rows.withColumn("shard", F.pmod(turn, F.lit(world)).cast("long"))
+    turn = F.col("__turn") - 1
+    return numbered(rows, [order], [group], "__turn").withColumn("shard", F.pmod(turn, F.lit(world)).cast("long")).drop("__turn")
+
+
+def epoch_losses(steps: DataFrame, group: list[str], loss: str) -> DataFrame:
+    """Mean loss of each group's steps, to six decimals."""
+    return steps.groupBy(*group).agg(F.round(F.avg(loss), 6).alias("loss"))
+
+
+def training_metrics(epochs: DataFrame, run: str, epoch: str, loss: str, samples: DataFrame) -> DataFrame:
+    """run and metrics: JSON with best epoch and loss, sample counts (run, part: train or validation), and the losses by epoch."""
+    history = epochs.groupBy(run).agg(F.sort_array(F.collect_list(F.struct(F.col(epoch).alias("epoch"), F.round(loss, 6).alias("validation_loss")))).alias("history"))  # a run's epochs
+    part = lambda name: F.count_if(F.col("part") == name)
+    counts = samples.groupBy(run).agg(part("train").alias("train_sample_count"), part("validation").alias("validation_sample_count"))
+    both = best_epoch(epochs, run, epoch, loss).join(history, run).join(counts, run, "left")
+    fields = ["best_epoch", F.round("best_loss", 6).alias("best_validation_loss"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("train_sample_count", "validation_sample_count")), "history"]
+    return both.select(run, F.to_json(F.struct(*fields)).alias("metrics"))
 
 
 def mean_of_batch_means(rows: DataFrame, batch: str, loss: str, group: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import text as X
-from ..operators import prepare, review, rules, spans, state, training_data
+from ..operators import appraisal, prepare, requests, review, rules, spans, state, training_data
 from ..sources import attachments, jsonl
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,17 @@ def c(name: str) -> Column:
     return F.col(name)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder where the cluster shares files; a temporary one only where none is named, on a local master."""
+    import tempfile
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(folder or 'file://' + tempfile.mkdtemp()).rstrip('/')}/queries-{uuid.uuid4().hex}"
+
+
 # Rule retrieval
 
 BIGRAMS = """
@@ -80,12 +91,16 @@ def chunk_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    @F.udf("array<string>", useArrow=True)
-    def cut(text):
-        return rules.recursive_chunks(text or "", separators=("\n\n", "\n", ". ", " ", ""))
+    """Samples of a rule corpus from recursive pieces."""
+    each = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(rules.recursive_pieces(c("text"))).alias("chunk", "text"))
+    return rules.rule_samples(each).select("doc_id", "chunk", "instruction", "input", "output")
 
-    each = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(cut("text")).alias("chunk", "text"))
-    return each.where(F.length(X.strip(c("text"))) >= 100)
+
+@query("SELECT i AS item_id, i % 3 = 0 AS missing FROM (SELECT item_id AS i FROM benchmark) WHERE i % 3 = 0")
+def kinds_without_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = table(spark, sf_dir, "benchmark").select(c("item_id").cast("string").alias("kind"), "item_id")
+    known = kinds.where("item_id % 3 <> 0")
+    return rules.missing_kinds(kinds, known).select("item_id", F.lit(True).alias("missing"))
 
 
 @query("""SELECT doc_id, substr(n, 1, 40) AS head FROM (
@@ -128,14 +143,15 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.when(c("quality") == 1, "kf").when(c("quality") == 0, "不开放").otherwise("undefined")
     title = F.when(c("doc_id") % 7 == 0, " NULL ").otherwise(F.concat(F.lit(" Title "), c("doc_id").cast("string")))
     basis = F.when(c("doc_id") % 11 == 0, "").otherwise(F.concat(F.lit("basis of "), c("source"), F.lit("。；")))
-    keys = F.create_map(F.lit("tm"), title, F.lit("title"), F.when(c("doc_id") % 14 == 0, "second"), F.lit("year"), c("lang"), F.lit("kzf"), code, F.lit("依据"), basis, F.lit("confidence"), F.concat((c("doc_id") % 120).cast("string"), F.lit("%")), F.lit("ml"), c("source"))
-    payload = docs.groupBy("doc_id", "text").agg(F.collect_list(F.struct(keys.alias("record"), F.array("source").alias("files"))).alias("data"))
-    return payload.select("doc_id", "text", "data")
+    period = F.when(c("quality") == 1, "定期30年").when(c("quality") == 0, "永久").otherwise("无")
+    own = F.when(c("doc_id") % 3 == 0, F.to_json(F.array("lang", "source"))).when(c("doc_id") % 3 == 1, "[]")
+    keys = F.create_map(F.lit("tm"), title, F.lit("title"), F.when(c("doc_id") % 14 == 0, "second"), F.lit("year"), c("lang"), F.lit("kzf"), code, F.lit("依据"), basis, F.lit("confidence"), F.concat((c("doc_id") % 120).cast("string"), F.lit("%")), F.lit("ml"), c("source"), F.lit("bgqx"), period, F.lit("files"), own)
+    element = F.struct(keys.alias("record"), F.when(c("doc_id") % 5 == 0, F.array("source")).alias("files"))
+    return docs.select("doc_id", "text", F.array(element, F.struct(F.lit(None).cast("map<string,string>").alias("record"), F.array("lang").alias("files"))).alias("data"))
 
 
-def _projected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = _records(spark, sf_dir).select("doc_id", "text", F.explode("data").alias("d")).select("doc_id", "text", "d.record", "d.files")
-    return prepare.projected(each, "hk")
+def _projected(spark: SparkSession, sf_dir: str, kind: str = "hk") -> DataFrame:
+    return prepare.projected(prepare.records(_records(spark, sf_dir), "doc_id", "text"), kind)
 
 
 RECORDS = """(SELECT doc_id, text, CASE WHEN doc_id % 14 = 0 THEN 'second' WHEN doc_id % 7 = 0 THEN '无题名' ELSE 'Title ' || doc_id END AS title, lang AS date_time,
@@ -144,14 +160,21 @@ round_even(least(10.0, CASE WHEN doc_id % 120 > 10 THEN (doc_id % 120)::DOUBLE /
 FROM documents LEFT JOIN labels USING (doc_id))"""
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang || ',' || source WHEN doc_id % 5 = 0 THEN source ELSE '' END AS files, (doc_id % 3 = 0 OR doc_id % 5 = 0) AS has_files FROM documents""")
+def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record's own files come before those of its element."""
+    each = prepare.records(_records(spark, sf_dir), "doc_id")
+    return each.select("doc_id", F.array_join("files", ",").alias("files"), prepare.has_files(c("files")).alias("has_files"))
+
+
 @query(f"SELECT doc_id, title, date_time, label, basis, confidence, archive_category FROM {RECORDS}")
 def first_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _projected(spark, sf_dir).select("doc_id", "title", "date_time", "label", "basis", "confidence", "archive_category")
 
 
-def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reason = prepare.reject_reason(c("label"), c("basis"), c("text"), prepare.has_files(c("files")), c("title"), c("date_time"))
-    return _projected(spark, sf_dir).withColumn("reject_reason", reason)
+def _gated(spark: SparkSession, sf_dir: str, kind: str = "hk") -> DataFrame:
+    prefix = {"hk": "依据标准", "jd": "依据档案保管规范"}[kind]
+    return prepare.samples(_projected(spark, sf_dir, kind), kind, prefix)
 
 
 @query(f"""SELECT coalesce(reject_reason, 'valid') AS reject_reason, count(*) AS n FROM (SELECT CASE WHEN label IS NULL THEN 'label is not valid' WHEN basis = '' THEN 'no basis' END AS reject_reason FROM {RECORDS}) GROUP BY 1""")
@@ -159,13 +182,27 @@ def sample_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gated(spark, sf_dir).groupBy(F.coalesce("reject_reason", F.lit("valid")).alias("reject_reason")).agg(F.count("*").alias("n"))
 
 
+ANSWER = "`审核结果` string, `审核依据` string, `置信度` double, `思考过程` string"
+
+
+def _answers(samples: DataFrame) -> DataFrame:
+    """The answers are read from their JSON again."""
+    good = samples.where("reject_reason IS NULL").where(prepare.has_output_fields(c("output"))).withColumn("o", F.from_json("output", ANSWER))
+    return good.select("doc_id", "input", c("o")["审核结果"].alias("label"), c("o")["审核依据"].alias("basis"), c("o")["置信度"].alias("confidence"))
+
+
 @query(f"""SELECT doc_id, label, '依据标准，' || regexp_replace(basis, '[。.,;；]+$', '') AS basis, confidence FROM {RECORDS} WHERE label IS NOT NULL AND basis <> ''""")
 def labelled_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The answers are written as JSON and read again."""
-    good = _gated(spark, sf_dir).where("reject_reason IS NULL")
-    good = good.withColumn("output", prepare.sample_output(c("label"), "依据标准", c("basis"), c("confidence"))).where(prepare.has_output_fields(c("output")))
-    read = F.from_json("output", "`审核结果` string, `审核依据` string, `置信度` double, `思考过程` string")
-    return good.withColumn("o", read).select("doc_id", c("o")["审核结果"].alias("label"), c("o")["审核依据"].alias("basis"), c("o")["置信度"].alias("confidence"))
+    return _answers(_gated(spark, sf_dir)).drop("input")
+
+
+@query(f"""SELECT doc_id, CASE label WHEN '开放' THEN '30年' ELSE '永久' END AS label, '依据档案保管规范，' || regexp_replace(basis, '[。.,;；]+$', '') AS basis, confidence,
+title, date_time, archive_category AS category, '正文或附件' AS evidence, length(text) AS n_chars FROM {RECORDS} WHERE label IS NOT NULL AND basis <> ''""")
+def retention_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of retention periods, with some fields of their questions."""
+    field = lambda k: F.get_json_object("input", f"$.{k}")
+    out = _answers(_gated(spark, sf_dir, "jd"))
+    return out.select("doc_id", "label", "basis", "confidence", field("题名").alias("title"), field("成文日期").alias("date_time"), field("门类").alias("category"), field("训练证据类型").alias("evidence"), F.length(field("正文")).alias("n_chars"))
 
 
 @query()
@@ -173,21 +210,20 @@ def training_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole samples: evidence excerpt, risk elements and the best rules inside the question."""
     items = table(spark, sf_dir, "benchmark")
     corpus = items.select(X.rule_id(F.lit("hk"), c("item_id"), F.lit(1)).alias("rule_id"), c("item_id").alias("ordinal"), F.lit("corpus").alias("source"), "text")
-    good = _gated(spark, sf_dir).where("reject_reason IS NULL")
-    ranked = rules.top_rules(good.select("doc_id", rules.query_text(c("title"), c("text"), c("date_time"), c("archive_category")).alias("q")), rules.weighted_postings(corpus), "doc_id", c("q"))
-    full = good.join(rules.attached(ranked, corpus, "doc_id"), "doc_id", "left").withColumn("rules", F.coalesce("rules", F.array().cast("array<struct<rank:int,rule_id:string,source:string,text:string,score:double>>")))
-    excerpt = full.withColumn("excerpt", prepare.evidence_excerpt(c("text"), ["idiot", "license", "password"]))
-    return excerpt.select("doc_id", prepare.sample_input("hk", c("text"), c("excerpt"), c("rules")).alias("input"), prepare.sample_output(c("label"), "依据标准", c("basis"), c("confidence")).alias("output"))
+    rows = _projected(spark, sf_dir)
+    valid = _gated(spark, sf_dir).where("reject_reason IS NULL")
+    ranked = rules.top_rules(valid.select("doc_id", rules.query_text(c("title"), c("text"), c("date_time"), c("archive_category")).alias("q")), rules.weighted_postings(corpus), "doc_id", c("q"))
+    full = rows.join(rules.attached(ranked, corpus, "doc_id"), "doc_id", "left").withColumn("excerpt", prepare.evidence_excerpt(c("text"), ["idiot", "license", "password"]))
+    out = prepare.samples(full, "hk", "依据标准", excerpt=c("excerpt"), rules=c("rules"))
+    return out.where("reject_reason IS NULL").select("doc_id", "input", "output")
 
 
 @query(f"""SELECT count(*) AS n_raw, count(*) FILTER (reject IS NULL AND turn = 1) AS n_valid, count(*) FILTER (reject IS NULL AND turn > 1) AS n_duplicates FROM (
-SELECT CASE WHEN label IS NULL OR basis = '' THEN 1 END AS reject, row_number() OVER (PARTITION BY text, (label IS NULL OR basis = '') ORDER BY doc_id) AS turn FROM {RECORDS})""")
+SELECT reject, row_number() OVER (PARTITION BY reject, title, date_time, archive_category, text, label, basis, confidence ORDER BY doc_id) AS turn
+FROM (SELECT *, CASE WHEN label IS NULL OR basis = '' THEN 1 END AS reject FROM {RECORDS}))""")
 def preparation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = _gated(spark, sf_dir)
-    turn = F.row_number().over(Window.partitionBy(F.sha2("text", 256), c("reject_reason").isNull()).orderBy("doc_id"))
-    return prepare.preparation_counts(rows.withColumn("duplicate", turn > 1))
+    """Samples with an earlier one's question and answer are duplicates."""
+    return prepare.preparation_counts(prepare.marked_duplicates(_gated(spark, sf_dir), ["doc_id"]))
 
 
 @query("""SELECT doc_id, CASE WHEN ('0x' || substr(sha1(source || '/' || doc_id), 1, 8))::BIGINT % 10000 < 1500 THEN 'validation' ELSE 'train' END AS part FROM documents""")
@@ -267,12 +303,20 @@ def json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.array_contains(F.json_object_keys("props"), "k").alias("has_k"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'no JSON object' WHEN doc_id % 3 = 1 THEN 'missing: output' END AS error FROM documents")
+@query("""SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'no JSON object' WHEN 1 THEN 'instruction, input or output is missing' WHEN 2 THEN 'output is no JSON object'
+WHEN 3 THEN 'output lacks: 审核依据' WHEN 4 THEN 'no result' END AS error, CASE doc_id % 7 WHEN 5 THEN lang || '|' || source || '|8.0|' || source WHEN 6 THEN lang || '|' || source || '|9.2|t' END AS answer FROM documents""")
 def sample_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = F.to_json(F.struct(c("lang").alias("instruction"), c("text").alias("input"), c("source").alias("output")))
-    part = F.to_json(F.struct(c("lang").alias("instruction"), c("text").alias("input")))
-    line = F.when(c("doc_id") % 3 == 0, F.lit("[1")).when(c("doc_id") % 3 == 1, part).otherwise(whole)
-    return table(spark, sf_dir, "documents").select("doc_id", jsonl.sample_error(line).alias("error"))
+    def line(output: Column) -> Column:
+        return F.to_json(F.struct(c("lang").alias("instruction"), c("text").alias("input"), output.alias("output")))
+
+    quoted = lambda c_: F.concat(F.lit("'"), c_, F.lit("'"))
+    literal = F.concat(F.lit("{'审核结果': "), quoted(c("lang")), F.lit(", '审核依据': "), quoted(c("source")), F.lit("}"))
+    full = F.to_json(F.struct(c("lang").alias("审核结果"), c("source").alias("审核依据"), F.lit("92%").alias("置信度"), F.lit("t").alias("思考过程")))
+    shapes = [F.lit("[1"), line(F.lit("")), line(F.lit("[]")), line(F.to_json(F.struct(c("lang").alias("审核结果")))), line(F.to_json(F.struct(F.lit(" ").alias("审核结果"), c("source").alias("审核依据")))), line(literal), line(full)]
+    rows = table(spark, sf_dir, "documents").withColumn("line", F.element_at(F.array(*shapes), (c("doc_id") % 7 + 1).cast("int")))
+    o = F.from_json("output", ANSWER)
+    answer = F.concat_ws("|", *[o[x].cast("string") for x in ("审核结果", "审核依据", "置信度", "思考过程")])
+    return jsonl.checked_samples(rows, "line").select("doc_id", "error", F.when(c("output").isNotNull(), answer).alias("answer"))
 
 
 @query("""SELECT doc_id, CASE WHEN lang IN ('en', 'de') THEN '开放' WHEN lang = 'fr' THEN '控制' END AS label, CASE WHEN doc_id % 2 = 0 THEN '30年' ELSE '永久' END AS period,
@@ -310,14 +354,12 @@ def progress_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.latest_progress(table(spark, sf_dir, "events"), "user_id", c("value"))
 
 
-@query()
+@query("SELECT user_id AS run_id, max(round_even(greatest(0.0, least(100.0, value)), 1))::DOUBLE AS percentage, count(*) AS n_events FROM events GROUP BY 1")
 def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a file stream; each micro-batch replaces the state table in the shared folder."""
-    import uuid
-
     from ..streaming.state import progress
 
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp').rstrip('/')}/progress-{uuid.uuid4().hex}"
+    folder = shared_folder(spark)
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events*.parquet")
     latest = progress(events.select(c("user_id").alias("run_id"), c("value").alias("percentage")))
@@ -399,10 +441,10 @@ def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.deleted(state.upserted(registry, new, "s_suppkey"), registry.where("s_suppkey % 5 = 0"), "s_suppkey")
 
 
-@query("""SELECT o_orderkey AS model_id, CASE WHEN o_orderkey % 4 = 0 THEN 'own' WHEN o_custkey % 4 = 0 THEN 'base' ELSE 'new' END AS mode FROM orders WHERE o_orderkey < 10000""")
+@query("""SELECT o_orderkey AS model_id, CASE WHEN o_orderkey % 4 = 0 THEN 'own' WHEN o_custkey % 4 = 0 THEN 'base' ELSE 'new' END AS mode FROM orders""")
 def model_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests are the orders with keys below 10,000, as in the SQL; what is registered comes from the keys of all orders."""
-    requests = table(spark, sf_dir, "orders").where("o_orderkey < 10000").select(c("o_orderkey").alias("model_id"), c("o_custkey").alias("base_model_id"))
+    """Requests are all orders; registered are those of their keys that 4 divides."""
+    requests = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("model_id"), c("o_custkey").alias("base_model_id"))
     keys = table(spark, sf_dir, "orders").select(F.explode(F.array("o_orderkey", "o_custkey")).alias("model_id"))
     registry = keys.where("model_id % 4 = 0").distinct().withColumn("model_path", F.lit("x"))
     return state.lineage(requests, registry).select("model_id", "mode")
@@ -487,7 +529,14 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+SIGN, SAID = "命中关键字【秘密、工资】，关键字预审结果为【控制】", "按正文用词出现次数比较得出结论"
+
+
+@query(f"""SELECT doc_id::VARCHAR AS arid, CASE WHEN doc_id % 5 = 0 THEN '控制' ELSE '开放' END AS jg,
+CASE WHEN doc_id % 5 = 0 THEN '{SIGN}；' ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN '依据corpus（检索条款编号：HK-001-01），' ELSE '' END || '依据《延期开放档案标准及范围》，按正文用词判断'
+|| CASE WHEN doc_id % 5 <> 0 AND (doc_id % 3 = 0 OR trim(text) = '') THEN '；{review.LIMITATION}' ELSE '' END AS yj,
+CASE WHEN doc_id % 2 = 1 THEN 5.0 WHEN doc_id % 5 <> 0 AND (doc_id % 3 = 0 OR trim(text) = '') THEN 6.0 ELSE 8.0 END::DOUBLE AS zxd,
+CASE WHEN doc_id % 5 = 0 THEN '{SIGN}。' ELSE '' END || '{SAID}' || CASE WHEN doc_id % 5 <> 0 AND (doc_id % 3 = 0 OR trim(text) = '') THEN '{review.LIMITATION}' ELSE '' END AS thinking FROM documents""")
 def review_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = L.profile("hk")
     items = _items(spark, sf_dir)
@@ -517,7 +566,10 @@ def keyword_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("doc_id", review.guarded(c("r"), c("content"), c("keywords")).alias("r")).select("doc_id", "r.result", "r.basis", "r.confidence")
 
 
-@query()
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN '永久' WHEN 2 THEN '10年' ELSE '30年' END AS result,
+'依据档案保管规范，' || CASE doc_id % 4 WHEN 0 THEN '一般' WHEN 1 THEN '重大规划文件' WHEN 2 THEN '根据档案标题和内容特征，综合判定为【10年】' ELSE '根据档案标题和内容特征，综合判定为【30年】' END AS basis,
+CASE doc_id % 4 WHEN 0 THEN 9.0 WHEN 1 THEN 7.3 WHEN 2 THEN 8.5 ELSE 7.0 END::DOUBLE AS confidence,
+CASE doc_id % 4 WHEN 0 THEN '一般行政管理文件' WHEN 1 THEN '具有历史意义的文件' ELSE '已对档案标题及基本信息完成合规性要素审查。' END AS thinking FROM documents""")
 def parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers in several shapes through the parse cascade and post-processing."""
     p = L.profile("jd")
@@ -535,3 +587,267 @@ def parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", review.postprocessed(c("r"), c("thinking"), p).alias("r")).select("doc_id", "r.*")
 
 
+
+
+# Requests
+
+
+def _request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as JSON requests of two items each, with names in both languages and some faults."""
+    docs, i = table(spark, sf_dir, "documents"), c("doc_id")
+    words = F.when(i % 4 == 0, F.array(F.lit(" k1 "), F.lit("k2"), F.lit("k1"))).otherwise(F.array().cast("array<string>"))
+    said = F.when(i % 4 == 0, L.OPEN).when(i % 13 == 5, L.CONTROL).otherwise("")
+    first = F.struct(F.lit("a").alias("arid"), c("source").alias("题名"), F.lit("20240500").alias("成文日期"), c("text").alias("content"), words.alias("keywords"), said.alias("audit_result"), F.array("lang").alias("files"), F.lit("x").alias("other"))
+    second = F.struct(F.lit("b").alias("arid"), F.when(i % 11 == 3, "").otherwise(c("lang")).alias("title"), F.lit(" 20230000").alias("date_time"), c("lang").alias("门类"))
+    fields = {"modelId": c("source"), "aiAuditId": F.concat(F.lit("r"), i.cast("string")), "modelType": F.when(i % 6 == 1, "jd").otherwise("hk")}
+    head = ", ".join(f'"{k}": "%s"' for k in fields)
+    item = lambda s: F.to_json(s)
+    more = F.when(i % 9 == 2, ', "extra": 1').otherwise("")
+    data = F.when(i % 10 == 7, "[]").otherwise(F.concat(F.lit("["), item(first), F.lit(", "), item(second), F.lit("]")))
+    line = F.concat(F.format_string("{" + head, *fields.values()), more, F.lit(', "data": '), data, F.lit("}"))
+    return docs.select("doc_id", F.when(i % 17 == 4, "not JSON").otherwise(line).alias("text"))
+
+
+REQUEST_ERROR = "CASE WHEN doc_id % 17 = 4 THEN 'no JSON object' WHEN doc_id % 9 = 2 THEN 'unknown field: extra' WHEN doc_id % 10 = 7 THEN 'data is empty' END"
+
+
+@query(f"SELECT doc_id, {REQUEST_ERROR} AS error FROM documents")
+def request_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.parsed_requests(_request_lines(spark, sf_dir)).select("doc_id", "error")
+
+
+ITEM_ERROR = "CASE WHEN n = 1 AND doc_id % 4 <> 0 AND doc_id % 13 = 5 AND doc_id % 6 <> 1 THEN 'a result without keywords' WHEN n = 2 AND doc_id % 11 = 3 THEN 'title is empty' END"
+
+
+@query(f"""SELECT doc_id, n AS number, CASE n WHEN 1 THEN source ELSE CASE WHEN doc_id % 11 = 3 THEN '' ELSE lang END END AS title, CASE n WHEN 1 THEN '2024-05' ELSE '2023' END AS date_time,
+CASE n WHEN 1 THEN '' ELSE lang END AS archive_category, CASE WHEN n = 1 AND doc_id % 4 = 0 AND doc_id % 6 <> 1 THEN 'k1,k2' ELSE '' END AS keywords,
+CASE WHEN n = 1 AND doc_id % 6 <> 1 THEN CASE WHEN doc_id % 4 = 0 THEN '开放' WHEN doc_id % 13 = 5 THEN '控制' ELSE '' END ELSE '' END AS audit_result,
+CASE n WHEN 1 THEN lang ELSE '' END AS files, {ITEM_ERROR} AS error
+FROM documents, (VALUES (1), (2)) AS v(n) WHERE {REQUEST_ERROR} IS NULL""")
+def request_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = requests.request_items(requests.parsed_requests(_request_lines(spark, sf_dir)), "doc_id")
+    return items.select("doc_id", "number", "title", "date_time", "archive_category", F.array_join("keywords", ",").alias("keywords"), "audit_result", F.array_join("files", ",").alias("files"), "error")
+
+
+@query(f"""SELECT doc_id, count(*) AS n_items FROM documents, (VALUES (1), (2)) AS v(n) WHERE {REQUEST_ERROR} IS NULL GROUP BY doc_id HAVING count({ITEM_ERROR}) = 0""")
+def accepted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One broken item refuses its request."""
+    items = requests.request_items(requests.parsed_requests(_request_lines(spark, sf_dir)), "doc_id")
+    return requests.accepted_items(items).groupBy("doc_id").agg(F.count("*").alias("n_items"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN p_partkey IS NULL THEN 'unknown model' WHEN p_brand <> 'Brand#' || (11 + l_orderkey % 5) THEN 'another type of model' END AS model_error
+FROM (SELECT *, l_partkey * 2 AS k FROM lineitem) LEFT JOIN part ON k = p_partkey""")
+def model_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = F.concat(F.lit("Brand#"), (c("l_orderkey") % 5 + 11).cast("string"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (c("l_partkey") * 2).alias("model_id"), wanted.alias("model_type"))
+    registry = table(spark, sf_dir, "part").select(c("p_partkey").alias("model_id"), c("p_brand").alias("model_type"))
+    return requests.model_errors(lines, registry).select("l_orderkey", "l_linenumber", "model_error")
+
+
+@query("SELECT p_brand, count(*) AS n_models FROM part GROUP BY 1")
+def registry_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.registry_counts(table(spark, sf_dir, "part"), "p_brand")
+
+
+@query("SELECT n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'o' || n_nationkey ELSE n_regionkey::VARCHAR END AS value FROM nation")
+def resolved_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation")
+    over = nations.where("n_nationkey % 3 <> 1").select(c("n_name").alias("name"), F.when(c("n_nationkey") % 3 == 0, F.concat(F.lit("o"), c("n_nationkey").cast("string"))).otherwise("").alias("value"))
+    return requests.settings(nations.select(c("n_name").alias("name"), c("n_regionkey").cast("string").alias("value")), over.union(spark.range(1).select(F.lit("unknown"), F.lit("x"))))
+
+
+@query("SELECT event_id, event_id % 3 <> 1 AS out_of_memory, CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END AS n_values, round_even(18.0 + (event_id % 4 + 0.85 * (event_id % 7 + 1) / 7) * 76.0 / 4, 1)::DOUBLE AS percentage FROM events")
+def run_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors that say that memory is used up, single values as lists, and the percentage after a batch."""
+    i = c("event_id")
+    message = F.when(i % 3 == 0, "x NPU out of memory. y").when(i % 3 == 2, "ACL_ERROR_RT_MEMORY_ALLOCATION").otherwise("memory")
+    one = F.when(i % 2 == 1, c("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", requests.out_of_memory(message).alias("out_of_memory"), F.size(requests.as_list(one)).alias("n_values"), X.training_progress(i % 4, F.lit(4), i % 7 + 1, F.lit(7)).alias("percentage"))
+
+
+# Attachments as objects, and the cache of extracted texts
+
+
+@query("""SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'data_uri' WHEN 1 THEN 'url' WHEN 2 THEN 'text' WHEN 3 THEN 'base64' WHEN 4 THEN 'base64' WHEN 5 THEN 'bytes' WHEN 6 THEN 'url' WHEN 7 THEN 'text' ELSE 'failed' END AS kind,
+CASE WHEN doc_id % 9 IN (0, 3, 4) THEN md5(text) WHEN doc_id % 9 = 5 THEN md5('AB') END AS digest, CASE doc_id % 9 WHEN 1 THEN '/files/' || doc_id WHEN 2 THEN source WHEN 6 THEN 'https://h/' || doc_id WHEN 7 THEN '/looks/like' END AS content,
+CASE doc_id % 9 WHEN 3 THEN 'b.pdf' WHEN 4 THEN 'a.txt' ELSE '' END AS name, CASE WHEN doc_id % 9 = 4 THEN 'text/plain' ELSE '' END AS content_type FROM documents""")
+def attachment_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attachments as JSON: strings and objects in nine shapes."""
+    coded, i = F.base64(c("text").cast("binary")), c("doc_id")
+    text = lambda x: F.get_json_object(F.to_json(F.struct(F.array(x).alias("v"))), "$.v")
+    quoted = lambda x: F.regexp_extract(text(x), r"(?s)^\[(.*)\]$", 1)
+    shapes = [
+        quoted(F.concat(F.lit("data:text/plain;base64,"), coded)),
+        quoted(F.concat(F.lit("/files/"), i.cast("string"))),
+        quoted(c("source")),
+        F.to_json(F.struct(coded.alias("content"), F.lit("B64").alias("encoding"), F.lit("").alias("name"), F.lit("b.pdf").alias("fileName"))),
+        F.to_json(F.struct(F.lit("<base64>").alias("content"), coded.alias("fileData"), F.lit("a.txt").alias("originalName"), F.lit("text/plain").alias("mimeType"))),
+        F.to_json(F.struct(F.array(F.lit(65), F.lit(66)).alias("binary"))),
+        F.to_json(F.struct(F.lit("").alias("content"), F.concat(F.lit("https://h/"), i.cast("string")).alias("url"))),
+        F.to_json(F.struct(F.lit("/looks/like").alias("content"), F.lit("https://h/never").alias("url"))),
+        F.to_json(F.struct(F.array(F.lit(65), F.lit(300)).alias("bytes"))),
+    ]
+    files = table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.array(*shapes), (i % 9 + 1).cast("int")).alias("raw"))
+    return attachments.dispatched(files).select("doc_id", "kind", F.md5("payload").alias("digest"), "content", "name", "content_type")
+
+
+def _cached(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select("doc_id", F.lit(1).alias("ordinal"), c("text").cast("binary").alias("payload"))
+    known = docs.where("doc_id % 4 < 2").select(attachments.cache_key(c("text").cast("binary"), "v1").alias("cache_key"), F.lit("cached").alias("method"), F.when(c("doc_id") % 4 == 0, "t").otherwise(" ").alias("text"))
+    return attachments.with_cache(files, known.groupBy("cache_key").agg(F.first("method").alias("method"), F.max("text").alias("text")), "v1", lambda df: attachments.decoded_rows(df, "doc_id", "ordinal"), "doc_id", "ordinal")
+
+
+CACHED = "(SELECT DISTINCT text FROM documents WHERE doc_id % 4 = 0)"
+
+
+@query(f"SELECT doc_id, CASE WHEN text IN {CACHED} THEN 'cached' ELSE 'decoded' END AS method, md5(CASE WHEN text IN {CACHED} THEN 't' ELSE trim(text, chr(32) || chr(9) || chr(10) || chr(13)) END) AS digest FROM documents")
+def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of a fourth of the documents are in the cache; blank entries are no hits."""
+    return _cached(spark, sf_dir)[0].select("doc_id", "method", F.md5("text").alias("digest"))
+
+
+@query(f"SELECT sha256('v1' || chr(0) || text) AS cache_key, 'decoded' AS method, md5(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) AS digest FROM (SELECT DISTINCT text FROM documents WHERE text NOT IN {CACHED})")
+def cache_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cached(spark, sf_dir)[1].select("cache_key", "method", F.md5("text").alias("digest"))
+
+
+# Training text and tokens
+
+
+def _code_points():
+    return lambda text: [ord(x) for x in text]
+
+
+@query("""WITH s AS (SELECT doc_id, '系统' || chr(10) || chr(10) || lang || chr(10) || chr(10) || trim(text, chr(32) || chr(9) || chr(10) || chr(13)) || chr(10) || chr(10) || '输出：' AS p, source || '</s>' AS a FROM documents)
+SELECT doc_id, md5(p) AS prompt, a AS answer FROM s""")
+def training_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _training_text(spark, sf_dir).select("doc_id", F.md5("prompt").alias("prompt"), "answer")
+
+
+def _training_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = F.when(c("doc_id") % 2 == 0, F.concat(F.lit(" "), c("source"))).otherwise(F.concat(c("source"), F.lit("</s>\n")))
+    prompt = F.replace(training_data.training_prompt(c("lang"), c("text"), "系统"), F.lit(training_data.ANSWER_MARK), F.lit("输出："))
+    return table(spark, sf_dir, "documents").select("doc_id", prompt.alias("prompt"), training_data.answer_text(told, "</s>").alias("answer"))
+
+
+@query("""WITH s AS (SELECT doc_id, length(lang) + length(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) + 11 AS p, length(source) + 4 AS a FROM documents)
+SELECT doc_id, least(p, 512 - a) + a AS n_tokens, a AS n_learnable, least(p, 512 - a) + a AS n_mask FROM s""")
+def tokenized_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With code points as tokens."""
+    rows = training_data.tokenized(_training_text(spark, sf_dir), "prompt", "answer", _code_points, 512, 3, "doc_id")
+    return rows.select("doc_id", F.size("input_ids").alias("n_tokens"), training_data.learnable(c("labels")).alias("n_learnable"), F.size("attention_mask").alias("n_mask"))
+
+
+@query("""WITH e AS (SELECT user_id, date_trunc('day', ts)::DATE AS epoch, round(avg(value), 6) AS loss, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT user_id, min(loss) AS best, count(*) AS n_epochs, sum(n)::BIGINT AS n_samples FROM e GROUP BY 1""")
+def training_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics' JSON, read again."""
+    events = table(spark, sf_dir, "events").withColumns({"epoch": c("ts").cast("date"), "part": F.when(c("event_id") % 4 == 0, "validation").otherwise("train")})
+    out = training_data.training_metrics(training_data.epoch_losses(events, ["user_id", "epoch"], "value"), "user_id", "epoch", "loss", events)
+    m = F.from_json("metrics", "best_validation_loss double, train_sample_count long, validation_sample_count long, history array<struct<epoch:string,validation_loss:double>>")
+    return out.select("user_id", m.alias("m")).select("user_id", c("m.best_validation_loss").alias("best"), F.size("m.history").cast("long").alias("n_epochs"), (c("m.train_sample_count") + c("m.validation_sample_count")).alias("n_samples"))
+
+
+@query("SELECT event_type, sum(user_id)::DOUBLE / sum(event_id % 7) AS seconds_per_record FROM events GROUP BY 1")
+def seconds_per_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.seconds_per_record(table(spark, sf_dir, "events").withColumn("n", c("event_id") % 7), ["event_type"], "user_id", "n")
+
+
+# Callbacks, conversations and appraisal
+
+
+@query("""WITH o AS (SELECT event_id, event_id % 3 AS attempts, event_id % 5 = 0 AS sent, event_id % 4 AS kind FROM events)
+SELECT event_id, CASE WHEN sent OR kind = 3 THEN attempts ELSE attempts + 1 END AS attempts, (sent OR kind = 0) AS sent,
+(NOT sent AND kind IN (1, 2) AND attempts < 2) AS waits, (NOT sent AND kind IN (1, 2) AND attempts = 2) AS renewed FROM o""")
+def callback_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round: of four kinds of entries one succeeds, two fail, one is not due; then those out of attempts begin anew."""
+    i, now = c("event_id"), F.lit(100.0)
+    box = table(spark, sf_dir, "events").select("event_id", (i % 3).cast("int").alias("attempts"), (i % 5 == 0).alias("sent"), F.when(i % 4 == 3, 200.0).otherwise(90.0).alias("next_at"), F.lit(None).cast("string").alias("last_error"))
+    status = F.when(i % 4 == 2, 500).otherwise(200)
+    outcome = state.due(box, now).select("event_id", status.alias("status"), F.when(i % 4 == 1, 7).when(i % 4 == 0, 200).alias("code"), F.lit(None).cast("string").alias("error"))
+    after = state.attempted(box, outcome, "event_id", now)
+    again = state.renewed(after, now).select("event_id", (c("attempts") == 0).alias("anew"))
+    waits = ~c("sent") & (c("next_at") > now) & (c("next_at") < 200)
+    return after.join(again, "event_id").select("event_id", "attempts", "sent", F.coalesce(waits, F.lit(False)).alias("waits"), (~c("sent") & c("next_at").isNull()).alias("renewed"))
+
+
+@query("""SELECT o_custkey AS ai_audit_id, count(*) AS n, sum(o_totalprice > 100000)::BIGINT AS n_open, min(o_orderkey) AS first_id FROM orders GROUP BY 1""")
+def review_callbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payload of each request's callback, read again."""
+    rows = table(spark, sf_dir, "orders").select(c("o_custkey").alias("ai_audit_id"), c("o_orderkey").alias("number"), c("o_orderkey").cast("string").alias("arid"), F.when(c("o_totalprice") > 100000, L.OPEN).otherwise(L.CONTROL).alias("jg"), F.lit("b").alias("yj"), F.lit(8.0).alias("zxd"), F.lit("t").alias("thinking"))
+    read = F.from_json("payload", "aiAuditId long, data array<struct<arid:string,jg:string,yj:string,zxd:double,thinking:string>>")
+    said = state.review_callbacks(rows).select(read.alias("p"))
+    return said.select(c("p.aiAuditId").alias("ai_audit_id"), F.size("p.data").cast("long").alias("n"), F.size(F.filter("p.data", lambda r: r["jg"] == L.OPEN)).cast("long").alias("n_open"), F.get("p.data", 0)["arid"].cast("long").alias("first_id"))
+
+
+@query("SELECT event_id FROM events WHERE event_id % 100 > 60")
+def cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", (c("event_id") % 100).alias("changed"))
+    return state.without_expired(rows, "changed", F.lit(100), 40).select("event_id")
+
+
+@query("""WITH m AS (SELECT *, lead(role) OVER w AS r2, lead(text) OVER w AS t2 FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, text AS "user", t2 AS assistant FROM m WHERE role = 'user' AND r2 = 'assistant'""")
+def conversation_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations saved as JSON and loaded again."""
+    return state.loaded_conversations(state.saved_conversations(state.exchanges(table(spark, sf_dir, "conversations"))))
+
+
+def _clerk(text: Column) -> Column:
+    """A predictor that answers first questions in words, and second ones by the year in the first."""
+    year = F.regexp_extract(text, r"档案形成日期：(\d{4})", 1).cast("int")
+    verdict = F.to_json(F.struct(F.when(2026 - year >= 30, L.OPEN).otherwise(L.CONTROL).alias("审核结果"), F.concat(F.lit("形成于"), year.cast("string")).alias("审核依据"), F.lit("8.5").alias("置信度")))
+    return F.when(text.contains("请完成鉴定"), F.concat(F.lit("结果：\n"), verdict, F.lit("\n完"))).otherwise("将参考保管期限规定")
+
+
+@query("""SELECT o_orderkey, CASE WHEN 2026 - year(o_orderdate) >= 30 THEN '开放' ELSE '控制' END AS result, '形成于' || year(o_orderdate) AS basis, '8.5' AS confidence FROM orders""")
+def two_turn_appraisal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("t").alias("title"), F.date_format("o_orderdate", "yyyyMMdd").alias("date_time"), F.lit("20260101").alias("date_now"))
+    v = c("verdict")
+    return appraisal.appraised(rows, _clerk).select("o_orderkey", v["审核结果"].alias("result"), v["审核依据"].alias("basis"), v["置信度"].alias("confidence"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN CASE WHEN doc_id % 4 = 1 THEN '10年' ELSE '' END WHEN doc_id % 4 = 0 THEN '永久' ELSE '' END AS result,
+CASE WHEN doc_id % 2 = 0 THEN '依据corpus（检索条款编号：JD-001-01），保管期限为永久或30年' ELSE '未检索到可核验的规范条款，审核依据不足。' END AS basis, CASE WHEN doc_id % 2 = 0 THEN 9.5 ELSE 5.0 END::DOUBLE AS confidence FROM documents""")
+def retention_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periods that retrieved rules name bound the result: exactly one of them, or none."""
+    docs = table(spark, sf_dir, "documents")
+    rule = F.struct(F.lit(1).alias("rank"), F.lit("JD-001-01").alias("rule_id"), F.lit("corpus").alias("source"), F.lit("保管期限为永久或30年").alias("text"), F.lit(1.0).alias("score"))
+    found = F.when(c("doc_id") % 2 == 0, F.array(rule).cast(ITEM_RULES)).otherwise(F.array().cast(ITEM_RULES))
+    said = F.when(c("doc_id") % 4 == 0, "永久").when(c("doc_id") % 4 == 1, "10年").when(c("doc_id") % 4 == 2, "10年").otherwise("约30年")
+    r = review.bounded_by_rules(_result(said, F.lit(""), F.lit(9.5)), found, L.profile("jd"))
+    return docs.select("doc_id", r.alias("r")).select("doc_id", "r.result", "r.basis", "r.confidence")
+
+
+# Sources
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place, md5(text) AS digest FROM documents WHERE text <> ''")
+def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as JSON Lines and read in order again: a file's lines are numbered whatever blocks it is read in."""
+    folder = shared_folder(spark)
+    rows = table(spark, sf_dir, "documents").select(F.lit("i").alias("instruction"), c("text").alias("input"), F.to_json(F.struct(c("doc_id").cast("string").alias("审核结果"), c("lang").alias("审核依据"))).alias("output"), "doc_id")
+    jsonl.write(rows.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").drop("doc_id"), folder)
+    lines = jsonl.checked_samples(jsonl.lines_in_order(spark, folder)).where("error IS NULL")
+    n = lines.groupBy("file").agg(F.count("*").alias("n"), F.min(F.get_json_object("output", "$.审核结果").cast("long")).alias("first"))  # a row a file
+    from pyspark.sql import Window
+
+    before = F.coalesce(F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    both = lines.join(n.withColumn("before", before), "file")
+    return both.select(F.get_json_object("output", "$.审核结果").cast("long").alias("doc_id"), (c("before") + c("line")).alias("place"), F.md5("input").alias("digest"))
+
+
+@query("SELECT s_suppkey::VARCHAR AS model_id, s_name AS model_name, s_nationkey AS model_epochs FROM supplier")
+def registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry as one JSON object keyed by model."""
+    from pyspark.sql import types as T
+
+    folder = shared_folder(spark)
+    value = F.to_json(F.struct(c("s_name").alias("model_name"), c("s_nationkey").alias("model_epochs")))
+    entry = F.concat(F.to_json(F.struct(c("s_suppkey").cast("string").alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(c("s_suppkey").cast("string").alias("k")))) - 6), F.lit(":"), value)
+    whole = table(spark, sf_dir, "supplier").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ","), F.lit("}")).alias("value"))  # a registry is small
+    whole.coalesce(1).write.text(folder)
+    kind = T.StructType([T.StructField("model_name", T.StringType()), T.StructField("model_epochs", T.IntegerType())])
+    return jsonl.keyed_object(spark, folder, kind)

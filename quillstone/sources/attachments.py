@@ -19,7 +19,11 @@ from ..functions.text import NULL_TOKENS, clean_text, let, strip
 TEXT_TYPES = ["txt", "md", "csv", "json", "xml", "html", "htm", "log"]
 IMAGE_TYPES = ["png", "jpg", "jpeg", "bmp", "tif", "tiff", "webp", "gif"]
 DATA_URI = r"^data:([^;,]*)((?:;[^;,]*)*?)(;base64)?,([\s\S]*)$"
-MAX_BYTES, MAX_PAGES, MIN_PAGE_CHARS = 50 << 20, 200, 20
+MAX_BYTES, MAX_PAGES = 50 << 20, 200
+BASE64_KEYS = ["base64", "contentBase64", "fileBase64", "fileData", "fileContent"]
+BYTES_KEYS = ["bytes", "binary"]
+NAME_KEYS = ["name", "fileName", "filename", "originalName"]
+TYPE_KEYS = ["contentType", "content_type", "mimeType", "mime_type"]
 
 
 def base64_bytes(text: Column) -> Column:
@@ -65,6 +69,39 @@ def classified(files: DataFrame, content: str = "content", name: str = "name", c
     return files.withColumn("__found", found).withColumn("kind", F.col("__found.kind")).withColumn("payload", F.col("__found.payload")).drop("__found")
 
 
+def dispatched(files: DataFrame, raw: str = "raw") -> DataFrame:
+    """Adds kind, payload (bytes), content (inline text or URL), name and content_type to attachments given as JSON: a string, or
+    an object with any of the keys above.
+
+    A string is, in this order: data URI, URL, detected base64, text. An object's content is data URI, declared base64,
+    detected base64, or text (the words base64 and <base64> are none); then come its base64 fields, its bytes (numbers from
+    0 to 255), its URL. What has none of these, or does not decode, is failed."""
+    given = F.col(raw)
+    text = F.when(F.trim(given).startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), given, F.lit("}")), "$.v"))
+    fields = F.from_json(F.when(F.trim(given).startswith("{"), given), "map<string,string>")
+    out = files.withColumns({"__text": text, "__f": fields})
+    field = lambda k: F.col("__f")[k]
+    first = lambda keys: F.coalesce(*[F.when(field(k) != "", field(k)) for k in keys])
+    content, encoding = clean_text(field("content")), F.lower(F.coalesce(field("encoding"), F.lit("")))
+    inline = F.when(~F.lower(content).isin("", "base64", "<base64>"), content)
+    encoded = F.coalesce(*[F.when(F.trim(field(k)) != "", field(k)) for k in BASE64_KEYS])
+    numbers = F.coalesce(*[F.from_json(F.when(field(k).startswith("["), field(k)), "array<int>") for k in BYTES_KEYS])
+    in_range = F.coalesce((F.size(numbers) > 0) & F.forall(numbers, lambda x: F.coalesce(x.between(0, 255), F.lit(False))), F.lit(False))
+    raw_bytes = F.unhex(F.array_join(F.transform(F.when(in_range, numbers), lambda x: F.lpad(F.hex(x), 2, F.lit("0"))), ""))
+    out = out.withColumns({"name": F.coalesce(first(NAME_KEYS), F.lit("")), "content_type": F.coalesce(first(TYPE_KEYS), F.lit("")), "__encoding": F.when(encoding.isin("base64", "b64"), "base64").otherwise("")})
+    # an object's content that looks like a URL is text, as it is never downloaded: the mark keeps it from the URL test
+    body = F.coalesce(F.col("__text"), F.when(is_url(strip(inline)) & (F.col("__encoding") == ""), F.concat(F.lit("\x01"), inline)).otherwise(inline))
+    out = classified(out.withColumn("__body", body), content="__body", encoding="__encoding")
+    bare, coded = F.col("__body").isNull(), base64_bytes(encoded)
+    url = clean_text(field("url"))
+    kind = F.when(~bare, F.col("kind")).when(encoded.isNotNull(), "base64").when(in_range, "bytes").when(url != "", "url").otherwise("failed")
+    payload = F.when(~bare, F.col("payload")).when(encoded.isNotNull(), coded).when(in_range, raw_bytes)
+    said = F.when(~bare & (F.col("kind") == "text"), clean_text(F.regexp_replace(F.col("__body"), "^\x01", ""))).when(~bare & (F.col("kind") == "url"), strip(F.col("__body"))).when(bare & (kind == "url"), url)
+    out = out.withColumns({"content": said, "payload": payload, "kind": kind})
+    lost = F.col("kind").isin("base64", "data_uri", "bytes") & F.col("payload").isNull()
+    return out.withColumn("kind", F.when(lost | (F.col("kind") == "empty"), "failed").otherwise(F.col("kind"))).drop("__text", "__f", "__encoding", "__body")
+
+
 def resolved_url(url: Column, base: str) -> Column:
     """Absolute http(s) URLs as they are, other schemes null, relative ones joined to the base without repeating its path."""
     root = base.rstrip("/")
@@ -106,6 +143,19 @@ def cache_key(payload: Column, config: str) -> Column:
     return F.sha2(F.concat(F.lit(config.encode() + b"\0"), payload), 256)
 
 
+def with_cache(files: DataFrame, cache: DataFrame, config: str, extract: Callable[[DataFrame], DataFrame], key: str, ordinal: str) -> tuple[DataFrame, DataFrame]:
+    """key, ordinal, method and text of files with a payload, and the rows that the cache (cache_key, method, text) lacks. Equal
+    payloads are extracted once; a cached text that is blank is no hit. extract: key, ordinal, method and text of such
+    files. The new rows are to be written before the texts are read, or both come from one table."""
+    keyed = files.where("payload IS NOT NULL").withColumn("cache_key", cache_key(F.col("payload"), config))
+    known = cache.where(F.trim("text") != "").select("cache_key", "method", F.trim("text").alias("text"))
+    one = keyed.join(known.select("cache_key"), "cache_key", "left_anti")
+    one = one.groupBy("cache_key").agg(F.min_by(F.struct(*[c for c in files.columns]), F.struct(key, ordinal)).alias("f")).select("cache_key", "f.*")
+    fresh = extract(one).join(one.select("cache_key", key, ordinal), [key, ordinal]).where(F.trim("text") != "").select("cache_key", "method", F.trim("text").alias("text"))
+    texts = keyed.select(key, ordinal, "cache_key").join(known.unionByName(fresh), "cache_key", "left")
+    return texts.select(key, ordinal, F.coalesce("method", F.lit("failed")).alias("method"), F.coalesce("text", F.lit("")).alias("text")), fresh
+
+
 PageReader = Callable[[bytes], list[str]]
 
 

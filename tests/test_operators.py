@@ -20,16 +20,96 @@ def test_rule_corpus_keeps_the_first_of_equal_chunks(spark, tmp_path):
     assert [(r["rule_id"], r["text"]) for r in got] == [("HK-002-01", "甲" * 30)]
 
 
+def sample(k, **more):
+    out = {"审核结果": "开放", "审核依据": f"b{k}"} | more
+    return json.dumps({"instruction": "i", "input": f"a{k}", "output": json.dumps(out, ensure_ascii=False)}, ensure_ascii=False)
+
+
 def test_strict_load_fails_on_any_bad_line(spark, tmp_path):
-    good = json.dumps({"instruction": "i", "input": "a", "output": "b"})
-    (tmp_path / "a.jsonl").write_text(f"{good}\n\n{good}\n")
-    (tmp_path / "b.jsonl").write_text(f"{good}\n{{}}\n")
-    assert jsonl.training_samples(spark, str(tmp_path / "a.jsonl")).count() == 2
+    (tmp_path / "a.jsonl").write_text(f"{sample(1)}\n\n{sample(2)}\n")
+    (tmp_path / "b.jsonl").write_text("\n".join([sample(0), "{}", *(f"[{k}" for k in range(9)), sample(1, 审核依据=" ")]))
+    (tmp_path / "c.json").write_text(sample(1))
+    (tmp_path / "d.jsonl").write_text("")
+    load = lambda name, **how: jsonl.training_samples(spark, str(tmp_path / name), **how)
+    assert sorted(r["input"] for r in load("a.jsonl").collect()) == ["a1", "a2"]
+    assert json.loads(load("a.jsonl").where("input = 'a1'").first()["output"]) == {"审核结果": "开放", "审核依据": "b1", "置信度": 8.0, "思考过程": "b1"}
     assert jsonl.count_lines(spark, str(tmp_path / "a.jsonl")) == 2 and jsonl.count_lines(spark, str(tmp_path / "none")) == 0
-    with pytest.raises(ValueError, match="missing"):
-        jsonl.training_samples(spark, str(tmp_path / "b.jsonl"))
-    with pytest.raises(ValueError, match="fewer"):
-        jsonl.training_samples(spark, str(tmp_path / "a.jsonl"), min_samples=3)
+    with pytest.raises(ValueError, match=r"^invalid samples: line 2: instruction, input or output is missing; line 3: no JSON object; (line [456]: no JSON object(; )?){3}$"):
+        load("b.jsonl")
+    assert [r["input"] for r in load("b.jsonl", max_samples=1).collect()] == ["a0"]  # what follows the last sample is not looked at
+    for name, how in (("a.jsonl", {"min_samples": 3}), ("d.jsonl", {})):
+        with pytest.raises(ValueError, match="fewer"):
+            load(name, **how)
+    with pytest.raises(ValueError, match="jsonl"):
+        load("c.json")
+
+
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    lines = [f"line {k} " + "x" * (k % 50) for k in range(3000)]
+    lines[7] = lines[2999] = ""
+    (tmp_path / "a.txt").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        rows = jsonl.lines_in_order(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r["line"]: r["text"] for r in rows} == dict(enumerate(lines, 1))
+
+
+def test_written_lines_are_read_again(spark, tmp_path):
+    df = spark.createDataFrame([("i", "a\nb", "o"), ("i", "中", "")], jsonl.SAMPLE)
+    jsonl.write(df, str(tmp_path / "x"), one_file=True)
+    assert sorted(tuple(r) for r in spark.read.schema(jsonl.SAMPLE).json(str(tmp_path / "x")).collect()) == sorted(tuple(r) for r in df.collect())
+
+
+def test_payload_is_an_object_and_own_files_come_first(spark, tmp_path):
+    data = [{"record": {"tm": "t", "files": ["own"]}, "files": ["outer"]}, {"record": {"tm": "u", "files": []}, "files": ["outer"]}, {"record": {"tm": "v"}}, {"files": ["x"]}, {"record": None}]
+    (tmp_path / "p.json").write_text(json.dumps({"data": data}, indent=1))
+    (tmp_path / "q.json").write_text("[1]")
+    got = prepare.records(prepare.payload(spark, str(tmp_path / "p.json"))).orderBy("ordinal").collect()
+    assert [(r["record"]["tm"], r["files"]) for r in got] == [("t", ["own"]), ("u", ["outer"]), ("v", [])]
+    with pytest.raises(Exception, match="no JSON object"):
+        prepare.payload(spark, str(tmp_path / "q.json")).collect()
+
+
+def test_special_tokens_and_the_basis_of_labelled_text(spark):
+    got = spark.createDataFrame([("开放<｜end▁of▁sentence｜> 好<pad><unk><s></s><|im_end|><|endoftext|><|end_of_sentence|>",)], "a string").select(review.cleaned_answer(F.col("a"))).first()[0]
+    assert got == "开放 好"
+    parse = review.Parser(L.profile("hk")).parse
+    assert parse("【审核结果】控制\n【审核依据】\n【说明】涉及个人信息的内容", "")[:2] == ("控制", "【说明】涉及个人信息的内容")
+    assert parse("【审核结果】控制\n【审核依据】涉及人事\n【说明】x", "想法文字内容")[1] == "依据《延期开放档案标准及范围》，想法文字内容"
+
+
+def test_keyword_block_of_the_prompt(spark):
+    names = ["title", "date_time", "content", "audit_result", *review.METADATA.values()]
+    rows = [tuple(["t", "2024", "c", "控制", *[None] * 7, ["秘密", " 工资 "]]), tuple(["t", "2024", "c", "", *[None] * 7, []])]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names) + ", keywords array<string>").withColumn("rules", F.array().cast("array<struct<rank:int,rule_id:string,source:string,text:string,score:double>>"))
+    hk = [r[0] for r in df.select(review.prompt(L.profile("hk"))).collect()]
+    assert "命中关键字：秘密、工资\n关键字预审结果：控制" in hk[0] and "未提供或未命中关键字" in hk[1]
+    assert "关键字" not in df.select(review.prompt(L.profile("jd"))).first()[0]
+
+
+def test_numbers_in_groups_of_any_spread(spark):
+    from quillstone.operators.ranks import numbered
+
+    rows = [(k, ["a", "b", None][k % 3], None if k % 11 == 0 else float(k * k % 97) if k % 7 else 1e9) for k in range(400)]
+    df = spark.createDataFrame(rows, "k long, g string, v double")
+    for cells in (1, 3, 1000):
+        got = {r["k"]: r["n"] for r in numbered(df, ["v", "k"], ["g"], "n", cells).collect()}
+        for g in ("a", "b", None):
+            own = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+            assert [got[r[0]] for r in own] == list(range(1, len(own) + 1))
+    assert numbered(df.limit(0), ["v"], ["g"], "n").count() == 0
+
+
+def test_tokenized_prompt_keeps_head_and_end(spark):
+    df = spark.createDataFrame([(1, "abcdefghij", "xy"), (2, "ab", "wxyzuvwxyz"), (3, None, None)], "i int, p string, a string")
+    got = {r["i"]: r for r in training_data.tokenized(df, "p", "a", lambda: (lambda t: [ord(x) for x in t]), 8, 1, "i").collect()}
+    text = lambda ids: "".join(map(chr, ids))
+    assert text(got[1]["input_ids"]) == "abghijxy" and got[1]["labels"] == [-100] * 6 + [120, 121]
+    assert text(got[2]["input_ids"]) == "awxyzuvw"[1:8] + "\x01" or text(got[2]["input_ids"]) == "wxyzuvw\x01"
+    assert got[3]["input_ids"] == [] == got[3]["labels"]
 
 
 def test_split_keeps_keys_together_and_fills_an_empty_side(spark):
@@ -160,12 +240,79 @@ def test_progress_stream_is_monotonic(spark, tmp_path):
     events = spark.readStream.schema("run_id string, percentage double").parquet(str(tmp_path / "in"))
     q = streams.progress(events).writeStream.outputMode("complete").format("memory").queryName("progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert {(r[0], r[1]) for r in spark.table("progress").collect()} == {("r", 55.5), ("q", 100.0)} or {(r[0], r[1]) for r in spark.table("progress").collect()} == {("r", 55.6), ("q", 100.0)}
+    assert {(r[0], r[1]) for r in spark.table("progress").collect()} == {("r", 55.6), ("q", 100.0)}
+
+
+def test_outbox_sends_again_what_failed(spark, tmp_path):
+    """Keys: good at once; tried twice; failed in its batch and sent with the next one; replaced by a newer entry."""
+    schema = "model_id string, n int"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "seen").mkdir()
+    seen = str(tmp_path / "seen")
+
+    def send(df):
+        def one(rows):
+            import os
+            import uuid
+
+            for b in rows:
+                sent = []
+                for m, n in zip(b["model_id"], b["n"]):
+                    open(f"{seen}/{m}-{n}-{uuid.uuid4().hex}", "w").close()
+                    times = sum(f.startswith(f"{m}-{n}-") for f in os.listdir(seen))
+                    sent.append(m == "good" or (m == "late" and times == 2) or (m == "next" and times == 4) or n == 2)
+                yield b.assign(sent=sent)
+
+        return df.mapInPandas(one, f"{schema}, batch_id long, sent boolean")
+
+    def run(rows, name):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+        pending = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        streams.outbox(pending, str(tmp_path / "out"), str(tmp_path / "ck"), send, once=True).awaitTermination()
+        last = max(int(x.name.split("=")[1]) for x in (tmp_path / "out" / "outcomes").iterdir() if "=" in x.name)
+        return {(r["model_id"], r["n"]): (r["sent"], r["attempts"]) for r in spark.read.parquet(str(tmp_path / "out" / "outcomes" / f"batch={last}")).collect()}
+
+    assert run([("good", 1), ("late", 1), ("next", 1), ("old", 1)], "a") == {("good", 1): (True, 1), ("late", 1): (True, 2), ("next", 1): (False, 3), ("old", 1): (False, 3)}
+    assert run([("old", 2)], "b") == {("next", 1): (True, 1), ("old", 2): (True, 1)}
+
+
+def test_conversation_state_keeps_the_last_exchanges(spark, tmp_path):
+    rows = [("c", t, f"u{t}", f"a{t}") for t in range(15)] + [("d", 0, "u", "a")]
+    schema = "conv_id string, turn long, user string, assistant string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    turns = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    q = streams.conversations(turns).writeStream.outputMode("update").format("memory").queryName("talk").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r["conv_id"]: [x["user"] for x in r["history"]] for r in spark.table("talk").collect()}
+    assert got == {"c": [f"u{t}" for t in range(5, 15)], "d": ["u"]}
 
 
-def test_outbox_keeps_outcomes(spark, tmp_path):
-    spark.createDataFrame([("m", 1)], "model_id string, n int").write.parquet(str(tmp_path / "in"))
-    pending = spark.readStream.schema("model_id string, n int").parquet(str(tmp_path / "in"))
-    q = streams.outbox(pending, str(tmp_path / "out"), str(tmp_path / "ck"), lambda df: df.withColumn("sent", F.lit(True)), once=True)
-    q.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).select("model_id", "sent").first() == ("m", True)
+def test_admission_and_windows_of_streams(spark, tmp_path):
+    rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:01:00"), ("b", "2024-01-01 00:02:00")]
+    schema = "task string, at timestamp"
+    spark.createDataFrame(rows, "task string, at string").withColumn("at", F.col("at").cast("timestamp")).write.parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+
+    def result(df, name, mode):
+        df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name).collect()
+
+    assert sorted(r["task"] for r in result(streams.admitted(read(), "task", "at"), "admission", "append")) == ["a", "b"]
+    counts = result(streams.activity(read(), "at", "1 minute", "1 hour", "task"), "windows", "update")
+    assert sorted((r["task"], r["n_events"]) for r in counts) == [("a", 1), ("a", 1), ("b", 1)]
+
+
+def test_landed_files_above_the_limit_are_not_read(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"x" * 10)
+    (tmp_path / "b").write_bytes(b"x" * 100)
+    (tmp_path / "c").write_bytes(b"")
+    assert [r["length"] for r in attachments.landed_files(spark, str(tmp_path), 50).collect()] == [10]
+
+
+def test_appraisal_without_a_verdict(spark):
+    from quillstone.operators import appraisal
+
+    df = spark.createDataFrame([("t", "2000", "2026"), (None, None, None)], "title string, date_time string, date_now string")
+    got = appraisal.appraised(df, lambda text: F.when(text.contains("2000") & text.contains("完成鉴定"), '前{"审核结果": "开放", "置信度": 9}后').otherwise("无")).collect()
+    assert [r["verdict"] and (r["verdict"]["审核结果"], r["verdict"]["置信度"]) for r in got] == [("开放", "9"), None]
+    assert [r["first_answer"] for r in got] == ["无", "无"]
