@@ -89,7 +89,7 @@ def test_kernel_and_ridge_equal_plain_loops():
 def test_sample_of_languages_is_bounded(spark):
     """Null and repeated ids, equal texts, and places anywhere in long texts."""
     seen = []
-    rows = [(None, f"le texte {i} " * 3, "fr") for i in range(300)] + [(4, "one text again", "en")] * 300 + [(i, "x" * 3990 + " und am ende", "de") for i in range(40)]
+    rows = [(None, f"le texte {i} " * 3, "fr") for i in range(300)] + [(4, "one text again", "en")] * 300 + [(i, "x" * 2500 + " und am ende", "de") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     fit = language_id.fit
     try:
