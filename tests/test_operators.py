@@ -73,6 +73,12 @@ def test_payload_is_an_object_and_own_files_come_first(spark, tmp_path):
         prepare.payload(spark, str(tmp_path / "q.json")).collect()
 
 
+def test_attachments_of_any_depth_count(spark):
+    cases = [["a"], [" ", None], [], None, ['{"content": ""}'], ['{"content": "x"}'], ['[{"url": null}, []]'], ['[[{"files": ["y"]}]]']]
+    got = spark.createDataFrame([(x,) for x in cases], "f array<string>").select(prepare.has_files(F.col("f"))).collect()
+    assert [r[0] for r in got] == [True, False, False, False, False, True, False, True]
+
+
 def test_special_tokens_and_the_basis_of_labelled_text(spark):
     got = spark.createDataFrame([("开放<｜end▁of▁sentence｜> 好<pad><unk><s></s><|im_end|><|endoftext|><|end_of_sentence|>",)], "a string").select(review.cleaned_answer(F.col("a"))).first()[0]
     assert got == "开放 好"
