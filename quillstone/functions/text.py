@@ -79,8 +79,9 @@ def rule_id(kind: Column, line: Column, chunk: Column) -> Column:
 
 
 def occurrences(text: Column, word: str) -> Column:
-    """Non-overlapping occurrences of a word."""
-    return ((F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)).cast("long")
+    """Non-overlapping occurrences of a word; a text without it is only searched."""
+    n = ((F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)).cast("long")
+    return F.when(text.contains(word), n).when(text.isNotNull(), 0).cast("long")
 
 
 def vote(text: Column, words: Sequence[str]) -> Column:
