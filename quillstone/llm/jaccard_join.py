@@ -34,7 +34,7 @@ from .text import distinct_grams, encoded, parts, slices
 
 WORDS, PERCENT = 5, 75
 #: Shingles of the texts that a task holds at once; mean packed entries of a bucket; rounds with hubs.
-CHUNK, BUCKET, HUB_ROUNDS = 1_000_000, 400_000, 2
+CHUNK, BUCKET, HUB_ROUNDS = 400_000, 400_000, 2
 #: Documents that a frequent shingle has at least, and how many such shingles are held: the most frequent ones.
 FREQUENT, MOST_FREQUENT = 16, 1 << 20
 #: Times that a place in a list is gone through, as hubs spare all pairs of a list.
