@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hmm, jaccard_join, language_id, line_rules, minhash, mixing, quality, token_counts, toxicity
+from . import bpe, hmm, jaccard_join, language_id, line_rules, minhash, mixing, near_dedup, quality, spelling, token_counts, toxicity, whitening
 from .storage import small_batches, written
 
 
@@ -80,6 +80,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "language.*")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return whitening.components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.deduplicated(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_token_counts": op2_token_counts,
@@ -91,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_minhash": op9_minhash,
     "op10_language_id": op10_language_id,
+    "op11_spelling": op11_spelling,
+    "op12_whitening": op12_whitening,
+    "op13_near_dedup": op13_near_dedup,
 }
 
 SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL}
