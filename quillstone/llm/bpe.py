@@ -29,9 +29,35 @@ NONE = np.int64(1 << 62)
 #: Bytes of a generation of a worker's memos, of words and of pieces, and cells of the trees that are merged together.
 WORD_BYTES, PIECE_BYTES, CELLS = 40 << 20, 16 << 20, 1 << 19
 
+# Code points that are neither letters nor digits in the library's Unicode tables and are in those of `regex`, and
+# ranges of capitals that the library lowers and Python does not, with the way to their small letters.
+SYMBOLS = (
+    r"\u0558\u058B\u058C\u088F\u0C5C\u0CDC\u208F\u209D-\u209F\uA7CE\uA7CF\uA7D2\uA7D4\uA7DD\uA7E2\uA7F1\uAB6C\uAB6D"
+    r"\U000107BB-\U000107BF\U00010940-\U00010959\U00010EC5-\U00010EC7\U00010ED9-\U00010EEE\U00011B0A\U00011DB0-\U00011DDB"
+    r"\U00011DE0-\U00011DE9\U00011DF1\U0001246F\U00012475-\U0001247F\U00012550-\U00012686\U00016EA0-\U00016EB8"
+    r"\U00016EBB-\U00016ED3\U00016FF2-\U00016FF6\U000187F8-\U000187FF\U00018CD6-\U00018CDA\U00018D09-\U00018D20"
+    r"\U00018D80-\U00018DF2\U00018E00-\U00019191\U000191A0-\U000191D2\U0001B123-\U0001B128\U0001B168\U0001D6A6"
+    r"\U0001DF1F-\U0001DF24\U0001DF2B-\U0001DF81\U0001DF90-\U0001DF96\U0001DFCD-\U0001DFFF\U0001E6C0-\U0001E6DE"
+    r"\U0001E6E0-\U0001E6E2\U0001E6E4\U0001E6E5\U0001E6E7-\U0001E6ED\U0001E6F0-\U0001E6F4\U0001E6FE\U0001E6FF"
+    r"\U0002B73A-\U0002B73F\U0002B81E\U0002CEA2-\U0002CEAD\U000323B0-\U00033479\U0003D000-\U0003FC3F"
+)
+CAPITALS = [
+    (0x1C89, 0x1C89, 1),
+    (0xA7CB, 0xA7CB, 0x264 - 0xA7CB),
+    (0xA7CC, 0xA7CC, 1),
+    (0xA7CE, 0xA7CE, 1),
+    (0xA7D2, 0xA7D2, 1),
+    (0xA7D4, 0xA7D4, 1),
+    (0xA7DA, 0xA7DA, 1),
+    (0xA7DC, 0xA7DC, 0x19B - 0xA7DC),
+    (0x10D50, 0x10D65, 0x20),
+    (0x16EA0, 0x16EB8, 0x1B),
+]
+LOWERED = {c: c + step for first, last, step in CAPITALS for c in range(first, last + 1)} | {ord("Σ"): ord("σ")}
+
 # Fixed values of the vocabulary files: the pattern of pieces, and white space as their pattern language has it, which
 # does not count the separators from \x1c to \x1f.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|(?:[^\s\p{L}\p{N}]|[\x1c-\x1f])+")
+PIECES = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{SYMBOLS}]]+|[\p{{N}}--[{SYMBOLS}]]|[[^\s\p{{L}}\p{{N}}]||[{SYMBOLS}\x1c-\x1f]]+")
 WHITE = r"[\t-\r \x85\xa0  -     　]+"
 ODD = regex.compile(r"[\x1c-\x1f]")
 
@@ -141,7 +167,7 @@ class Bpe:
 
     def _pieces(self, text: str) -> list[str]:
         text = unicodedata.normalize("NFC", text)
-        return PIECES.findall(text.replace("Σ", "σ").lower())
+        return PIECES.findall((text if text.isascii() else text.translate(LOWERED)).lower())
 
     def _say(self, pieces: set[str]) -> dict[str, str]:
         """Decimal ids and tokens of each piece, each joined by one space, as two lines."""

@@ -107,3 +107,13 @@ def test_queries(spark, sf, docs):
     assert one.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and one.count() == docs.count()
     two = QUERIES["op2_token_counts"](spark, sf)
     assert two.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"] and two.count() == docs.count()
+
+
+def test_all_code_points_equal_the_library():
+    """Each code point within a word, after a capital and beside a mark: classes and small letters are the library's."""
+    own, library = bpe.Bpe(WORD), Tokenizer.from_file(WORD)
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = [" ".join(f"a{chr(c)}b X{chr(c)}!" for c in points[k : k + 64]) for k in range(0, len(points), 64)]
+    for k in range(0, len(texts), 256):
+        want = library.encode_batch(texts[k : k + 256], add_special_tokens=False)
+        assert [x[1] for x in own.encode_batch(texts[k : k + 256])] == [" ".join(map(str, x.ids)) for x in want]
