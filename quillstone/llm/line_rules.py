@@ -83,12 +83,26 @@ def lines_of(text: Column) -> Column:
 def normalised_lines(text: Column) -> Column:
     """The text with every line as `normalised` has it, in a few passes over the whole text; empty lines may be added."""
     one_space = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09\x0B-\x0D]+", " ")
-    return F.regexp_replace(one_space, r" ?\n ?|^ | $", "\n")
+    return F.regexp_replace(one_space, r" ?\n ?|^ | \z", "\n")
 
 
 def without_lines(text: Column, bad: Column) -> Column:
     """The text without the lines whose hashes are in the array."""
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(bad, F.xxhash64(normalised(x)))), "\n")
+    lines = F.split(text, "\n")
+    gone = among_udf()(F.transform(lines, lambda x: F.xxhash64(normalised(x))), bad)
+    marked = F.arrays_zip(lines.alias("line"), gone.alias("gone"))
+    return F.array_join(F.transform(F.filter(marked, lambda x: ~x["gone"]), lambda x: x["line"]), "\n")
+
+
+def among_udf():
+    """For each value of one array whether another one has it, by sorting both; a null array has none."""
+
+    @F.arrow_udf("array<boolean>")
+    def among(values: pa.Array, of: pa.Array) -> pa.Array:
+        rows = zip(values, of, strict=True)
+        return pa.array([None if not v.is_valid else np.isin(v.values.to_numpy(), o.values.to_numpy()) if o.is_valid else np.zeros(len(v), dtype=bool) for v, o in rows], pa.list_(pa.bool_()))
+
+    return among
 
 
 def text_key(text: Column) -> Column:

@@ -174,6 +174,15 @@ def test_copies_of_a_page_count_as_documents(spark):
     assert {r["doc_id"]: r["lost_words"] for r in got.collect()} == {**{i: 5 for i in range(21)}, 50: 2, 51: 0}
 
 
+@pytest.mark.parametrize("mark", ["\u0085", "\u2028", "\u2029", " "])
+def test_a_line_with_a_mark_at_the_end_of_a_text(spark, mark):
+    """Such a line is counted and removed as one line, with its mark."""
+    rows = [(i, f"own {i}\nshared line {mark}", "h") for i in range(30)]
+    got = line_rules.rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    words = 2 + (mark != " ")
+    assert {(r["lost_words"], r["cleaned_md5"]) for r in got} == {(words, hashlib.md5(f"own {i}".encode()).hexdigest()) for i in range(30)}
+
+
 def test_line_rules_of_nothing(none):
     assert line_rules.rules(none).count() == 0 and line_rules.accepted(none).count() == 0
 
