@@ -78,12 +78,10 @@ def packed_shingles(batches: Iterator[pa.RecordBatch], n: int, buckets: int, per
         who = np.where(many == 1, who[begins], SEVERAL | many.astype(np.uint32))
         bucket, rest = bucket[first], rest[first]
         yield _packed(0, -1, chunk, b"", b"", ids, keys, sizes.tolist(), known.tolist())
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        for b in range(buckets):
-            s = slice(cuts[b], cuts[b + 1])
-            if cuts[b + 1] > cuts[b]:
-                planes = np.ascontiguousarray(rest[s].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T)
-                yield _packed(1, b, chunk, planes.tobytes(), np.ascontiguousarray(who[s].astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), [], [], [], [])
+        own, cuts = np.unique(bucket, return_index=True)
+        for b, begin, end in zip(own.tolist(), cuts, [*cuts[1:], len(bucket)], strict=True):
+            planes = np.ascontiguousarray(rest[begin:end].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T)
+            yield _packed(1, b, chunk, planes.tobytes(), np.ascontiguousarray(who[begin:end].astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), [], [], [], [])
         held, ids, keys, counts, total, count = [], [], [], [], 0, count + 1
 
     for batch in (b.slice(k, 1024) for b in batches for k in range(0, b.num_rows, 1024)):
