@@ -18,10 +18,10 @@ from .linear import remainder
 from .text import LETTERS, parts, slices
 
 BITS, SIZES, WINDOW = 14, (2, 3, 4), 2048
-#: Bounds of the labelled sample: windows of each language, windows over all languages, languages (the most frequent ones),
-#: and characters of a window, which may come from any place of any labelled text.
-PER_LANGUAGE, OVERALL, LANGUAGES, CHARS = 500, 20_000, 400, 2000
-#: Landmarks over all languages, and the ridge.
+#: Bounds of the labelled sample: windows of each language, windows over all languages (one of each language at least), and
+#: characters of a window, which may come from any place of any labelled text.
+PER_LANGUAGE, OVERALL, CHARS = 500, 20_000, 2000
+#: Landmarks over all languages, one of each at least, and the ridge.
 LANDMARKS, RIDGE = 300, 1e-2
 LETTER = regex.compile(r"\p{L}")
 NONE = "und"
@@ -93,7 +93,12 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
         return Model([], np.zeros((1 << BITS, 1), dtype=np.float32))
     raw = [t.encode() for _, t in rows]
     owner = presence_owner(raw)
-    chosen = np.sort(np.random.default_rng(7).permutation(len(owner))[:landmarks])
+    drawn = np.random.default_rng(7).permutation(len(owner))
+    of = np.array([languages.index(rows[o][0]) for o in owner])[drawn]
+    turn = np.empty(len(drawn), dtype=np.int64)  # of the windows of one language, as they are drawn
+    for k in range(len(languages)):
+        turn[of == k] = np.arange(int((of == k).sum()))
+    chosen = np.sort(drawn[np.argsort(turn, kind="stable")[: max(landmarks, len(languages))]])
     marks, products, answers, first = [], [], [], 0
     for s in slices(raw, WINDOW * 128):  # the landmarks, then every window's kernel with them
         x, _ = presence(raw[s])
@@ -124,7 +129,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, chars: int = CHARS,
     usable = docs.select("doc_id", F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
     usable = usable.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(doc))
     windows = F.ceil(F.length(body) / chars).cast("int")
-    counts = usable.groupBy("lang").agg(F.sum(windows).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()  # a row a language
+    counts = usable.groupBy("lang").agg(F.sum(windows).alias("n")).collect()  # a row a language
     if not counts:
         return fit([])
     bound = max(1, min(per_language, OVERALL // len(counts)))
