@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ FILTER_WORDS = 1 << 17
 #: Rows of an Arrow batch: some MB of text.
 BATCH_ROWS = 1024
 _OWN: dict[str, str] = {}
-#: Tables of the jobs that are open, the innermost last.
-_OPEN: list[list[str]] = []
+#: Tables of the jobs that are open, the innermost last. Each thread has its own.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("quillstone_open", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,8 +44,8 @@ def small_batches(spark: SparkSession) -> None:
 def stored(df: DataFrame, level: int = 0) -> tuple[DataFrame, str]:
     """The rows as a table in the shared folder, and its path. level: which of the open blocks removes it, the innermost 1."""
     path = f"{shared_folder(df.sparkSession)}/quillstone-{uuid.uuid4().hex}"
-    if 0 < level <= len(_OPEN):
-        _OPEN[-level].append(path)
+    if 0 < level <= len(_OPEN.get()):
+        _OPEN.get()[-level].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
@@ -63,11 +64,13 @@ def lasting(df: DataFrame) -> DataFrame:
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Removes at its end the tables that `written` makes inside. What is used later must be `lasting`."""
-    _OPEN.append([])
+    own: list[str] = []
+    outer = _OPEN.set((*_OPEN.get(), own))
     try:
         yield
     finally:
-        for path in _OPEN.pop():
+        _OPEN.reset(outer)
+        for path in own:
             removed(spark, path)
         gc.collect()  # Spark removes shuffle files as the plans that made them are collected
         spark.sparkContext._jvm.System.gc()
