@@ -17,11 +17,12 @@ from quillstone.llm.storage import removed, small_batches, stored, temporary
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told: texts without a letter go, and those in which the best language's score is not a
-    quarter above an even share of all languages."""
+    quarter above the mean of the other languages'. Where only one language is learned, all texts with a letter stay."""
     small_batches(spark)
     model = language_id.train(docs)
     told = language_id.identify(docs, model, out="__language")
-    sure = F.col("__language.score") >= 1.25 / max(1, len(model.languages))
+    best = F.col("__language.score")  # a share: the others have the rest
+    sure = best * (len(model.languages) - 1) >= 1.25 * (1 - best)
     return told.where((F.col("__language.lang_pred") != language_id.NONE) & sure).select(*_columns(docs))
 
 
