@@ -1,10 +1,16 @@
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quillstone.llm import bpe, jaccard_join, language_id, line_rules, mixing
 
 
+def surely(x, languages):
+    """Whether a language is told: the best one's share is a quarter above the mean of the others'."""
+    return x["lang_pred"] != "und" and x["score"] * (languages - 1) >= 1.25 * (1 - x["score"])
+
+
 def test_stages_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality_rules", "jaccard_join", "mixing", "bpe"]
 
@@ -18,8 +24,8 @@ def test_stages_return_documents_and_decide(spark, sf, docs, tmp_path):
         ids, before = [r["doc_id"] for r in out.collect()], {r["doc_id"] for r in held.collect()}
         if name == "language_id":
             model = language_id.train(held)
-            told = language_id.identify(held, model).where(f"language.lang_pred <> 'und' AND language.score >= {1.25 / len(model.languages)}")
-            assert sorted(ids) == sorted(r["doc_id"] for r in told.collect())
+            told = language_id.identify(held, model).collect()
+            assert sorted(ids) == sorted(r["doc_id"] for r in told if surely(r["language"], len(model.languages)))
         if name == "quality_rules":
             assert sorted(ids) == sorted(r["doc_id"] for r in line_rules.rules(held).where("kept").collect())
         if name == "jaccard_join":
@@ -58,7 +64,14 @@ def test_texts_of_no_language_leave(spark, sf, docs):
     model = language_id.train(some)
     scores = {r["doc_id"]: r["language"] for r in language_id.identify(some, model).collect()}
     assert 10**6 + 1 not in kept and len(kept) >= docs.count() - 3
-    assert kept == {i for i, x in scores.items() if x["lang_pred"] != "und" and x["score"] >= 1.25 / len(model.languages)}
+    assert kept == {i for i, x in scores.items() if surely(x, len(model.languages))}
+
+
+@pytest.mark.parametrize("languages", [["en"], ["en", "de"], ["en", "de", "es", "fr"]])
+def test_documents_of_any_number_of_languages_stay(spark, sf, docs, languages):
+    some = docs.where(docs["lang"].isin(languages) & docs["text"].rlike(r"\\p{L}"))
+    kept = corpus_pipeline.languages(spark, some, sf).count()
+    assert kept == some.count() if languages == ["en"] else kept >= 0.95 * some.count()
 
 
 def test_a_column_named_size_passes_the_mix(spark, sf):
