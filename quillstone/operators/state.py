@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import backoff, percentage
-from .ranks import numbered
+from .ranks import numbered, overlapping, running_max
 
 
 def registry_lookup(requests: DataFrame, registry: DataFrame, key: str = "model_id") -> DataFrame:
@@ -47,10 +47,9 @@ def queue_positions(waiting: DataFrame, order: list[str], group: list[str]) -> D
     return numbered(waiting, order, group, "position")
 
 
-def running_progress(events: DataFrame, run: str, order: list[str], value: Column) -> DataFrame:
+def running_progress(events: DataFrame, run: str, order: list[str], value: Column, **how) -> DataFrame:
     """Adds percentage: the largest so far of the run, kept in 0 to 100; late lower values change nothing."""
-    w = Window.partitionBy(run).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.withColumn("percentage", F.max(percentage(value)).over(w))
+    return running_max(events, percentage(value), order, [run], "percentage", **how)
 
 
 def latest_progress(events: DataFrame, run: str, value: Column) -> DataFrame:
@@ -127,20 +126,23 @@ def accepted_reply(status: Column, code: Column) -> Column:
     return status.between(200, 299) & code.isin(0, 200)
 
 
-def exchanges(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def exchanges(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", **how) -> DataFrame:
     """conversation, turn, user, assistant: user messages with the assistant's message that comes next, if one does."""
-    w = Window.partitionBy(conversation).orderBy(turn)
-    told = messages.where(F.col(role).isin("user", "assistant"))
+    told = overlapping(messages.where(F.col(role).isin("user", "assistant")), [turn], [conversation], 0, 1, **how)
+    w = Window.partitionBy(conversation, "__chunk").orderBy("__number")
     nxt = told.withColumn("__role", F.lead(role).over(w)).withColumn("__text", F.lead(text).over(w))
-    pairs = nxt.where(F.col(role) == "user")
+    pairs = nxt.where((F.col(role) == "user") & ~F.col("__copy"))
     return pairs.select(conversation, turn, F.col(text).alias("user"), F.when(F.col("__role") == "assistant", F.col("__text")).alias("assistant"))
 
 
-def with_history(pairs: DataFrame, conversation: str = "conv_id", turn: str = "turn", keep: int = 10) -> DataFrame:
-    """Adds history: at most the last `keep` answered exchanges before, in order."""
-    w = Window.partitionBy(conversation).orderBy(turn)
+def with_history(pairs: DataFrame, conversation: str = "conv_id", turn: str = "turn", keep: int = 10, **how) -> DataFrame:
+    """Adds history: the answered ones of the last `keep` exchanges before, in order. A conversation of any length is dealt in
+    chunks, each with the `keep` exchanges before it."""
+    near = overlapping(pairs, [turn], [conversation], keep, 0, **how)
+    w = Window.partitionBy(conversation, "__chunk").orderBy("__number")
     entry = F.when(F.col("assistant").isNotNull(), F.struct("user", "assistant"))
-    return pairs.withColumn("history", F.collect_list(entry).over(w.rowsBetween(-keep, -1)))
+    told = near.withColumn("history", F.collect_list(entry).over(w.rowsBetween(-keep, -1)))
+    return told.where(~F.col("__copy")).drop("__number", "__chunk", "__copy")
 
 
 def chat_prompt(history: Column, user: Column, system: str = "") -> Column:
