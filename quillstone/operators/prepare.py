@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from ..functions.labels import open_label, period_label, risk_elements
 from ..functions.text import confidence, first_present, strip
+from ..functions.variants import holds, leaves, parsed
 
 # Candidate keys of a record's fields, in order, and defaults.
 TITLE_KEYS = ["tm", "题名", "title", "archiveTitle"]
@@ -58,9 +60,10 @@ def records(payloads: DataFrame, *keep: str) -> DataFrame:
 
 
 def has_files(files: Column) -> Column:
-    """Whether any of the attachments, texts or JSON of any depth, holds a value that is not empty."""
-    held = lambda x: F.regexp_replace(F.coalesce(strip(x), F.lit("")), r'(?U)^[\s\[\]{},]*$|"[^"]*"\s*:|""|\bnull\b', "")
-    return F.coalesce(F.exists(files, lambda x: F.regexp_replace(held(x), r"(?U)[\s\[\]{},]+", "") != ""), F.lit(False))
+    """Whether any of the attachments, texts or JSON of any depth, is there: an object with a field, or a text that does not stand
+    for a missing value. Lists count by what is in them."""
+    held = lambda x: F.exists(leaves(parsed(x), x), holds)
+    return F.coalesce(F.exists(files, lambda x: x.isNotNull() & F.coalesce(held(x), F.lit(False))), F.lit(False))
 
 
 def projected(rows: DataFrame, kind: str) -> DataFrame:
@@ -77,14 +80,17 @@ def projected(rows: DataFrame, kind: str) -> DataFrame:
     return rows.withColumns(columns | {name: of(record, keys) for name, keys in RETRIEVAL_KEYS.items()})
 
 
+REASONS = ["label is not valid", "no basis", "attachments without content", "neither content nor title and date"]
+
+
 def reject_reason(label: Column, basis: Column, content: Column, attached: Column, title: Column, date: Column) -> Column:
     """Why a record makes no sample, null if it does."""
     empty = F.coalesce(content, F.lit("")) == ""
     return (
-        F.when(label.isNull(), "label is not valid")
-        .when(basis == "", "no basis")
-        .when(empty & attached, "attachments without content")
-        .when(empty & ((title == NO_TITLE) | (date == NO_DATE)), "neither content nor title and date")
+        F.when(label.isNull(), REASONS[0])
+        .when(basis == "", REASONS[1])
+        .when(empty & attached, REASONS[2])
+        .when(empty & ((title == NO_TITLE) | (date == NO_DATE)), REASONS[3])
     )
 
 
@@ -171,12 +177,54 @@ def samples(rows: DataFrame, kind: str, basis_prefix: str, content: str = "text"
     return out.withColumns({"instruction": F.lit(instruction or INSTRUCTIONS[kind]), "input": F.when(good, asked), "output": F.when(good, told)})
 
 
+def fingerprint(question: str = "input", answer: str = "output") -> Column:
+    """Equal for samples with equal question and answer."""
+    return F.sha2(F.to_json(F.struct(question, answer)), 256)
+
+
+def _turn(rows: DataFrame, order: list[str]) -> Column:
+    """The order of a row, with a hash of all its values where the order repeats."""
+    plain = [F.to_json(F.col(c)) if isinstance(rows.schema[c].dataType, (MapType, ArrayType, StructType)) else F.col(c) for c in rows.columns]
+    return F.struct(*order, F.xxhash64(*plain).alias("__hash"))
+
+
 def marked_duplicates(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Adds duplicate: whether an earlier valid sample has the same input and output. Only hashes are sorted."""
-    key = F.when(F.col("reject_reason").isNull(), F.sha2(F.to_json(F.struct("input", "output")), 256))
-    turn = F.row_number().over(Window.partitionBy("__key").orderBy(*order))
-    light = rows.where("reject_reason IS NULL").select(*order, key.alias("__key")).withColumn("duplicate", turn > 1)
-    return rows.join(light.select(*order, "duplicate"), order, "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
+    """Adds duplicate: whether a valid sample is not the first by order of those with its input and output. Of rows that are
+    equal in all values one is the first. The first of each is found by adding up, not by sorting; an order may repeat."""
+    keyed = rows.withColumn("__key", F.when(F.col("reject_reason").isNull(), fingerprint())).withColumn("__turn", _turn(rows, order))
+    first = keyed.where("__key IS NOT NULL").groupBy("__key").agg(F.min("__turn").alias("__first"))
+    both = keyed.join(first, "__key", "left").withColumn("__is", F.coalesce(F.col("__turn") == F.col("__first"), F.lit(False)))
+    # only the first row, and rows equal to it in all values, are numbered together
+    place = F.when(F.col("__is"), F.col("__key")).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
+    twin = F.row_number().over(Window.partitionBy("__place").orderBy("__key"))
+    marked = both.withColumn("__place", place).withColumn("__twin", twin)
+    return marked.withColumn("duplicate", F.col("__key").isNotNull() & (~F.col("__is") | (F.col("__twin") > 1))).drop("__key", "__turn", "__first", "__is", "__place", "__twin")
+
+
+class Counts:
+    """What the pass that writes samples has seen: n_raw rows, the rejected ones by reason, n_valid and n_duplicates."""
+
+    def __init__(self, raw: Observation, kept: Observation, reasons: list[str]):
+        self.raw, self.kept, self.reasons = raw, kept, reasons
+
+    def get(self) -> dict:
+        """Waits for the pass. Keys: n_raw, n_valid, n_duplicates, and rejected: the number of each reason."""
+        raw, kept = self.raw.get, self.kept.get
+        valid = kept["n_valid"]
+        rejected = {r: raw[f"r{k}"] for k, r in enumerate(self.reasons)}
+        return {"n_raw": raw["n_raw"], "n_valid": valid, "n_duplicates": raw["n_good"] - valid, "rejected": rejected}
+
+
+def distinct_samples(rows: DataFrame, order: list[str], keep: list[str]) -> tuple[DataFrame, Counts]:
+    """The valid samples, of equal ones the first by order (the columns `keep`), and counts that are known when they have been
+    written or collected once: they are observed as the rows pass, with no scan of their own. Samples are reduced to the
+    first of each key before they are shuffled, so a sample that is there very often moves once from each task."""
+    raw, kept = Observation(), Observation()
+    reasons = [F.count_if(F.col("reject_reason") == r).alias(f"r{k}") for k, r in enumerate(REASONS)]
+    seen = rows.observe(raw, F.count("*").alias("n_raw"), F.count_if(F.col("reject_reason").isNull()).alias("n_good"), *reasons)
+    good = seen.withColumn("__turn", _turn(rows, order)).where("reject_reason IS NULL")
+    first = good.groupBy(fingerprint().alias("__key")).agg(F.min_by(F.struct(*keep), F.col("__turn")).alias("s"))
+    return first.select("s.*").observe(kept, F.count("*").alias("n_valid")), Counts(raw, kept, REASONS)
 
 
 def first_wins(rows: DataFrame, key: list[Column], order: list[str]) -> DataFrame:

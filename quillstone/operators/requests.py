@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import CONTROL, OPEN, keyword_contract, keyword_list
 from ..functions.text import partial_date, strip
+from ..functions.variants import elements, parsed, text_of
 
 # Fields of a request and of an item, each with the other name that it may have.
 REQUEST = {"model_id": "modelId", "ai_audit_id": "aiAuditId", "model_type": "modelType", "data": "data"}
@@ -79,8 +80,9 @@ def model_errors(requests: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def as_list(value: Column) -> Column:
-    """A single value as an array; null as an empty one."""
-    return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(F.array(value.cast("string")))
+    """A value of any type as an array of texts: a JSON list's elements, anything else as one; null as none. Elements that are
+    lists or objects are JSON."""
+    return F.transform(elements(parsed(value.cast("string"))), text_of)
 
 
 def settings(defaults: DataFrame, overrides: DataFrame) -> DataFrame:

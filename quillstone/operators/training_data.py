@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import hash_bucket, strip
+from ..sources.jsonl import any_json
 from .ranks import numbered
 
 IGNORED = -100
@@ -23,8 +25,8 @@ def training_prompt(instruction: Column, question: Column, system: str = SYSTEM)
 
 
 def answer_text(output: Column, eos: str) -> Column:
-    """The stripped output with one end mark."""
-    plain = strip(output)
+    """The stripped output with one end mark; a literal in quotes of either kind becomes JSON."""
+    plain = any_json(strip(output))
     return F.when(F.endswith(plain, F.lit(eos)), plain).otherwise(F.concat(plain, F.lit(eos)))
 
 
@@ -59,15 +61,21 @@ def split_key(input_json: Column) -> Column:
     return F.coalesce(F.get_json_object(input_json, "$.题名"), input_json)
 
 
-def split(samples: DataFrame, key: Column, ratio: float, order: str) -> DataFrame:
+def split(samples: DataFrame, key: Column, ratio: float, order: str, min_samples: int = 0) -> DataFrame:
     """Adds part: validation where the key's bucket is below ratio, else train. Rows of a key stay together. If one side is
-    empty, the last row of the other goes there: found by two maxima, no sort."""
+    empty and the other has several rows, exactly one row goes there: the last by order, nulls first, and a hash of its values
+    where the order repeats. Fewer rows than `min_samples` are refused."""
     marked = samples.withColumn("part", F.when(hash_bucket(key) < int(ratio * 10_000), "validation").otherwise("train"))
-    ends = marked.agg(F.count_if(F.col("part") == "train").alias("n_train"), F.count_if(F.col("part") == "validation").alias("n_validation"), F.max(order).alias("last"))
-    both = marked.join(F.broadcast(ends))  # one row
-    last = F.col(order) == F.col("last")
-    part = F.when((F.col("n_validation") == 0) & (F.col("n_train") > 1) & last, "validation").when((F.col("n_train") == 0) & (F.col("n_validation") > 1) & last, "train")
-    return both.withColumn("part", F.coalesce(part, F.col("part"))).drop("n_train", "n_validation", "last")
+    place = F.struct(F.col(order).alias("o"), F.xxhash64(*[F.to_json(c) if isinstance(samples.schema[c].dataType, (T.MapType, T.ArrayType, T.StructType)) else F.col(c) for c in samples.columns]).alias("h"))
+    n, train, last = marked.agg(F.count("*"), F.count_if(F.col("part") == "train"), F.max(place)).first()
+    if n < min_samples:
+        raise ValueError(f"{n} samples, fewer than {min_samples}")
+    if n < 2 or 0 < train < n:
+        return marked
+    is_last = place.eqNullSafe(F.struct(F.lit(last["o"]).cast(samples.schema[order].dataType).alias("o"), F.lit(last["h"]).cast("long").alias("h")))
+    twins = marked.where(is_last).withColumn("__turn", F.row_number().over(Window.orderBy(F.lit(0))))  # rows equal in all values: one moves
+    moved = twins.withColumn("part", F.when(F.col("__turn") > 1, F.col("part")).otherwise("train" if train == 0 else "validation")).drop("__turn")
+    return marked.where(~is_last).unionByName(moved)
 
 
 def truncated(prompt: Column, answer: Column, limit: int) -> Column:
@@ -118,6 +126,21 @@ def rank_shard(rows: DataFrame, order: str, world: int, group: str) -> DataFrame
     return numbered(rows, [order], [group], "__turn").withColumn("shard", F.pmod(turn, F.lit(world)).cast("long")).drop("__turn")
 
 
+def epoch_shards(rows: DataFrame, key: str, world: int, seed: int, epoch: int, **how) -> DataFrame:
+    """Adds shard and place (both from 0): the rows in an order drawn for the epoch, dealt over `world` shards in turn. Shards are
+    equal in size: the first rows of the order come again at its end until they are. The order is that of a digest of seed,
+    epoch and key, so that it is the same on every run and cluster; rows are numbered by ranges of it, not sorted as a
+    whole. An empty table stays empty."""
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.lit(epoch).cast("string"), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
+    placed = numbered(rows.withColumn("__drawn", drawn).withColumn("__all", F.lit(0)), ["__drawn", key], ["__all"], "__turn", **how)
+    total = rows.agg(F.count("*").alias("__n"))
+    both = placed.join(F.broadcast(total))  # one row
+    padded = F.ceil(F.col("__n") / world) * world
+    at = F.explode(F.sequence(F.col("__turn").cast("long") - 1, padded - 1, F.col("__n")))
+    out = both.withColumn("__at", at)
+    return out.withColumns({"shard": F.pmod("__at", F.lit(world)), "place": F.floor(F.col("__at") / world)}).drop("__drawn", "__all", "__turn", "__n", "__at")
+
+
 def epoch_losses(steps: DataFrame, group: list[str], loss: str) -> DataFrame:
     """Mean loss of each group's steps, to six decimals."""
     return steps.groupBy(*group).agg(F.round(F.avg(loss), 6).alias("loss"))

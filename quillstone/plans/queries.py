@@ -11,6 +11,7 @@ from ..functions import labels as L
 from ..functions import text as X
 from ..operators import appraisal, prepare, requests, review, rules, spans, state, training_data
 from ..sources import attachments, jsonl
+from ..sources.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,17 +36,6 @@ def c(name: str) -> Column:
     return F.col(name)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder where the cluster shares files; a temporary one only where none is named, on a local master."""
-    import tempfile
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(folder or 'file://' + tempfile.mkdtemp()).rstrip('/')}/queries-{uuid.uuid4().hex}"
-
-
 # Rule retrieval
 
 BIGRAMS = """
@@ -222,8 +212,31 @@ def training_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT reject, row_number() OVER (PARTITION BY reject, title, date_time, archive_category, text, label, basis, confidence ORDER BY doc_id) AS turn
 FROM (SELECT *, CASE WHEN label IS NULL OR basis = '' THEN 1 END AS reject FROM {RECORDS}))""")
 def preparation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples with an earlier one's question and answer are duplicates."""
-    return prepare.preparation_counts(prepare.marked_duplicates(_gated(spark, sf_dir), ["doc_id"]))
+    """Samples with an earlier one's question and answer are duplicates; counted while the samples are written."""
+    return _written_counts(spark, _gated(spark, sf_dir))
+
+
+def _written_counts(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    samples, counts = prepare.distinct_samples(rows, ["doc_id"], ["instruction", "input", "output"])
+    samples.write.json(shared_folder(spark))
+    n = counts.get()
+    return spark.range(1).select(*[F.lit(n[x]).alias(x) for x in ("n_raw", "n_valid", "n_duplicates")])
+
+
+@query(f"""SELECT 3 * count(*) AS n_raw, count(*) FILTER (reject IS NULL AND turn = 1) AS n_valid, 3 * count(*) FILTER (reject IS NULL) - count(*) FILTER (reject IS NULL AND turn = 1) AS n_duplicates FROM (
+SELECT reject, row_number() OVER (PARTITION BY reject, title, date_time, archive_category, text, label, basis, confidence ORDER BY doc_id) AS turn
+FROM (SELECT *, CASE WHEN label IS NULL OR basis = '' THEN 1 END AS reject FROM {RECORDS}))""")
+def repeated_preparation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record three times under its id, as when a set is fetched again."""
+    return _written_counts(spark, _gated(spark, sf_dir).withColumn("again", F.explode(F.array(*[F.lit(i) for i in range(3)]))))
+
+
+@query(f"""SELECT doc_id, turn > 1 OR copy > 0 AS duplicate FROM (
+SELECT doc_id, row_number() OVER (PARTITION BY title, date_time, archive_category, text, label, basis, confidence ORDER BY doc_id) AS turn FROM {RECORDS} WHERE label IS NOT NULL AND basis <> ''), (SELECT unnest(range(2)) AS copy)""")
+def marked_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record twice, the same in all values: one of both is the first."""
+    twice = _gated(spark, sf_dir).where("reject_reason IS NULL").withColumn("again", F.explode(F.array(F.lit(0), F.lit(0))))
+    return prepare.marked_duplicates(twice, ["doc_id"]).select("doc_id", "duplicate")
 
 
 @query("""SELECT doc_id, CASE WHEN ('0x' || substr(sha1(source || '/' || doc_id), 1, 8))::BIGINT % 10000 < 1500 THEN 'validation' ELSE 'train' END AS part FROM documents""")

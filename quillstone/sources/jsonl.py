@@ -57,6 +57,23 @@ def as_json(text: Column) -> Column:
     return F.when(good, text).otherwise(literal(F.when(~good, text)))  # other rows reach Python as nulls
 
 
+def any_json(text: Column) -> Column:
+    """The text itself if it is JSON of any type; what a literal in quotes of either kind says as JSON; else the text."""
+
+    @F.pandas_udf("string")
+    def literal(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            try:
+                return json.dumps(ast.literal_eval(t), ensure_ascii=False) if t else None
+            except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+                return None
+
+        return texts.map(one)
+
+    good = F.try_parse_json(text).isNotNull()
+    return F.when(good, text).otherwise(F.coalesce(literal(F.when(~good, text)), text))  # other rows reach Python as nulls
+
+
 ANSWER = "`审核结果` string, `审核依据` string, `置信度` string, `思考过程` string"
 
 

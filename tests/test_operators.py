@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.functions import labels as L
-from quillstone.operators import prepare, review, rules, spans, state, training_data
+from quillstone.operators import prepare, requests, review, rules, spans, state, training_data
 from quillstone.sources import attachments, jsonl
 from quillstone.streaming import state as streams
 
@@ -74,9 +74,10 @@ def test_payload_is_an_object_and_own_files_come_first(spark, tmp_path):
 
 
 def test_attachments_of_any_depth_count(spark):
-    cases = [["a"], [" ", None], [], None, ['{"content": ""}'], ['{"content": "x"}'], ['[{"url": null}, []]'], ['[[{"files": ["y"]}]]']]
+    """An object counts if it has a field, a list by what is in it, a text unless it stands for a missing value."""
+    cases = [["a"], [" ", None], [], None, ['{"content": ""}'], ["{}"], ['[{}, [], [null, " None "]]'], ['[[{"files": []}]]'], ['[[["x"]]]'], ["[7]"], ["["], ["null"], [None, "x"]]
     got = spark.createDataFrame([(x,) for x in cases], "f array<string>").select(prepare.has_files(F.col("f"))).collect()
-    assert [r[0] for r in got] == [True, False, False, False, False, True, False, True]
+    assert [r[0] for r in got] == [True, False, False, False, True, False, False, True, True, True, True, False, True]
 
 
 def test_special_tokens_and_the_basis_of_labelled_text(spark):
@@ -322,3 +323,98 @@ def test_appraisal_without_a_verdict(spark):
     got = appraisal.appraised(df, lambda text: F.when(text.contains("2000") & text.contains("完成鉴定"), '前{"审核结果": "开放", "置信度": 9}后').otherwise("无")).collect()
     assert [r["verdict"] and (r["verdict"]["审核结果"], r["verdict"]["置信度"]) for r in got] == [("开放", "9"), None]
     assert [r["first_answer"] for r in got] == ["无", "无"]
+
+
+def test_values_of_any_type_as_lists(spark):
+    cases = [None, "x", '["a", "b"]', '[1, null, {"k": [2]}, ["z"]]', '{"a": 1}', "[]", "[broken", '"quoted"', "12"]
+    got = spark.createDataFrame([(x,) for x in cases], "v string").select(requests.as_list(F.col("v"))).collect()
+    assert [r[0] for r in got] == [[], ["x"], ["a", "b"], ["1", None, '{"k":[2]}', '["z"]'], ['{"a":1}'], [], ["[broken"], ["quoted"], ["12"]]
+
+
+SAMPLES = "doc_id long, reject_reason string, input string, output string, instruction string"
+
+
+def test_duplicates_of_repeated_ids(spark):
+    """Three samples, two with one id: all three stay as rows, one is valid and two are duplicates."""
+    rows = [(1, None, "q", "a", "i"), (1, None, "q", "a", "i"), (2, None, "q", "a", "i"), (None, None, "z", "a", "i"), (3, "no basis", None, None, "i"), (0, None, "q", "other", "i")]
+    df = spark.createDataFrame(rows, SAMPLES)
+    got = prepare.marked_duplicates(df, ["doc_id"])
+    assert got.columns == [*df.columns, "duplicate"] and got.count() == len(rows)
+    assert sorted((str(r["doc_id"]), r["duplicate"]) for r in got.collect()) == [("0", False), ("1", False), ("1", True), ("2", True), ("3", False), ("None", False)]
+    assert tuple(prepare.preparation_counts(got).first()) == (6, 3, 2)
+    samples, counts = prepare.distinct_samples(df, ["doc_id"], ["doc_id", "input", "output"])
+    assert sorted((str(r["doc_id"]), r["input"], r["output"]) for r in samples.collect()) == [("0", "q", "other"), ("1", "q", "a"), ("None", "z", "a")]
+    told = counts.get()
+    assert (told["n_raw"], told["n_valid"], told["n_duplicates"]) == (6, 3, 2) and told["rejected"]["no basis"] == 1 and sum(told["rejected"].values()) == 1
+
+
+@pytest.mark.parametrize("ids", [[5, 5, 5], [None, None, None], [1, 2, None], [3, 3, 1]])
+def test_one_row_fills_an_empty_side(spark, ids):
+    df = spark.createDataFrame([(i, f"k{n}", {"a": "b"}) for n, i in enumerate(ids)], "id long, k string, m map<string,string>")
+    for ratio, side in ((0.0, "validation"), (1.0, "train")):
+        got = training_data.split(df, F.col("k"), ratio, "id")
+        assert got.columns == [*df.columns, "part"] and got.count() == 3
+        moved = got.where(F.col("part") == side).collect()
+        assert len(moved) == 1 and moved[0]["id"] == max((i for i in ids if i is not None), default=None)
+    same = spark.createDataFrame([(1, "k")] * 4, "id long, k string")
+    assert training_data.split(same, F.col("k"), 0.0, "id").where("part = 'validation'").count() == 1
+    with pytest.raises(ValueError, match="fewer than 10"):
+        training_data.split(df, F.col("k"), 0.5, "id", min_samples=10)
+    assert training_data.split(df.limit(1), F.col("k"), 0.0, "id").first()["part"] == "train"
+
+
+def test_answers_in_literal_form_become_json(spark):
+    cases = ["{'a': 1, 'b': '审'}", '{"a": 1}', " [1, 'x'] ", "('t', None)", "plain text", "{'a': 1}</s>", "{1, 2}", "12", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in cases], "a string").select(training_data.answer_text(F.col("a"), "</s>")).collect()]
+    assert got == ['{"a": 1, "b": "审"}</s>', '{"a": 1}</s>', '[1, "x"]</s>', '["t", null]</s>', "plain text</s>", "{'a': 1}</s>", "{1, 2}</s>", "12</s>", None]
+
+
+@pytest.mark.parametrize("n,world", [(10, 4), (8, 4), (3, 8), (1, 3), (0, 4)])
+def test_shards_are_equal_and_whole(spark, n, world):
+    rows = spark.range(n).select("id", F.lit("x").alias("shard"))
+    orders = []
+    for epoch in (0, 1):
+        for most in (10**6, 2):
+            got = training_data.epoch_shards(rows, "id", world, 7, epoch, most=most).collect()
+            by = {}
+            for r in sorted(got, key=lambda r: r["place"]):
+                by.setdefault(r["shard"], []).append(r["id"])
+            assert {len(x) for x in by.values()} <= {-(-n // world)} and len(by) == (world if n else 0)
+            assert {r["id"] for r in got} == set(range(n))
+            orders.append([by[k][p] for p in range(-(-n // world)) for k in range(world)])
+            assert orders[-1][n:] == [orders[-1][i % n] for i in range(n, len(orders[-1]))]
+    assert orders[0] == orders[1] and orders[2] == orders[3] and (n < 8 or orders[0] != orders[2])
+
+
+def test_chat_equals_a_plain_loop(spark):
+    """Conversations of 0 to 14 turns, null texts, a null conversation; the predictor sees the last exchanges and is asked once."""
+    import hashlib
+
+    from quillstone.operators import chat
+
+    turns = [(c, t, None if (c, t) == (2, 3) else f"say {c} {t}") for c, n in ((1, 1), (2, 5), (3, 14), (None, 2)) for t in range(n)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, user string")
+    asked = spark.sparkContext.accumulator(0)
+
+    def predict(prompt):
+        @F.pandas_udf("string")
+        def answer(x):
+            asked.add(len(x))
+            return x.map(lambda p: hashlib.md5(p.encode()).hexdigest())
+
+        return answer(prompt)
+
+    got = {(r["conv_id"], r["turn"]): r for r in chat.chat(df, predict, system="S\n", keep=4).collect()}
+    assert len(got) == len(turns) and asked.value == len(turns)
+    for c in {c for c, _, _ in turns}:
+        history = []
+        for _, t, u in [x for x in turns if x[0] == c]:
+            u = u or ""
+            blocks = "".join(f"<|im_start|>user\n{a}<|im_end|>\n<|im_start|>assistant\n{b}<|im_end|>\n" for a, b in history[-4:])
+            prompt = f"S\n{blocks}<|im_start|>user\n{u}<|im_end|>\n<|im_start|>assistant\n"
+            answer = hashlib.md5(prompt.encode()).hexdigest()
+            assert (got[c, t]["user"], got[c, t]["prompt"], got[c, t]["assistant"]) == (u, prompt, answer)
+            history.append((u, answer))
+    assert chat.chat(df.limit(0), predict).count() == 0
+    said = df.limit(1).select(chat.asked(F.lit("do"), F.lit("")), chat.asked(F.lit("do"), F.lit("this"))).first()
+    assert tuple(said) == ("do", "do\n\nthis")
