@@ -3,9 +3,9 @@
 One hash of each shingle is enough: its upper half names one of BINS bins, and a bin keeps its least hash. A bin that stays
 empty takes over that of another one, which is drawn by bin and attempt only until a full one is met, so two sets draw alike and
 bins agree with the chance of their Jaccard similarity, for small sets too. Bands of ROWS bins are bucket keys. A bucket is not
-turned into pairs: it gives a star of edges from one hub, and after the stars' components are known, another from a
-further hub (`jaccard_join.links`), so that pairs are in proportion to members; the pairs that are left between components
-of one bucket come last. Edges are confirmed on whole shingle sets. Two sets at the limit of 0.85 meet in no band with a
+turned into pairs: it gives a star of edges from one hub, the same one in all buckets of a group of copies, so that pairs are
+in proportion to members (`jaccard_join.links`). What the stars have not joined comes last: pairs of one bucket in different
+stars, without those that parity bitmaps rule out. Edges are confirmed on whole shingle sets. Two sets at the limit of 0.85 meet in no band with a
 chance of about 2 in 10 million (26 bands of 5 rows).
 """
 
@@ -111,7 +111,8 @@ def _components(rows: DataFrame, signed: DataFrame, n: int, percent: int) -> Dat
     classes = written(members.groupBy("cid").agg(F.first("shingles").alias("shingles")).withColumn("n", F.size("shingles")))
     named = written(members.select("key", "cid").distinct())
     buckets = met.join(named, "key").select(F.col("band").alias("key"), "cid").distinct().join(classes.select("cid", "n"), "cid")
-    found = links(classes, percent, lists=written(buckets.select("key", "cid", "n", F.lit(True).alias("heavy"))))
+    lists = written(buckets.select("key", "cid", "n", F.lit(True).alias("heavy")))
+    found = links(classes, percent, hub_rounds=1, lists=lists)
     ids = salted_join(signed.select("doc_id", "key"), named, ["key"], "doc_id", "left")
     ids = written(ids.select("doc_id", F.coalesce("cid", "key").alias("cid")).distinct())  # a text without candidates by itself
     twin = ids.groupBy("doc_id").agg(F.min("cid").alias("a"), F.count("*").alias("times")).where("times > 1")
