@@ -430,6 +430,20 @@ def _joined(rows: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     return counts.select("doc_id", "n_shingles"), lasting(named)
 
 
+def oracle_sql(n: int, percent: int, kept: bool = False) -> str:
+    """DuckDB SQL over documents with an id each: shared shingles of all pairs that have one, and what links reach."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have FROM s a JOIN s b ON a.g = b.g AND a.doc_id > b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_have >= {percent} * (x.n + y.n - both_have)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.c),
+c AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id{", doc_id = component_id AS kept" if kept else ""} FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+
 def one_each(docs: DataFrame, text: str = "text", **how) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component, with all their columns; of rows that repeat an id one,
     that with the least text by hash. Rows without an id stay. Only rows whose id goes or is repeated are shuffled, and few

@@ -109,4 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_near_dedup": op13_near_dedup,
 }
 
-SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE_SQL}
+SQL: dict[str, str] = {
+    "op3_mixing": mixing.ORACLE_SQL,
+    "op8_jaccard_join": jaccard_join.oracle_sql(jaccard_join.WORDS, jaccard_join.PERCENT),
+    "op13_near_dedup": jaccard_join.oracle_sql(near_dedup.WORDS, near_dedup.PERCENT, kept=True),
+}

@@ -45,6 +45,11 @@ def test_jaccard_join_equals_all_pairs(docs):
     assert joined(docs) == linked([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
+@pytest.mark.parametrize("name", ["op8_jaccard_join", "op13_near_dedup"])
+def test_components_equal_sql(spark, sf, name):
+    same(QUERIES[name](spark, sf), connect(sf), SQL[name])
+
+
 def test_jaccard_join_of_odd_rows(odd, none):
     assert joined(odd) == linked([(r["doc_id"], r["text"]) for r in odd.collect()])
     assert jaccard_join.join(none).count() == 0
