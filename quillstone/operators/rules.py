@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bigrams, normalized, rule_id, strip
+from ..sources.shared import shared_folder, written
 
 #: Characters of content that take part in retrieval.
 CONTENT_CHARS = 8000
@@ -148,6 +149,7 @@ def top_rules(queries: DataFrame, postings: DataFrame, key: str, text: Column, k
     follow that. The rule corpus is the small side: its postings are counted, and broadcast up to BROADCAST_POSTINGS."""
     dealt = queries.select(key, text.alias("__text")).repartition(key)
     terms = term_counts(dealt, key, F.col("__text"))
+    postings = written(postings, shared_folder(postings.sparkSession))  # built once for the count and the join
     few = postings.limit(BROADCAST_POSTINGS + 1).count() <= BROADCAST_POSTINGS
     part = F.least(terms["tf"], postings["tf"]) * F.col("idf")
     scored = terms.join(F.broadcast(postings) if few else postings, "term").groupBy(key, rule, ordinal).agg(F.sum(part).alias("score"))

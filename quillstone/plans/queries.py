@@ -854,13 +854,11 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT s_suppkey::VARCHAR AS model_id, s_name AS model_name, s_nationkey AS model_epochs FROM supplier")
 def registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The registry as one JSON object keyed by model."""
+    """A registry as JSON objects keyed by model, one of them on each line of files that ordinary rows have written."""
     from pyspark.sql import types as T
 
     folder = shared_folder(spark)
-    value = F.to_json(F.struct(c("s_name").alias("model_name"), c("s_nationkey").alias("model_epochs")))
-    entry = F.concat(F.to_json(F.struct(c("s_suppkey").cast("string").alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(c("s_suppkey").cast("string").alias("k")))) - 6), F.lit(":"), value)
-    whole = table(spark, sf_dir, "supplier").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ","), F.lit("}")).alias("value"))  # a registry is small
-    whole.coalesce(1).write.text(folder)
+    value = F.struct(c("s_name").alias("model_name"), c("s_nationkey").alias("model_epochs"))
+    table(spark, sf_dir, "supplier").select(F.to_json(F.create_map(c("s_suppkey").cast("string"), value))).write.text(folder)
     kind = T.StructType([T.StructField("model_name", T.StringType()), T.StructField("model_epochs", T.IntegerType())])
-    return jsonl.keyed_object(spark, folder, kind)
+    return jsonl.keyed_object(spark, folder, kind, lines=True)

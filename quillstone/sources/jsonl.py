@@ -133,9 +133,10 @@ def count_lines(spark: SparkSession, path: str) -> int:
         return 0
 
 
-def keyed_object(spark: SparkSession, path: str, value: T.StructType, key: str = "model_id") -> DataFrame:
-    """A file with one JSON object of objects as rows: key and the value's fields."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", T.MapType(T.StringType(), value)).alias("m"))
+def keyed_object(spark: SparkSession, path: str, value: T.StructType, key: str = "model_id", lines: bool = False) -> DataFrame:
+    """A JSON object of objects as rows: key and the value's fields. lines: each line of the files is such an object; else each
+    file is one and is read whole, which is for registries that fit in a task."""
+    whole = spark.read.text(path, wholetext=not lines).select(F.from_json("value", T.MapType(T.StringType(), value)).alias("m"))
     return whole.select(F.explode("m").alias(key, "v")).select(key, *[F.col(f"v.{f.name}") for f in value.fields if f.name != key])
 
 

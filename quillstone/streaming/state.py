@@ -72,9 +72,9 @@ def conversations(turns: DataFrame, conversation: str = "conv_id", keep: int = 1
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         rows = list(zip(*held.get, strict=True)) if held.exists else []
-        for b in batches:
+        for b in batches:  # no more than `keep` rows are held beside those of one piece
             rows += list(zip(b["turn"].tolist(), b["user"].tolist(), b["assistant"].tolist(), strict=True))
-        rows = sorted(dict((r[0], r) for r in rows).values())[-keep:]
+            rows = sorted(dict((r[0], r) for r in rows).values())[-keep:]
         held.update(tuple(list(x) for x in zip(*rows, strict=True)))
         yield pd.DataFrame({conversation: [key[0]], "history": [[{"turn": t, "user": u, "assistant": a} for t, u, a in rows]]})
 

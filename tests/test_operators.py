@@ -418,3 +418,16 @@ def test_chat_equals_a_plain_loop(spark):
     assert chat.chat(df.limit(0), predict).count() == 0
     said = df.limit(1).select(chat.asked(F.lit("do"), F.lit("")), chat.asked(F.lit("do"), F.lit("this"))).first()
     assert tuple(said) == ("do", "do\n\nthis")
+
+
+def test_registry_files(spark, tmp_path):
+    """A file that is one object over many lines, and files with an object on each line."""
+    from pyspark.sql import types as T
+
+    kind = T.StructType([T.StructField("model_name", T.StringType()), T.StructField("model_epochs", T.IntegerType())])
+    held = {"m1": {"model_name": "a", "model_epochs": 3}, "m2": {"model_name": "b"}}
+    (tmp_path / "whole.json").write_text(json.dumps(held, indent=2))
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps({k: v}) for k, v in held.items()))
+    for name, lines in (("whole.json", False), ("lines.json", True)):
+        got = jsonl.keyed_object(spark, str(tmp_path / name), kind, lines=lines)
+        assert sorted(tuple(r) for r in got.collect()) == [("m1", "a", 3), ("m2", "b", None)]
