@@ -172,6 +172,32 @@ def sample_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gated(spark, sf_dir).groupBy(F.coalesce("reject_reason", F.lit("valid")).alias("reject_reason")).agg(F.count("*").alias("n"))
 
 
+@query(f"""SELECT reject_reason, count(*) AS n FROM (SELECT CASE WHEN label IS NULL THEN 'label is not valid' WHEN basis = '' THEN 'no basis'
+WHEN doc_id % 4 = 3 AND (doc_id % 3 = 0 OR doc_id % 5 = 0) THEN 'attachments without content' WHEN doc_id % 4 = 3 AND title = '无题名' THEN 'neither content nor title and date' ELSE 'valid' END AS reject_reason FROM {RECORDS}) GROUP BY 1""")
+def sample_gates_without_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the records have no content: attachments, title and date decide."""
+    rows = _projected(spark, sf_dir).withColumn("text", F.when(c("doc_id") % 4 == 3, "").otherwise(c("text")))
+    gated = prepare.samples(rows, "hk", "依据标准")
+    return gated.groupBy(F.coalesce("reject_reason", F.lit("valid")).alias("reject_reason")).agg(F.count("*").alias("n"))
+
+
+FIELD = "CASE WHEN doc_id % 4 = 0 AND doc_id % {n} = 0 THEN '' ELSE '{name} ' || source || doc_id END AS {name}"
+
+
+@query(f"SELECT doc_id, {', '.join(FIELD.format(name=k, n=len(v)) for k, v in prepare.RETRIEVAL_KEYS.items())} FROM documents")
+def retrieval_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field under each of its names in turn; for a quarter of the records the first name holds a text for null."""
+    entries = []
+    for field, keys in prepare.RETRIEVAL_KEYS.items():
+        said = F.concat(F.lit(f"{field} "), c("source"), c("doc_id").cast("string"))
+        for k, key in enumerate(keys):
+            own = F.when(c("doc_id") % len(keys) == k, said)
+            entries += [F.lit(key), F.when(c("doc_id") % 4 == 0, F.lit(" Null ")).otherwise(own) if k == 0 else own]
+    data = F.array(F.struct(F.create_map(*entries).alias("record"), F.array().cast("array<string>").alias("files")))
+    rows = prepare.records(table(spark, sf_dir, "documents").select("doc_id", data.alias("data")), "doc_id")
+    return prepare.projected(rows, "hk").select("doc_id", *prepare.RETRIEVAL_KEYS)
+
+
 ANSWER = "`审核结果` string, `审核依据` string, `置信度` double, `思考过程` string"
 
 
