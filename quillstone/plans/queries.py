@@ -606,19 +606,22 @@ def keyword_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN '永久' WHEN 2 THEN '10年' ELSE '30年' END AS result,
-'依据档案保管规范，' || CASE doc_id % 4 WHEN 0 THEN '一般' WHEN 1 THEN '重大规划文件' WHEN 2 THEN '根据档案标题和内容特征，综合判定为【10年】' ELSE '根据档案标题和内容特征，综合判定为【30年】' END AS basis,
-CASE doc_id % 4 WHEN 0 THEN 9.0 WHEN 1 THEN 7.3 WHEN 2 THEN 8.5 ELSE 7.0 END::DOUBLE AS confidence,
-CASE doc_id % 4 WHEN 0 THEN '一般行政管理文件' WHEN 1 THEN '具有历史意义的文件' ELSE '已对档案标题及基本信息完成合规性要素审查。' END AS thinking FROM documents""")
+'依据档案保管规范，' || CASE doc_id % 4 WHEN 0 THEN '一般文件第' || length(text) || '条' WHEN 1 THEN '重大规划文件第' || length(text) || '条' WHEN 2 THEN '根据档案标题和内容特征，综合判定为【10年】' ELSE '根据档案标题和内容特征，综合判定为【30年】' END AS basis,
+CASE doc_id % 4 WHEN 0 THEN greatest(6.0, round_even(length(text) % 90 / 10.0 + 1, 1)) WHEN 1 THEN 7.3 WHEN 2 THEN 8.5 ELSE 7.0 END::DOUBLE AS confidence,
+CASE doc_id % 4 WHEN 0 THEN '一般行政管理文件共' || length(text) || '字' WHEN 1 THEN '具有历史意义的文件共' || length(text) || '字' ELSE '已对档案标题及基本信息完成合规性要素审查。' END AS thinking FROM documents""")
 def parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers in several shapes through the parse cascade and post-processing."""
+    """Answers in several shapes, which name the text's length, through the parse cascade and post-processing."""
     p = L.profile("jd")
+    n = F.length("text").cast("string")
+    sure = F.round(F.length("text") % 90 / 10 + 1, 1).cast("string")
+    said = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
     shapes = [
-        '<think>一般行政工作</think>```json\n{"审核结果":"30年","审核依据":"依据档案保管规范，一般","置信度":9,"思考过程":"一般行政管理文件"}\n```',
-        "{'审核结果':'永久','审核依据':'重大规划文件','置信度':7.26,'思考过程':'具有历史意义的文件'}",
-        "审核结果：10年\n审核依据：日常事务文件，无长期价值\n置信度：8.5",
-        "nothing to parse",
+        said('<think>一般行政工作</think>```json\n{"审核结果":"30年","审核依据":"依据档案保管规范，一般文件第', n, '条","置信度":', sure, ',"思考过程":"一般行政管理文件共', n, '字"}\n```'),
+        said("{'审核结果':'永久','审核依据':'重大规划文件第", n, "条','置信度':7.26,'思考过程':'具有历史意义的文件共", n, "字'}"),
+        said("审核结果：10年\n审核依据：日常事务文件，无长期价值\n置信度：8.5"),
+        said("nothing to parse ", n),
     ]
-    answer = F.element_at(F.array(*[F.lit(x) for x in shapes]), (c("doc_id") % 4 + 1).cast("int"))
+    answer = F.element_at(F.array(*shapes), (c("doc_id") % 4 + 1).cast("int"))
     docs = table(spark, sf_dir, "documents").select("doc_id", answer.alias("answer"))
     thinking = review.sanitized(review.reasoning(c("answer")))
     docs = docs.withColumn("thinking", thinking).withColumn("body", review.cleaned_answer(review.split_thinking(c("answer"))[1]))
@@ -837,13 +840,16 @@ def conversation_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _clerk(text: Column) -> Column:
     """A predictor that answers first questions in words, and second ones by the year in the first."""
     year = F.regexp_extract(text, r"档案形成日期：(\d{4})", 1).cast("int")
-    verdict = F.to_json(F.struct(F.when(2026 - year >= 30, L.OPEN).otherwise(L.CONTROL).alias("审核结果"), F.concat(F.lit("形成于"), year.cast("string")).alias("审核依据"), F.lit("8.5").alias("置信度")))
-    return F.when(text.contains("请完成鉴定"), F.concat(F.lit("结果：\n"), verdict, F.lit("\n完"))).otherwise("将参考保管期限规定")
+    title = F.regexp_extract(text, r"档案题名：(.*)", 1)
+    verdict = F.to_json(F.struct(F.when(2026 - year >= 30, L.OPEN).otherwise(L.CONTROL).alias("审核结果"), F.concat(title, F.lit("形成于"), year.cast("string")).alias("审核依据"), F.lit("8.5").alias("置信度")))
+    told = F.when(year % 5 == 0, "没有结论").when(year % 2 == 0, verdict).otherwise(F.concat(F.lit("结果：\n"), verdict, F.lit("\n完")))
+    return F.when(text.contains("请完成鉴定"), told).otherwise(F.concat(F.lit("将参考保管期限规定："), title))
 
 
-@query("""SELECT o_orderkey, CASE WHEN 2026 - year(o_orderdate) >= 30 THEN '开放' ELSE '控制' END AS result, '形成于' || year(o_orderdate) AS basis, '8.5' AS confidence FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN none THEN NULL WHEN 2026 - y >= 30 THEN '开放' ELSE '控制' END AS result, CASE WHEN NOT none THEN o_orderstatus || ' ' || o_orderkey || '形成于' || y END AS basis, CASE WHEN NOT none THEN '8.5' END AS confidence
+FROM (SELECT *, year(o_orderdate) AS y, year(o_orderdate) % 5 = 0 AS none FROM orders)""")
 def two_turn_appraisal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("t").alias("title"), F.date_format("o_orderdate", "yyyyMMdd").alias("date_time"), F.lit("20260101").alias("date_now"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(" ", "o_orderstatus", c("o_orderkey").cast("string")).alias("title"), F.date_format("o_orderdate", "yyyyMMdd").alias("date_time"), F.lit("20260101").alias("date_now"))
     v = c("verdict")
     return appraisal.appraised(rows, _clerk).select("o_orderkey", v["审核结果"].alias("result"), v["审核依据"].alias("basis"), v["置信度"].alias("confidence"))
 
