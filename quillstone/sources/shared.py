@@ -20,3 +20,26 @@ def written(df: DataFrame, path: str) -> DataFrame:
     """The rows as a table: computed once, without the plan that they came from, and there for any executor."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def replaced(df: DataFrame, path: str) -> DataFrame:
+    """Puts the rows in place of the table at a path, which the rows may have been read from: they are written beside it and, only
+    when they stand whole, take its name. A write that fails leaves the table as it was; should the last renaming fail, it
+    gets its name back."""
+    spark = df.sparkSession
+    new, old = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}") for kind in ("new", "old"))
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        df.write.parquet(new.toString())
+        held = store.exists(own)
+        if held and not store.rename(own, old):
+            raise OSError(f"{path} cannot be renamed")
+        if not store.rename(new, own):
+            if held:
+                store.rename(old, own)
+            raise OSError(f"{path} cannot be replaced")
+        store.delete(old, True)
+    finally:
+        store.delete(new, True)
+    return spark.read.schema(df.schema).parquet(path)

@@ -431,3 +431,20 @@ def test_registry_files(spark, tmp_path):
     for name, lines in (("whole.json", False), ("lines.json", True)):
         got = jsonl.keyed_object(spark, str(tmp_path / name), kind, lines=lines)
         assert sorted(tuple(r) for r in got.collect()) == [("m1", "a", 3), ("m2", "b", None)]
+
+
+def test_registry_is_replaced_by_what_is_read_from_it(spark, tmp_path):
+    from quillstone.sources.shared import replaced
+
+    path = str(tmp_path / "registry")
+    first = spark.createDataFrame([("a", 1), ("b", 2)], "model_id string, epochs int")
+    assert sorted(tuple(r) for r in replaced(first, path).collect()) == [("a", 1), ("b", 2)]
+    held = spark.read.parquet(path)
+    new = spark.createDataFrame([("b", 9), ("c", 3)], "model_id string, epochs int")
+    assert sorted(tuple(r) for r in replaced(state.upserted(held, new), path).collect()) == [("a", 1), ("b", 9), ("c", 3)]
+    bad = spark.read.parquet(path).withColumn("epochs", F.raise_error(F.lit("broken")).cast("int"))
+    with pytest.raises(Exception, match="broken"):
+        replaced(bad, path)
+    gone = state.deleted(spark.read.parquet(path), new)
+    assert [tuple(r) for r in replaced(gone, path).collect()] == [("a", 1)]
+    assert {x.name for x in tmp_path.iterdir()} == {"registry"}
