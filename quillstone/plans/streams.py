@@ -26,9 +26,12 @@ def streamed(spark: SparkSession, sf_dir: str, name: str, plan: Callable[[DataFr
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
-@query("""WITH e AS (SELECT event_id, ts, user_id, 't' || (json_extract_string(props, '$.k')::BIGINT % 5) AS task, CASE WHEN event_type IN ('purchase', 'error') THEN 'end' ELSE 'arrive' END AS kind FROM events),
+OUTCOMES = """WITH e AS (SELECT event_id, ts, user_id, 't' || (json_extract_string(props, '$.k')::BIGINT % 5) AS task, CASE WHEN event_type IN ('purchase', 'error') THEN 'end' ELSE 'arrive' END AS kind FROM events),
 p AS (SELECT *, coalesce(lag(kind) OVER (PARTITION BY user_id, task ORDER BY ts, event_id), 'end') AS before FROM e),
-o AS (SELECT *, CASE WHEN kind = 'arrive' AND before = 'arrive' THEN 'duplicate' WHEN kind = 'arrive' THEN 'queued' WHEN before = 'arrive' THEN 'done' ELSE 'unknown' END AS outcome FROM p),
+o AS (SELECT *, CASE WHEN kind = 'arrive' AND before = 'arrive' THEN 'duplicate' WHEN kind = 'arrive' THEN 'queued' WHEN before = 'arrive' THEN 'done' ELSE 'unknown' END AS outcome FROM p)"""
+
+
+@query(f"""{OUTCOMES},
 w AS (SELECT *, sum(CASE outcome WHEN 'queued' THEN 1 WHEN 'done' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS waiting FROM o)
 SELECT user_id AS queue, event_id AS seq, task, outcome, CASE WHEN outcome = 'queued' THEN waiting END AS position, waiting FROM w""")
 def task_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +41,14 @@ def task_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamed(spark, sf_dir, "events", lambda e: queue.queued(e.withColumns({"task": task, "kind": kind}), "user_id", "task", "kind", "ts", "event_id"))
 
 
+@query(f"""{OUTCOMES},
+l AS (SELECT user_id, task, arg_max(outcome, event_id) AS last, max(event_id) FILTER (outcome = 'queued') AS seq FROM o GROUP BY 1, 2)
+SELECT user_id AS queue, task, seq, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS position FROM l WHERE last IN ('queued', 'duplicate')""")
+def queue_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who waits in each queue at the end, and at which position."""
+    return queue.standing(task_queue(spark, sf_dir))
+
+
 @query(f"""WITH e AS (SELECT user_id, epoch_us(ts) AS us FROM events),
 f AS (SELECT *, CASE WHEN us // 1000 <= lag(us) OVER (PARTITION BY user_id ORDER BY us) // 1000 + {IDLE_MS} THEN 0 ELSE 1 END AS fresh FROM e),
 g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS island FROM f)

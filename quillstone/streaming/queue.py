@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.ranks import numbered
+
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ARRIVES, ENDS = "arrive", "end"
 QUEUED, DUPLICATE, DONE, UNKNOWN = "queued", "duplicate", "done", "unknown"
@@ -67,6 +69,14 @@ def queued(events: DataFrame, queue: str, task: str, kind: str, at: str, seq: st
     return given.where(F.col("kind").isin(ARRIVES, ENDS) & F.col("task").isNotNull()).groupBy("queue").transformWithStateInPandas(TaskQueue(), schema, "Append", "None")
 
 
+def standing(outcomes: DataFrame, **how) -> DataFrame:
+    """queue, task, seq (of its arrival) and position of the tasks that wait after all outcomes (rows of `queued`, whose seq rises
+    with time): those whose last event is no end. Positions close up as tasks before them end."""
+    last = outcomes.groupBy("queue", "task").agg(F.max_by("outcome", "seq").alias("last"), F.max(F.when(F.col("outcome") == QUEUED, F.col("seq"))).alias("seq"))
+    waiting = last.where(F.col("last").isin(QUEUED, DUPLICATE)).select("queue", "task", "seq")
+    return numbered(waiting, ["seq"], ["queue"], "position", **how)
+
+
 class IdleSessions(StatefulProcessor):
     """The open sessions of one key: (first, last, n), milliseconds and micros apart, each with a timer at its end."""
 
