@@ -79,7 +79,8 @@ def packed_shingles(batches: Iterator[pa.RecordBatch], n: int, buckets: int, per
         bucket, rest = bucket[first], rest[first]
         yield _packed(0, -1, chunk, b"", b"", ids, keys, sizes.tolist(), known.tolist())
         own, cuts = np.unique(bucket, return_index=True)
-        for b, begin, end in zip(own.tolist(), cuts, [*cuts[1:], len(bucket)], strict=True):
+        cuts = np.append(cuts, len(bucket))  # a chunk of texts without words has no bucket
+        for b, begin, end in zip(own.tolist(), cuts[:-1], cuts[1:], strict=True):
             planes = np.ascontiguousarray(rest[begin:end].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T)
             yield _packed(1, b, chunk, planes.tobytes(), np.ascontiguousarray(who[begin:end].astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), [], [], [], [])
         held, ids, keys, counts, total, count = [], [], [], [], 0, count + 1

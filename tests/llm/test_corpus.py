@@ -304,3 +304,9 @@ def test_bands_find_the_verified_links(docs):
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_copies(docs).collect()}
     want = {int(i): int(c) for i, _, c in linked([(r["doc_id"], r["text"]) for r in docs.collect()])}
     assert {i: got.get(i, i) for i in want} == want
+
+
+def test_chunks_of_texts_without_words(spark):
+    """A task whose texts have no words has a chunk without shingles."""
+    rows = spark.createDataFrame([(1, ""), (2, None), (3, " \n")], "doc_id long, text string").coalesce(1)
+    assert sorted(tuple(r) for r in jaccard_join.join(rows).collect()) == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
