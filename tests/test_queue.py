@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,45 @@ def test_null_keys_and_times_do_not_open_sessions(streamed):
     rows = [(None, START), ("a", None), ("a", START), ("b", START + timedelta(days=2))]
     got = streamed([rows], "user string, ts timestamp", lambda s: queue.idle_sessions(s, "user", "ts", 1000, "1 second"), "nulls")
     assert [(r["key"], r["n_events"]) for r in got] == [("a", 1)]
+
+
+class Held:
+    """A state variable or a handle that notes what it is asked for."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, [], 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    getListState = getMapState = getValueState  # noqa: N815
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+
+def test_a_group_of_keys_has_one_timer_however_many_sessions():
+    held = Held()
+    sessions = queue.IdleSessions(1000, "bigint")
+    sessions.init(held)
+    rows = pd.DataFrame({"key": [k for k in range(5) for _ in range(20)], "micros": [i * 10_000_000 + k for k in range(5) for i in range(20)]})
+    list(sessions.handleInputRows((0,), iter([rows]), None))
+    assert held.timers == [1000] and len(held.value[0]) == 100 and held.calls == 2
+
+
+def test_the_lines_of_a_group_are_read_and_written_once():
+    held = Held()
+    line = queue.TaskQueue("bigint")
+    line.init(held)
+    rows = pd.DataFrame({"queue": [1, 2] * 50, "task": [f"t{i}" for i in range(100)], "kind": [queue.ARRIVES] * 100, "at": range(100), "seq": range(100)})
+    (out,) = line.handleInputRows((0,), iter([rows.iloc[::-1]]), None)
+    assert held.calls == 2 and out["position"].tolist() == [1 + i // 2 for i in range(100)]
+    assert [queue for queue, _ in zip(*held.value, strict=True)] == [1] * 50 + [2] * 50
