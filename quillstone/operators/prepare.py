@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, MapType, StructType
 from ..functions.labels import open_label, period_label, risk_elements
 from ..functions.text import confidence, first_present, strip
 from ..functions.variants import holds, leaves, parsed
+from ..sources.shared import small_batches
 
 # Candidate keys of a record's fields, in order, and defaults.
 TITLE_KEYS = ["tm", "题名", "title", "archiveTitle"]
@@ -124,6 +125,7 @@ def _merged(spans: list[tuple[int, int]], gap: int = 30) -> list[tuple[int, int]
 def evidence_excerpt(content: Column, words: list[str], limit: int = 2200) -> Column:
     """A fold with a budget, so an Arrow function."""
     limit = max(500, limit)
+    small_batches()
 
     @F.pandas_udf("string")
     def excerpt(texts: pd.Series) -> pd.Series:
