@@ -62,7 +62,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...], most: int) -> DataFr
 def _narrowed(small: DataFrame, ends: DataFrame, own: list[str], buckets: int) -> DataFrame:
     """Of each source's range from low to high, the part in which the budget ends: low, high, n (rows), and before: the size
     of all keys below. A source whose budget takes nothing, as it has no size, goes."""
-    inside = salted_join(small, ends.drop("n"), own, "id", "inner").where("key BETWEEN low AND high")
+    inside = salted_join(small, ends.drop("n"), own, "id", "inner", few=True).where("key BETWEEN low AND high")
     bucket = F.when(F.col("high") > F.col("low"), F.least(F.lit(buckets - 1), F.floor((F.col("key") - F.col("low")) / (F.col("high") - F.col("low")) * buckets))).otherwise(0)
     parts = inside.groupBy(*own, "budget", "before", bucket.alias("bucket")).agg(F.sum("size").alias("size"), F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"))
     reached = F.col("before") + F.sum("size").over(Window.partitionBy(*own).orderBy("bucket"))  # at most `buckets` rows a source
@@ -92,7 +92,7 @@ def mix(docs: DataFrame, size: Column, weight: Column, weights: tuple[float, ...
     while not ends.where(F.col("n") > SORTED).where("low < high").isEmpty():
         ends = _narrowed(small, ends, own, buckets)
 
-    last = salted_join(small, ends, own, "id", "inner").where("key BETWEEN low AND high").groupBy(*own, "key", "id", "before", "budget").agg(F.sum("size").alias("size"))
+    last = salted_join(small, ends, own, "id", "inner", few=True).where("key BETWEEN low AND high").groupBy(*own, "key", "id", "before", "budget").agg(F.sum("size").alias("size"))
     up_to = F.col("before") + F.sum("size").over(Window.partitionBy(*own).orderBy("key", "id"))
     place = F.struct(F.abs(up_to - F.col("budget")).alias("off"), "key", "id")
     best = last.select(*own, place.alias("place")).groupBy(*own).agg(F.min("place").alias("best"))
@@ -102,7 +102,7 @@ def mix(docs: DataFrame, size: Column, weight: Column, weights: tuple[float, ...
 
     c = {x: F.col(f"__mix_{x}") for x in ("key", "id", "size", "source_size", "target", "epochs", "low", "end_key", "end_id")}
     chosen = (c["key"] < c["low"]) | (c["key"] < c["end_key"]) | ((c["key"] == c["end_key"]) & (c["id"] <= c["end_id"]))
-    out = salted_join(rows, written(plan), ["__mix_source", "__mix_no_source"], "__mix_id", "inner")  # of a few sources broadcast by Spark
+    out = salted_join(rows, written(plan), ["__mix_source", "__mix_no_source"], "__mix_id", "inner", few=True)  # of a few sources broadcast by Spark
     out = out.withColumns({f"{prefix}size": c["size"], f"{prefix}source_size": c["source_size"], f"{prefix}target": c["target"], f"{prefix}taken": c["size"] * (c["epochs"] + F.coalesce(chosen, F.lit(False)).cast("int"))})
     inner = [f"__mix_{x}" for x in (*own, "key", "id", "size", "source_size", "target", "epochs", "low", "end_key", "end_id")]
     return out.drop(*[x for x in inner if x not in (f"{prefix}{y}" for y in ("size", "source_size", "target"))])

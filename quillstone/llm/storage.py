@@ -81,12 +81,14 @@ def removed(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, how: str, salts: int = 16) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, how: str, salts: int = 16, few: bool = False) -> DataFrame:
     """Joins `right`, which has a key once at most, with a left side in which one key may have a third of the rows: these
-    are dealt over `salts` places by a hash of `spread`, and right's rows are repeated for each."""
+    are dealt over `salts` places by a hash of `spread`, and right's rows are repeated for each. The copies are alike and shuffle
+    to a few bytes each, so Spark, which goes by these bytes, would broadcast tables that the driver then holds many times as
+    large: they are merged, unless there are `few`, as of sources."""
     dealt = left.withColumn("__salt", F.pmod(F.xxhash64(F.lit("salt"), spread), F.lit(salts)).cast("int"))
     copies = right.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return dealt.join(copies, [*on, "__salt"], how).drop("__salt")
+    return dealt.join(copies if few else copies.hint("merge"), [*on, "__salt"], how).drop("__salt")
 
 
 def split_by(rows: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ import pytest
 from oracle import connect, same
 from pyspark.sql import functions as F
 
-from quillstone.llm import components, jaccard_join, line_rules, minhash, mixing
+from quillstone.llm import components, jaccard_join, line_rules, minhash, mixing, storage
 from quillstone.llm.queries import QUERIES, SQL
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -310,3 +310,12 @@ def test_chunks_of_texts_without_words(spark):
     """A task whose texts have no words has a chunk without shingles."""
     rows = spark.createDataFrame([(1, ""), (2, None), (3, " \n")], "doc_id long, text string").coalesce(1)
     assert sorted(tuple(r) for r in jaccard_join.join(rows).collect()) == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
+
+
+def test_copies_of_a_salted_table_are_not_broadcast(spark, capsys):
+    left, right = spark.range(1000).selectExpr("id % 7 AS k", "id"), spark.range(7).selectExpr("id AS k", "id * 2 AS v")
+    for few in (False, True):
+        out = storage.salted_join(left, right, ["k"], "id", "inner", few=few).select("id", "v")
+        assert sorted(map(tuple, out.collect())) == [(i, i % 7 * 2) for i in range(1000)]
+        out.explain()
+        assert ("BroadcastHashJoin" in capsys.readouterr().out) == few
