@@ -303,12 +303,12 @@ def pairs_between(members: DataFrame, classes: DataFrame, percent: int) -> DataF
     step = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) * 1.001)).cast("int")
     rows = members.join(named, "cid").join(classes.select("cid", parity_udf()("shingles").alias("bits")), "cid")
     rows = written(rows.select("key", "cid", "n", "heavy", "component", step.alias("step"), F.transform(before, lambda t: t["key"]).alias("before"), "bits.*"))
-    # sizes of linked sets are in the same or the next step
-    left = rows.withColumnsRenamed({c: f"x_{c}" for c in rows.columns if c not in ("key", "step")})
-    right = rows.withColumn("next", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("step", F.col("step") - F.col("next").cast("int"))
-    right = right.withColumnsRenamed({c: f"y_{c}" for c in rows.columns if c not in ("key", "step")})
+    # sizes of linked sets are in the same or the next step; both sides are the same rows, which are shuffled once for both
+    rows = rows.withColumn("next", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("step", F.col("step") - F.col("next").cast("int"))
+    left, right = (rows.withColumnsRenamed({c: f"{side}_{c}" for c in rows.columns if c not in ("key", "step")}) for side in "xy")
     differ = sum((F.bit_count(F.col(f"x_p{k}").bitwiseXOR(F.col(f"y_p{k}"))) for k in range(PARITY_WORDS)), F.lit(0))
-    pairs = left.join(right, ["key", "step"]).where("x_component <> y_component AND (x_heavy OR y_heavy) AND (next OR x_cid < y_cid)")
+    once = F.struct("x_next", "x_cid") < F.struct("y_next", "y_cid")
+    pairs = left.join(right, ["key", "step"]).where("x_component <> y_component AND NOT (x_next AND y_next) AND (x_heavy OR y_heavy)").where(once)
     pairs = pairs.where(differ * (100 + percent) <= (F.col("x_n") + F.col("y_n")) * (100 - percent)).where(~F.arrays_overlap("x_before", "y_before"))
     return pairs.select(F.col("x_cid").alias("x"), F.col("x_n").alias("nx"), F.col("y_cid").alias("y"), F.col("y_n").alias("ny"))
 
@@ -332,23 +332,24 @@ def boundary(prefixes: DataFrame, percent: int) -> int:
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
     """Lists of sets that may be linked: key, cid, n, heavy. classes: cid, n, shingles in one order for all sets, prefix (by
     default the first shingles). Every linked pair of classes shares a list."""
-    need = required(F.col("n"), percent)
-    prefix = F.col("prefix") if "prefix" in classes.columns else F.slice("shingles", 1, F.least(F.col("n"), F.col("n") - need + 2).cast("int"))
-    each = classes.select("cid", "n", F.posexplode(prefix).alias("place", "shingle"))
-    df = written(each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"))
-    shared = each.join(df, "shingle")  # a set has a shingle once, so no key has more than a set's share of the rows
-    ordered = shared.groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("place", "shingle", "df"))).alias("s"))  # one set's prefix
-    first = F.size(F.filter("s", lambda x: x["place"] <= F.col("n") - need))
-    sized = ordered.withColumn("q1", first).withColumn("q2", F.size("s")).withColumn("need", need)
-    sized = written(sized.withColumn("scan", F.col("q1") * SCANS))
-    light = boundary(sized, percent)
-    lists = sized.where(F.col("n") * 100 >= F.lit(light * percent) if light else F.lit(True))
-    lists = lists.select(F.explode(F.slice("s", 1, F.col("q1"))).alias("t"), "cid", "n", (F.col("n") > light).alias("heavy")).select(F.xxhash64(F.lit("list"), "t.shingle").alias("key"), "cid", "n", "heavy")
-    small = sized.where((F.col("n") <= light) & (F.col("need") >= 2)).select("cid", "n", F.slice("s", 1, F.col("q2")).alias("p"))
-    subsets = small.select("cid", "n", F.posexplode("p").alias("i", "x"), "p").select("cid", "n", "x", F.explode(F.slice("p", F.col("i") + 2, F.size("p"))).alias("y"))
-    subsets = subsets.select(F.xxhash64(F.lit("pair"), F.least("x.shingle", "y.shingle"), F.greatest("x.shingle", "y.shingle")).alias("key"), "cid", "n", F.lit(True).alias("heavy"))
-    ones = sized.where((F.col("n") <= light) & (F.col("need") < 2)).select(F.explode(F.slice("s", 1, F.col("q1"))).alias("t"), "cid", "n").select(F.xxhash64(F.lit("one"), "t.shingle").alias("key"), "cid", "n", F.lit(True).alias("heavy"))
-    return written(lists.union(subsets).union(ones))
+    with temporary(classes.sparkSession):
+        need = required(F.col("n"), percent)
+        prefix = F.col("prefix") if "prefix" in classes.columns else F.slice("shingles", 1, F.least(F.col("n"), F.col("n") - need + 2).cast("int"))
+        each = classes.select("cid", "n", F.posexplode(prefix).alias("place", "shingle"))
+        df = written(each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"))
+        shared = each.join(df, "shingle")  # a set has a shingle once, so no key has more than a set's share of the rows
+        ordered = shared.groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("place", "shingle", "df"))).alias("s"))  # one set's prefix
+        first = F.size(F.filter("s", lambda x: x["place"] <= F.col("n") - need))
+        sized = ordered.withColumn("q1", first).withColumn("q2", F.size("s")).withColumn("need", need)
+        sized = written(sized.withColumn("scan", F.col("q1") * SCANS))
+        light = boundary(sized, percent)
+        lists = sized.where(F.col("n") * 100 >= F.lit(light * percent) if light else F.lit(True))
+        lists = lists.select(F.explode(F.slice("s", 1, F.col("q1"))).alias("t"), "cid", "n", (F.col("n") > light).alias("heavy")).select(F.xxhash64(F.lit("list"), "t.shingle").alias("key"), "cid", "n", "heavy")
+        small = sized.where((F.col("n") <= light) & (F.col("need") >= 2)).select("cid", "n", F.slice("s", 1, F.col("q2")).alias("p"))
+        subsets = small.select("cid", "n", F.posexplode("p").alias("i", "x"), "p").select("cid", "n", "x", F.explode(F.slice("p", F.col("i") + 2, F.size("p"))).alias("y"))
+        subsets = subsets.select(F.xxhash64(F.lit("pair"), F.least("x.shingle", "y.shingle"), F.greatest("x.shingle", "y.shingle")).alias("key"), "cid", "n", F.lit(True).alias("heavy"))
+        ones = sized.where((F.col("n") <= light) & (F.col("need") < 2)).select(F.explode(F.slice("s", 1, F.col("q1"))).alias("t"), "cid", "n").select(F.xxhash64(F.lit("one"), "t.shingle").alias("key"), "cid", "n", F.lit(True).alias("heavy"))
+        return lasting(lists.union(subsets).union(ones))
 
 
 def links(classes: DataFrame, percent: int = PERCENT, hub_rounds: int = HUB_ROUNDS, lists: DataFrame | None = None) -> DataFrame:
@@ -359,39 +360,52 @@ def links(classes: DataFrame, percent: int = PERCENT, hub_rounds: int = HUB_ROUN
     tested = edges = None
     members = lists.withColumn("component", F.col("cid"))
     for turn in range(hub_rounds + 1):
-        # lists with several components and a heavy set (all lists of subsets count as such)
-        mixed = members.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max("heavy").alias("any"), F.count("*").alias("size"))
-        mixed = written(mixed.where("least <> most AND any").select("key", "least", "size"))
-        if mixed.isEmpty():
-            break
-        open_ = members.join(mixed, "key")  # both sides are tables, so Spark can split a long list
-        if turn < hub_rounds:  # at first one hub for all lists of a group, then another member of its component in each list
-            draw = F.xxhash64(F.lit(turn), "cid") if turn == 0 else F.xxhash64(F.lit(turn), "cid", "key")
-            priority = F.struct(draw.alias("h"), "cid", "n", "heavy", "component")
-            within = open_ if turn == 0 else open_.where("component = least")
-            hubs = written(within.groupBy("key").agg(F.min(priority).alias("hub")))
-            pairs = open_.drop("least").join(hubs, "key")
-            pairs = pairs.where(F.col("component") != F.col("hub.component")).where(F.col("heavy") | F.col("hub.heavy")).select(F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("hub.cid").alias("y"), F.col("hub.n").alias("ny"))
-        else:
-            pairs = pairs_between(open_, classes, percent)
-        close = (F.least("nx", "ny") * 100) >= F.greatest("nx", "ny") * percent
-        pairs = pairs.where(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        sets = classes.select("cid", "shingles")
-        both = pairs.join(sets.withColumnsRenamed({"cid": "a", "shingles": "sa"}), "a")
-        both = both.join(sets.withColumnsRenamed({"cid": "b", "shingles": "sb"}), "b")
-        found = written(both.where(linked("sa", "sb")).select("a", "b"))
-        tested = pairs if tested is None else written(tested.union(pairs))
-        edges = found if edges is None else written(edges.union(found))
+        with temporary(classes.sparkSession):  # what shuffles hold goes before links are verified
+            pairs = _pairs(members, classes, percent, turn, turn < hub_rounds)
+            if pairs is None:
+                break
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = lasting(pairs)
+        with temporary(classes.sparkSession):
+            ends = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
+            sets, _ = split_by(classes.select("cid", "shingles"), ends, ["cid"])
+            both = pairs.join(sets.withColumnsRenamed({"cid": "a", "shingles": "sa"}), "a")
+            both = both.join(sets.withColumnsRenamed({"cid": "b", "shingles": "sb"}), "b")
+            found = lasting(both.where(linked("sa", "sb")).select("a", "b"))
+        tested = pairs if tested is None else tested.union(pairs)
+        edges = found if edges is None else edges.union(found)
         if turn < hub_rounds:
-            groups = connected(edges)
-            members = lists.join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-            members = written(members)
+            with temporary(classes.sparkSession):
+                groups = connected(edges)
+                members = lists.join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+                members = lasting(members)
     return edges if edges is not None else classes.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
 
 
+def _pairs(members: DataFrame, classes: DataFrame, percent: int, turn: int, hubs: bool) -> DataFrame | None:
+    """Distinct pairs (a, b) of different components and near sizes that a list has with its hub, or if no hubs are asked for
+    all such pairs. None if no list has several components. members: key, cid, n, heavy, component."""
+    least = F.min("component")
+    if hubs:  # at first one hub for all lists of a group, then another member of its component in each list
+        draw = [] if turn == 0 else [F.xxhash64(F.lit(turn), "cid", "key").alias("h")]
+        least = F.min(F.struct("component", *draw, "cid", "n", "heavy"))
+    # lists with several components and a heavy set (all lists of subsets count as such), but not two sets of far sizes
+    mixed = members.groupBy("key").agg(least.alias("least"), F.max("component").alias("most"), F.max("heavy").alias("any"), F.count("*").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"))
+    mixed = mixed.where(F.col("least.component" if hubs else "least") != F.col("most")).where("any").where((F.col("size") > 2) | (F.col("low") * 100 >= F.col("high") * percent))
+    mixed = written(mixed.select("key", F.col("least").alias("hub") if hubs else "size"))
+    if mixed.isEmpty():
+        return None
+    open_ = members.join(mixed, "key")  # both sides are tables, so Spark can split a long list
+    if hubs:
+        pairs = open_.where(F.col("component") != F.col("hub.component")).where(F.col("heavy") | F.col("hub.heavy"))
+        pairs = pairs.select(F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("hub.cid").alias("y"), F.col("hub.n").alias("ny"))
+    else:
+        pairs = pairs_between(open_, classes, percent)
+    close = (F.least("nx", "ny") * 100) >= F.greatest("nx", "ny") * percent
+    return pairs.where(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach, itself included) for each row of docs.
 

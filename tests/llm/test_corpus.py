@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import os
 import re
 
 import numpy as np
@@ -319,3 +320,39 @@ def test_copies_of_a_salted_table_are_not_broadcast(spark, capsys):
         assert sorted(map(tuple, out.collect())) == [(i, i % 7 * 2) for i in range(1000)]
         out.explain()
         assert ("BroadcastHashJoin" in capsys.readouterr().out) == few
+
+
+def class_sets(spark, n=60, size=40, shift=12):
+    """Sets that overlap with their neighbours only."""
+    rows = [(k, size, list(range(k * shift, k * shift + size))) for k in range(n)]
+    return spark.createDataFrame(rows, "cid long, n int, shingles array<long>")
+
+
+def test_pairs_between_components_shuffle_their_rows_once(spark, capsys):
+    classes = class_sets(spark, size=40, shift=5)
+    lists = classes.select(F.explode("shingles").alias("key"), "cid", "n", F.lit(True).alias("heavy"), F.col("cid").alias("component"))
+    members = storage.written(lists.join(lists.groupBy("key").agg(F.count("*").alias("size")), "key"))
+    pairs = jaccard_join.pairs_between(members, classes, 60).select("x", "y").distinct()
+    found = {(min(p), max(p)) for p in map(tuple, pairs.collect())}
+    near = {(a, a + d) for d in (1, 2) for a in range(60 - d)}  # 35 / 45 and 30 / 50 shared
+    assert near <= found
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    held = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        merged = jaccard_join.pairs_between(members, classes, 60)
+        assert len(merged.collect()) >= len(near)
+        merged.explain()
+    finally:
+        spark.conf.set(limit, held)
+    assert "ReusedExchange" in capsys.readouterr().out
+
+
+def test_only_lists_stay_of_the_tables_of_candidates(spark):
+    folder = storage.shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    with storage.temporary(spark):
+        classes = class_sets(spark)
+        assert jaccard_join.candidates(classes, 60).count() > 0
+        assert len(set(os.listdir(folder)) - before) == 1
+    assert set(os.listdir(folder)) == before
