@@ -23,7 +23,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import Memo, parts, slices, strings
+from .text import Memo, parts, rested, slices, strings
 
 NONE = np.int64(1 << 62)
 #: Bytes of a generation of a worker's memos, of words and of pieces, and cells of the trees that are merged together.
@@ -255,7 +255,9 @@ def digest_udf(path: str):
         for texts in batches:
             rows = [(n, sha(ids), sha(dec)) for some in parts(texts) for held in [strings(some)] for s in slices(held) for n, ids, dec in bpe.encode_batch(held[s])]
             yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], pa.string() if i else pa.int64()) for i in range(3)], names=names)
-        bpe.forget()  # a worker may go on with tasks of other kinds
+        bpe = None  # a worker may go on with tasks of other kinds, and reads the vocabulary again in a fraction of a second
+        load.cache_clear()
+        rested()
 
     return digest
 

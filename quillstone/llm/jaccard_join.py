@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import connected
 from .storage import lasting, salted_join, split_by, temporary, written
-from .text import distinct_grams, encoded, parts, slices
+from .text import distinct_grams, encoded, parts, rested, resting, slices
 
 WORDS, PERCENT = 5, 75
 #: Shingles of the texts that a task holds at once; mean packed entries of a bucket; rounds with hubs.
@@ -102,6 +102,7 @@ def packed_shingles(batches: Iterator[pa.RecordBatch], n: int, buckets: int, per
                 yield from flush()
     if ids:
         yield from flush()
+    rested()
 
 
 def half(n, percent: int):
@@ -187,7 +188,9 @@ def shingle_counts(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> t
     def one(table: pa.Table) -> pa.Table:
         if table.column("kind")[0].as_py() == 0:
             return table.select(["kind", "chunk", "ids", "keys", "sizes", "known"])
-        return _repeats(table)
+        out = _repeats(table)
+        rested()
+        return out
 
     found = written(packed.groupBy(split).applyInArrow(one, parts))
     counts = found.where("kind < 2").groupBy("chunk").applyInArrow(_summed, "doc_id long, key long, n_shingles long, n_repeated long")
@@ -225,6 +228,7 @@ def prefixed_udf(n: int, percent: int, frequent):
     """struct<shingles, prefix> of texts: the distinct shingles by hash, and the prefix (k = 2) with frequent ones last, by df."""
 
     @F.arrow_udf("shingles array<long>, prefix array<long>")
+    @resting
     def sets(texts: pa.Array) -> pa.Array:
         held, known = encoded(texts), frequent.value
         lists: list[np.ndarray] = []
@@ -247,6 +251,7 @@ def sets_udf(n: int):
     """struct<cid, shingles> of texts: the distinct shingles by hash, and a hash of them all."""
 
     @F.arrow_udf("cid long, shingles array<long>")
+    @resting
     def sets(texts: pa.Array) -> pa.Array:
         held, cids, lists = encoded(texts), [], []
         for s in slices(held):

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linear import remainder
-from .text import LETTERS, parts, slices
+from .text import LETTERS, parts, resting, slices
 
 BITS, SIZES, WINDOW = 14, (2, 3, 4), 2048
 #: Bounds of the labelled sample: windows of each language, windows over all languages (one of each language at least), and
@@ -151,6 +151,7 @@ def predict_udf(model: Model, spark):
     held = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("lang_pred string, score double")
+    @resting
     def predict(texts: pa.Array) -> pa.Array:
         rows = [r for some in parts(texts) for r in held.value.predict(some.to_pylist())]
         return pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], names=["lang_pred", "score"])

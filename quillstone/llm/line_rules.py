@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import lasting, salted_join, split_by, temporary, written
-from .text import SPACE, encoded, grams, parts, slices, words
+from .text import SPACE, encoded, grams, parts, resting, slices, words
 
 #: Distinct documents of a host that may have a line, and the share of words that a document may lose.
 LINE_LIMIT, LOST_SHARE = 20, 0.8
@@ -62,6 +62,7 @@ def stats_udf():
     """struct<STATS> of a text column."""
 
     @F.arrow_udf(", ".join(f"{x} long" for x in STATS))
+    @resting
     def stats(texts: pa.Array) -> pa.Array:
         found = [text_stats(held[s]) for some in parts(texts) for held in [encoded(some)] for s in slices(held)]
         rows = np.concatenate([np.zeros((0, len(STATS)), dtype=np.int64), *found])

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .components import connected
 from .jaccard_join import links, sets_udf
 from .storage import lasting, salted_join, split_by, temporary, written
-from .text import encoded, grams, slices, words
+from .text import encoded, grams, rested, resting, slices, words
 
 WORDS, PERMUTATIONS = 5, 128
 BANDS, BAND_ROWS = 24, 4
@@ -103,6 +103,7 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = rows[list(slices([r[3] for r in rows]))[-1].start :] if rows else rows
     if len(rows) > 1:
         yield emit(rows)
+    rested()
 
 
 def with_next(docs: DataFrame, components: DataFrame, text: str = "text") -> DataFrame:
@@ -161,6 +162,7 @@ def bands_udf():
     """Keys of a text's bands; none for a text without words."""
 
     @F.arrow_udf("array<long>")
+    @resting
     def bands(texts: pa.Array) -> pa.Array:
         held, out = encoded(texts), []
         for s in slices(held):

@@ -6,7 +6,8 @@ ASCII there, so the words of the bytes are the words of the text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -29,6 +30,26 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _STEP_INVERSE = np.uint64(pow(int(_STEP), -1, 1 << 64))
 
 
+def rested() -> None:
+    """Gives back what the allocators of a worker keep as a task ends: workers live on, several beside each executor, and each
+    would hold what its largest task took. Where the C library has no malloc_trim, only what Arrow keeps."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def resting(one: Callable[[pa.Array], pa.Array]):
+    """A function of a column as one of its batches, `rested` as they end."""
+
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield one(batch)
+        rested()
+
+    return each
+
+
 class Memo:
     """What texts have led to, in two generations of bounded bytes: keys that are asked for again go on into the new one when
     the old one is dropped. Between turns it holds all keys asked for, so that it can be read as a dict."""

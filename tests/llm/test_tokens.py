@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -62,6 +63,14 @@ def test_memos_are_bounded():
         assert "the" in own.words.held or "the" in own.words.before
 
 
+def test_a_task_leaves_no_vocabulary_in_its_worker(spark):
+    """Workers live on beside their executor, and hold what tasks leave."""
+    texts = ["Hello there, 12 WORDS", None, ""]
+    (got,) = bpe.digest_udf(WORD).func(iter([pa.array(texts, pa.string())]))
+    assert got.field("n_tokens").to_pylist() == [x[0] for x in bpe.Bpe(WORD).encode_batch([t or "" for t in texts])]
+    assert bpe.load.cache_info().currsize == 0
+
+
 def test_batches_are_alike_in_bytes():
     rng = random.Random(1)
     parts = ["é" * rng.randrange(1, 30) for _ in range(5000)] + ["x" * 9000]
