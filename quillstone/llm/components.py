@@ -11,11 +11,12 @@ from .storage import salted_join, written
 def connected(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node that links reach) for every node of the edges (a, b), longs. An edge to itself
     only names a node. Rows may repeat. Every round halves the distance to a component's root or better, moves each edge
-    once, and adds up per node before it shuffles."""
+    once for each star, and adds up per node before it shuffles. Each star is written: a plan of both would hold the first one
+    three times, which the driver plans anew as each of its shuffles ends."""
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    pairs = _ordered(edges)
+    pairs = written(_ordered(edges))
     while True:
-        pairs = written(_star(_star(pairs, large=True), large=False))
+        pairs = written(_star(written(_star(pairs, large=True)), large=False))
         ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(pairs.select("v", F.lit(0), F.lit(1)))
         ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
         if ends.where("up > 1 OR (up = 1 AND down = 1)").isEmpty():  # all are stars around their smallest node

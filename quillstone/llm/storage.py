@@ -46,10 +46,19 @@ def stored(df: DataFrame, level: int = 0) -> tuple[DataFrame, str]:
     path = f"{shared_folder(df.sparkSession)}/quillstone-{uuid.uuid4().hex}"
     if 0 < level <= len(_OPEN.get()):
         _OPEN.get()[-level].append(path)
+    eased(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def eased(spark: SparkSession) -> None:
+    """Has the driver collect its garbage where its heap has come to three quarters of its limit: what is left of the plans of many
+    joins would take it there, and the memory stays with the process."""
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > 0.75 * runtime.maxMemory():
+        spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder: cuts the lineage, is computed once, and survives lost executors."""
     return stored(df, 1)[0]

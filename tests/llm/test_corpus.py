@@ -110,6 +110,20 @@ def test_no_linked_sets_share_fewer_in_their_lower_halves(spark, percent):
                 assert met >= max(least[a], least[b]), (a, b, shared)
 
 
+def test_rounds_of_links_have_small_plans(spark, monkeypatch):
+    """The driver plans what is left of a table anew as each of its shuffles ends."""
+    shuffles, written = [], components.written
+
+    def counted(df):
+        shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return written(df)
+
+    monkeypatch.setattr(components, "written", counted)
+    got = components.connected(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
+    assert {r["component"] for r in got.collect()} == {0}
+    assert max(shuffles) <= 8, shuffles
+
+
 def test_pairs_between_components_are_the_last_resort(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "HUB_ROUNDS", 0)
     rows = list(enumerate(edited_copies(20, words=80, edits=9, chain=True)))
