@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import salted_join, written
+from .storage import lasting, salted_join, temporary, written
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -13,28 +13,33 @@ def connected(edges: DataFrame) -> DataFrame:
     only names a node. Rows may repeat. Every round halves the distance to a component's root or better, moves each edge
     once for each star, and adds up per node before it shuffles. Each star is written: a plan of both would hold the first one
     three times, which the driver plans anew as each of its shuffles ends."""
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    pairs = written(_ordered(edges))
-    while True:
-        pairs = written(_star(written(_star(pairs, large=True)), large=False))
-        ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(pairs.select("v", F.lit(0), F.lit(1)))
-        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-        if ends.where("up > 1 OR (up = 1 AND down = 1)").isEmpty():  # all are stars around their smallest node
-            break
-    out = nodes.join(pairs.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left")
-    return written(out.select("node", F.coalesce("component", "node").alias("component")))
-
-
-def _ordered(edges: DataFrame) -> DataFrame:
-    """Distinct edges as (u, v) with v < u."""
-    return edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-
-
-def _star(pairs: DataFrame, large: bool) -> DataFrame:
-    """Large: links each node's larger neighbours to the least of its neighbourhood. Small: its smaller ones and itself."""
-    both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else pairs
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    moved = salted_join(both.where("v > u") if large else both, least, ["u"], "v", "inner").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    if not large:
-        moved = moved.union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return _ordered(moved)
+    with temporary(edges.sparkSession):
+        pairs = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+        while True:
+            pairs = written(_small_star(written(_large_star(pairs))))
+            ends = _ends(pairs)
+            if ends.where("low <> high OR (low < u AND above)").isEmpty():  # all are stars around their smallest node
+                return lasting(ends.select(F.col("u").alias("node"), F.col("least").alias("component")))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """u, least (of its neighbourhood, u included) for each node of pairs (u, v) with v <= u; low and high, the least and the
+    greatest of its smaller neighbours, null if there are none; above: whether it has larger ones."""
+    lower = F.when(F.col("v") < F.col("u"), F.col("v"))
+    up = pairs.select("u", "v", lower.alias("lower"), F.lit(False).alias("up"))
+    both = up.union(pairs.where("v < u").select("v", "v", F.lit(None).cast("long"), F.lit(True)))
+    return both.groupBy("u").agg(F.min("v").alias("least"), F.min("lower").alias("low"), F.max("lower").alias("high"), F.max("up").alias("above"))
+
+
+def _large_star(pairs: DataFrame) -> DataFrame:
+    """Links each node's larger neighbours, and itself where it is named, to the least of its neighbourhood. No more rows than
+    pairs has; they may repeat."""
+    least = _ends(pairs).select(F.col("u").alias("v"), "least")
+    return salted_join(pairs, least, ["v"], "u", "inner").select("u", F.col("least").alias("v"))
+
+
+def _small_star(pairs: DataFrame) -> DataFrame:
+    """Links each node's smaller neighbours and itself to the least of them. A node by itself stays linked to itself."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    moved = salted_join(pairs, least, ["u"], "v", "inner").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(least).distinct()

@@ -247,6 +247,11 @@ def prefixed_udf(n: int, percent: int, frequent):
     return sets
 
 
+def set_id(hashes: np.ndarray) -> int:
+    """A hash of a set of hashes in ascending order."""
+    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def sets_udf(n: int):
     """struct<cid, shingles> of texts: the distinct shingles by hash, and a hash of them all."""
 
@@ -257,7 +262,7 @@ def sets_udf(n: int):
         for s in slices(held):
             hashes, owner = distinct_grams(held[s], n)
             for part in np.split(hashes, np.searchsorted(owner, np.arange(1, s.stop - s.start))):
-                cids.append(int.from_bytes(hashlib.blake2b(part.tobytes(), digest_size=8).digest(), "little", signed=True))
+                cids.append(set_id(part))
                 lists.append(part.view(np.int64))
         return pa.StructArray.from_arrays([pa.array(cids, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["cid", "shingles"])
 
@@ -374,15 +379,16 @@ def links(classes: DataFrame, percent: int = PERCENT, hub_rounds: int = HUB_ROUN
             pairs = lasting(pairs)
         with temporary(classes.sparkSession):
             ends = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
-            sets, _ = split_by(classes.select("cid", "shingles"), ends, ["cid"])
+            sets, _ = split_by(classes.select("cid", "shingles"), ends, ["cid"], once=True)
             both = pairs.join(sets.withColumnsRenamed({"cid": "a", "shingles": "sa"}), "a")
             both = both.join(sets.withColumnsRenamed({"cid": "b", "shingles": "sb"}), "b")
             found = lasting(both.where(linked("sa", "sb")).select("a", "b"))
         tested = pairs if tested is None else tested.union(pairs)
         edges = found if edges is None else edges.union(found)
         if turn < hub_rounds:
+            groups = connected(edges)
+            edges = groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))  # joins the same
             with temporary(classes.sparkSession):
-                groups = connected(edges)
                 members = lists.join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
                 members = lasting(members)
     return edges if edges is not None else classes.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)

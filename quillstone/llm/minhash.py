@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .jaccard_join import links, sets_udf
+from .jaccard_join import links, set_id, sets_udf
 from .storage import lasting, salted_join, split_by, temporary, written
-from .text import encoded, grams, rested, resting, slices, words
+from .text import distinct_grams, encoded, grams, rested, resting, slices, words
 
 WORDS, PERMUTATIONS = 5, 128
 BANDS, BAND_ROWS = 24, 4
@@ -32,8 +32,12 @@ EMPTY = np.uint32(0xFFFFFFFF)
 
 def signatures(texts: list[bytes], n: int = WORDS) -> np.ndarray:
     """Minima of each text: [texts, PERMUTATIONS]; all EMPTY for a text without words."""
-    out = np.full((len(texts), PERMUTATIONS), EMPTY, dtype=np.uint32)
-    hashes, owner = grams(words(texts), n)
+    return minima(*grams(words(texts), n), len(texts))
+
+
+def minima(hashes: np.ndarray, owner: np.ndarray, rows: int) -> np.ndarray:
+    """Minima of sets of hashes: [rows, PERMUTATIONS]; all EMPTY for an empty set. owner: the set of each hash, ascending."""
+    out = np.full((rows, PERMUTATIONS), EMPTY, dtype=np.uint32)
     if len(hashes):
         x = (hashes >> np.uint64(32)).astype(np.uint32)
         starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
@@ -158,24 +162,29 @@ def fingerprint_udf():
     return fingerprint
 
 
-def bands_udf():
-    """Keys of a text's bands; none for a text without words."""
+def signed_udf(n: int):
+    """struct<cid, n, bands> of texts: a hash of the distinct shingles (as `sets_udf`), their number, and the keys of the bands,
+    none for a text without words."""
 
-    @F.arrow_udf("array<long>")
+    @F.arrow_udf("cid long, n int, bands array<long>")
     @resting
-    def bands(texts: pa.Array) -> pa.Array:
-        held, out = encoded(texts), []
+    def signed(texts: pa.Array) -> pa.Array:
+        held, cids, sizes, out = encoded(texts), [], [], []
         for s in slices(held):
-            sign = signatures(held[s])[:, : BANDS * BAND_ROWS].reshape(-1, BANDS, BAND_ROWS).astype(np.uint64)
-            key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(sign), 1))
+            rows = s.stop - s.start
+            hashes, owner = distinct_grams(held[s], n)
+            sizes += (counts := np.bincount(owner, minlength=rows)).tolist()
+            cids += [set_id(part) for part in np.split(hashes, np.cumsum(counts)[:-1])]
+            sign = minima(hashes, owner, rows)[:, : BANDS * BAND_ROWS].reshape(-1, BANDS, BAND_ROWS).astype(np.uint64)
+            key = np.tile(np.arange(BANDS, dtype=np.uint64), (rows, 1))
             for k in range(BAND_ROWS):
                 key = (key ^ sign[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)
-            empty = (sign == EMPTY).all(axis=(1, 2))
-            out += [[] if e else k.view(np.int64) for e, k in zip(empty, key, strict=True)]
-        return pa.array(out, pa.list_(pa.int64()))
+            out += [k if some else [] for some, k in zip(counts.tolist(), key.view(np.int64), strict=True)]
+        columns = [pa.array(cids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(out, pa.list_(pa.int64()))]
+        return pa.StructArray.from_arrays(columns, names=["cid", "n", "bands"])
 
-    return bands
+    return signed
 
 
 def near_copies(docs: DataFrame, percent: int = 75, text: str = "text") -> DataFrame:
@@ -187,26 +196,25 @@ def near_copies(docs: DataFrame, percent: int = 75, text: str = "text") -> DataF
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     rows = rows.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
     with temporary(docs.sparkSession):
-        keyed = written(rows.select("doc_id", "key", bands_udf()("text").alias("bands")).where(F.size("bands") > 0))
-        one = written(keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))  # of equal texts
-        met = one.select("key", F.explode("bands").alias("band"))
-        shared = written(met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"))
-        maybe, _ = split_by(met, shared, ["band"])
-        met = written(salted_join(maybe, shared, ["band"], "key", "inner"))
-        some = written(met.select("key").distinct().join(one.select("key", "doc_id"), "key"))
-        texts, _ = split_by(rows, some, ["doc_id", "key"])
-        members = written(texts.join(some, ["doc_id", "key"]).select("key", sets_udf(WORDS)("text").alias("s")).select("key", "s.*"))
-        classes = written(members.groupBy("cid").agg(F.first("shingles").alias("shingles")).withColumn("n", F.size("shingles")))
-        named = written(members.select("key", "cid").distinct())
-        lists = met.join(named, "key").select(F.col("band").alias("key"), "cid").distinct().join(classes.select("cid", "n"), "cid")
-        found = links(classes, percent, lists=written(lists.select("key", "cid", "n", F.lit(True).alias("heavy"))))
-        ids = salted_join(keyed.select("doc_id", "key"), named, ["key"], "doc_id", "left")
-        ids = written(ids.select("doc_id", F.coalesce("cid", "key").alias("cid")).distinct())  # a text without candidates by itself
-        twin = ids.groupBy("doc_id").agg(F.min("cid").alias("a"), F.count("*").alias("times")).where("times > 1")
-        twins = ids.join(twin.select("doc_id", "a"), "doc_id").select("a", F.col("cid").alias("b"))
+        signed = written(rows.select("doc_id", "key", signed_udf(WORDS)("text").alias("s")).select("doc_id", "key", "s.*"))
+        ids = signed.where("n > 0")
+        # of equal sets one, with a row that has it
+        one = written(ids.groupBy("cid").agg(F.min(F.struct("doc_id", "key")).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+        met = one.select("cid", "n", "row.*", F.explode("bands").alias("band"))
+        shared = written(met.groupBy("band").agg(F.count("*").alias("times")).where("times > 1").select("band"))
+        maybe, _ = split_by(met, shared, ["band"], once=True)
+        met = written(salted_join(maybe, shared, ["band"], "cid", "inner"))
+        texts, _ = split_by(rows, met, ["doc_id", "key"], once=True)
+        texts = texts.join(met.select("doc_id", "key", "cid").distinct(), ["doc_id", "key"])
+        sets = texts.select("cid", sets_udf(WORDS)("text")["shingles"].alias("shingles"))
+        classes = written(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")).withColumn("n", F.size("shingles")))
+        lists = met.select(F.col("band").alias("key"), "cid", "n", F.lit(True).alias("heavy"))
+        found = links(classes, percent, hub_rounds=1, lists=lists)
+        twin = ids.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("z")).where("a < z")
+        twins = ids.join(twin.select("doc_id", "a"), "doc_id").select("a", F.col("cid").alias("b")).distinct()
         groups = connected(found.union(twins))
-        placed = salted_join(ids, groups.withColumnRenamed("node", "cid"), ["cid"], "doc_id", "left").withColumn("component", F.coalesce("component", "cid"))
-        placed = written(placed)
-        least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+        placed = salted_join(ids.select("doc_id", "cid"), groups.withColumnRenamed("node", "cid"), ["cid"], "doc_id", "left")
+        placed = written(placed.withColumn("component", F.coalesce("component", "cid")))
+        least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.max("doc_id").alias("most")).where("component_id < most").drop("most")
         out = salted_join(placed, least, ["component"], "doc_id", "inner").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
         return lasting(out.where("component_id < doc_id"))

@@ -100,12 +100,13 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, h
     return dealt.join(copies if few else copies.hint("merge"), [*on, "__salt"], how).drop("__salt")
 
 
-def split_by(rows: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+def split_by(rows: DataFrame, keys: DataFrame, on: list[str], once: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows whose key may be in the table of keys, and rows whose key surely is not, by a bitmap over a hash of the key, which
-    is broadcast (FILTER_WORDS rows at most). If it fills up, the first are more."""
+    is broadcast (FILTER_WORDS rows at most). If it fills up, the first are more. once: it is not written, for a single use."""
     bit = F.pmod(F.xxhash64(F.lit("bit"), *on), F.lit(FILTER_WORDS * 64))
     place = lambda df: df.withColumn("__word", F.floor(bit / 64).cast("int")).withColumn("__bit", F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")))
-    words = written(place(keys.select(*on)).groupBy("__word").agg(F.bit_or("__bit").alias("__bits")))
+    words = place(keys.select(*on)).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    words = words if once else written(words)
     met = place(rows).join(F.broadcast(words), "__word", "left")
     maybe = F.coalesce(F.col("__bits").bitwiseAND(F.col("__bit")) != 0, F.lit(False))
     return tuple(met.where(x).drop("__word", "__bit", "__bits") for x in (maybe, ~maybe))
