@@ -29,7 +29,8 @@ def lines_in_order(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(*place, F.col("value").alias("text"))
     blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return lines.join(blocks.withColumn("before", before), ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "text")
+    blocks = F.broadcast(blocks.withColumn("before", before))  # a row a block, so the lines stay where they are read
+    return lines.join(blocks, ["file", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "text")
 
 
 def rule_lines(spark: SparkSession, path: str, kind: str, source: str) -> tuple[DataFrame, DataFrame]:
@@ -80,7 +81,7 @@ ANSWER = "`审核结果` string, `审核依据` string, `置信度` string, `思
 def checked_samples(lines: DataFrame, text: str = "text") -> DataFrame:
     """Adds instruction, input, output and error to lines of JSON: why a line is no training sample, null if it is one. The
     output becomes JSON with four fields: a missing confidence is 8, missing reasoning the basis."""
-    row = F.from_json(F.col(text), SAMPLE)
+    row = F.from_json(F.col(text), SAMPLE, {"maxStringLen": str(2**31 - 1)})  # else texts of over 20 million characters are null
     out = lines.withColumns({"__keys": F.json_object_keys(text), "__row": row}).withColumn("__out", as_json(F.col("__row.output")))
     out = out.withColumns({"__had": F.json_object_keys("__out"), "__answer": F.from_json("__out", ANSWER)})
     names = ["instruction", "input", "output"]
